@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .ordering import with_position
 from .scratch import written
 from .text import whole, word_count
 
 
-def size_class(size: Column) -> Column:
-    """Number of digits and the first two of them: rises with the size, a few hundred values."""
-    digits = size.cast("string")
-    return F.length(digits) * 100 + F.rpad(F.substring(digits, 1, 2), 2, "0").cast("int")
-
-
 def source_targets(sizes: DataFrame, max_copies: int = 3, cycle: int = 3) -> DataFrame:
     """Targets from a table ``source, source_size`` with one row a source.
 
@@ -42,10 +36,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns a row for each row of ``docs``: id, ``source``, ``size`` (words),
     ``source_size``, ``target`` (words, of its source) and ``copies``. Within a source each
-    document's expected copies are target / source_size. Documents stand by falling size class, then by
+    document's expected copies are target / source_size. Documents stand by falling size, then by
     MD5 of the id; a document gets a copy for each integer that the running sum of
     expected copies plus the source's offset crosses. So copies are the expected ones
-    rounded up or down, and every size class is taken in proportion.
+    rounded up or down, and all sizes are taken in proportion.
 
     A null text has size 0. Rows equal in id and size are interchangeable, so
     reruns agree. A source without words has target 0.
@@ -59,8 +53,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = targets.join(starts, targets["source"].eqNullSafe(starts["source"])).drop(starts["source"])
     table = written(table, "mix-targets")
     ordered = with_position(
-        slim.select("*", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("md5"), size_class(F.col("size")).alias("class")),
-        [F.col("source").asc_nulls_last(), F.col("class").desc(), F.col("md5"), F.col("size")],
+        slim.select("*", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("md5")),
+        [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("md5")],
     )
     joined = ordered.join(table, ordered["source"].eqNullSafe(table["source"])).drop(table["source"])
     offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
