@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .packing import pack
+from .pii import find_pii
 from .sharding import shard
+from .topk import exact_top_k
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +33,22 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(_docs(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_mix_sources, op6_shard)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_mix_sources, op6_shard, op8_exact_top_k, op9_pack, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
