@@ -13,6 +13,7 @@ from .packing import pack
 from .pii import find_pii
 from .sharding import shard
 from .topk import exact_top_k
+from .toxicity import toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op4_mix_sources, op6_shard, op8_exact_top_k, op9_pack, op10_pii)}
+    return {f.__name__: f for f in (op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op8_exact_top_k, op9_pack, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,73 +9,85 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Hashed words: the weights take 2 MB.
+#: Hashed words and their beginnings: the weights take 2 MB.
 BUCKETS = 1 << 18
 #: Characters stripped from both ends of a word.
 EDGES = ".,;:!?\"'()[]{}|*-_"
 
 
-def word_bucket(word: str) -> int:
-    return zlib.crc32(word.strip(EDGES).lower().encode("utf-8", "replace")) % BUCKETS
+#: A word is described by itself and its beginnings of these lengths, so that forms of a word share weight.
+STEMS = (4, 5, 6, 7)
 
 
-class WordWeights(dict):
-    """The bucket of each word, kept for ``room`` words."""
+def word_buckets(word: str) -> tuple[int, ...]:
+    word = word.strip(EDGES).lower()
+    return tuple({zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in (word, *("^" + word[:k] for k in STEMS if len(word) > k))}) if word else ()
 
-    def __init__(self, room: int = 400_000):
+
+class WordBuckets(dict):
+    """Buckets of each word, of those in ``used`` if given; keeps ``room`` words."""
+
+    def __init__(self, used: frozenset[int] | None = None, room: int = 300_000):
         super().__init__()
-        self.room = room
+        self.used, self.room = used, room
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.room:
             self.clear()
-        found = word_bucket(word)
+        found = word_buckets(word)
+        if self.used is not None:
+            found = tuple(b for b in found if b in self.used)
         if len(word) <= 64:
             self[word] = found
         return found
 
-
-def buckets_of(text: str, cache: WordWeights) -> np.ndarray:
-    """Distinct buckets of the words of a whole text."""
-    return np.fromiter(set(map(cache.__getitem__, text.split())), dtype=np.int64)
+    def of(self, text: str) -> set[int]:
+        """Distinct buckets of the words of a whole text."""
+        return set().union(*map(self.__getitem__, set(text.split())))
 
 
 class NonNegativePU:
     """A linear classifier by the non-negative risk estimator.
 
-    With prior p, the risk is p * E+[l(g)] + max(0, E_u[l(-g)] - p * E+[l(-g)]), l the sigmoid
-    loss l(g) = 1 / (1 + exp(g)): the second part estimates the risk on negatives from unlabelled text, and is kept
-    from falling below zero. Where it does, the step goes against it. Full-batch Adam, the weights decay.
-    A word in fewer than ``min_docs`` sample documents gets no weight.
+    With prior p, the risk is p * E+[l(g)] + max(0, E_u[l(-g)] - p * E+[l(-g)]), l the logistic
+    loss: the second part estimates the risk on negatives from unlabelled text, corrected for the positives
+    in it, and is kept from falling below zero: where it does, the step goes against it. Full-batch Adam with a
+    falling rate; ``sparse`` and ``decay`` are the L1 and L2 penalties. A bucket in fewer than ``min_docs`` sample
+    documents gets no weight (fewer than a fiftieth of them in a small sample).
     """
 
-    def __init__(self, prior: float, steps: int = 150, rate: float = 0.05, decay: float = 1e-4, min_docs: int = 8):
-        self.prior, self.steps, self.rate, self.decay, self.min_docs = prior, steps, rate, decay, min_docs
+    def __init__(self, prior: float, steps: int = 300, rate: float = 0.03, sparse: float = 8e-4, decay: float = 5e-5, min_docs: int = 20):
+        self.prior, self.steps, self.rate, self.sparse, self.decay, self.min_docs = prior, steps, rate, sparse, decay, min_docs
         self.weights, self.bias = np.zeros(BUCKETS), 0.0
 
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> NonNegativePU:
         sets = [*positive, *unlabelled]
-        n_p, n_u = len(positive), len(unlabelled)
-        seen = np.bincount(np.concatenate([*sets, np.zeros(0, np.int64)]), minlength=BUCKETS)
-        used = np.flatnonzero(seen >= min(self.min_docs, max(1, len(sets) // 20)))
-        column = np.full(BUCKETS, -1)
+        n_p, n_u, n = len(positive), len(unlabelled), len(sets)
+        flat = np.concatenate(sets).astype(np.int64)
+        seen = np.bincount(flat, minlength=BUCKETS)
+        used = np.flatnonzero(seen >= min(self.min_docs, max(1, n // 50)))
+        column = np.full(BUCKETS, -1, np.int32)
         column[used] = np.arange(len(used))
-        doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        col = column[np.concatenate([*sets, np.zeros(0, np.int64)])]
+        doc = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
+        col = column[flat]
         doc, col = doc[col >= 0], col[col >= 0]
-        w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-        w[-1] = -1.0
-        is_p = np.arange(len(sets)) < n_p
+        del flat
+        w = np.zeros(len(used) + 1)
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        w[-1] = np.log(self.prior / (1 - self.prior))
+        is_p = np.arange(n) < n_p
         for k in range(1, self.steps + 1):
-            g = np.bincount(doc, w[:-1][col], minlength=len(sets)) + w[-1]
+            g = np.bincount(doc, w[:-1][col], minlength=n) + w[-1]
             s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            slope = s * (1 - s)  # of s(g); l(g) = 1 - s, l(-g) = s
-            negative = s[~is_p].mean() - self.prior * s[is_p].mean()
-            of_p, of_u = self.prior * slope / n_p, slope / n_u
-            d = np.where(is_p, -2 * of_p, of_u) if negative >= 0 else np.where(is_p, of_p, -of_u)
-            grad = np.append(np.bincount(col, d[doc], minlength=len(used)), d.sum()) + self.decay * np.append(w[:-1], 0)
+            loss = np.logaddexp(0, g)  # l(-g); its slope is s, that of l(g) is s - 1
+            if loss[~is_p].mean() >= self.prior * loss[is_p].mean():
+                d = np.where(is_p, -self.prior / n_p, s / n_u)
+            else:
+                d = np.where(is_p, self.prior * s / n_p, -s / n_u)
+            grad = np.append(np.bincount(col, d[doc], minlength=len(used)) + self.decay * w[:-1] + self.sparse * np.sign(w[:-1]), d.sum())
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            w -= self.rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+            w -= self.rate * min(1, 2 - 2 * k / self.steps) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w[:-1][np.abs(w[:-1]) < 0.02] = 0  # what the L1 penalty holds near zero
         self.weights[used], self.bias = w[:-1], w[-1]
         return self
 
@@ -84,11 +96,11 @@ def _bucket_sets(docs: DataFrame) -> list[np.ndarray]:
     """Word buckets of each text of a bounded sample, on the driver."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordWeights()
+        cache = WordBuckets()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([buckets_of(t.as_py() or "", cache).astype("<i4").tobytes() for t in batch.column(0)], pa.binary())], names=["b"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.fromiter(cache.of(t.as_py() or ""), "<i4").tobytes() for t in batch.column(0)], pa.binary())], names=["b"])
 
-    return [np.frombuffer(r["b"], "<i4").astype(np.int64) for r in docs.select("text").mapInArrow(sets, "b binary").collect()]
+    return [np.frombuffer(r["b"], "<i4") for r in docs.select("text").mapInArrow(sets, "b binary").collect()]
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 3000, max_unlabelled: int = 6000, folds: int = 5) -> NonNegativePU | None:
@@ -118,14 +130,15 @@ def score_toxicity(docs: DataFrame, model: NonNegativePU | None, text_col: str =
     """``docs`` with ``name``: probability-like score from 0 to 1 of each whole text; without a model, 0 for all."""
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
-    weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), float(model.bias)
+    weights, bias = {int(b): float(model.weights[b]) for b in np.flatnonzero(model.weights)}, float(model.bias)
+    caches: dict[int, WordBuckets] = {}
 
     @F.pandas_udf("double")
     def score(texts):
         import pandas as pd
 
-        w, cache = weights.value, WordWeights()
-        g = np.array([w[buckets_of(t or "", cache)].sum() + bias for t in texts])
+        cache = caches.setdefault(0, WordBuckets(frozenset(weights)))  # one a task
+        g = np.array([sum(weights[b] for b in sorted(cache.of(t or ""))) + bias for t in texts], dtype=float)
         return pd.Series(1 / (1 + np.exp(-np.clip(g, -30, 30))))
 
     return docs.withColumn(name, score(F.col(text_col)))
