@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -63,11 +64,17 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@lru_cache(maxsize=2)
+def word_ids(tokenizer: str) -> WordIds:
+    """One cache a Python worker, kept from task to task."""
+    return WordIds(Tokenizer.from_file(tokenizer))
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int) -> DataFrame:
     """Pieces of at most ``length`` ids of each document, its last id being ``end_id``."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(Tokenizer.from_file(tokenizer))
+        words = word_ids(tokenizer)
         end = end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
