@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_vectors import near_vectors
+from .ngram_join import ngram_components
 from .packing import pack
 from .pii import find_pii
 from .sharding import shard
@@ -21,6 +22,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(_docs(spark, sf_dir))
+
+
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -58,7 +63,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op8_exact_top_k, op9_pack, op10_pii)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op8_exact_top_k, op9_pack, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
