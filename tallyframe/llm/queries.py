@@ -14,6 +14,7 @@ from .ngram_join import ngram_components
 from .packing import pack
 from .pii import find_pii
 from .sharding import shard
+from .token_counts import token_counts
 from .topk import exact_top_k
 from .toxicity import toxicity
 
@@ -48,6 +49,10 @@ def op6_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_docs(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -63,7 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op8_exact_top_k, op9_pack, op10_pii)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op7_token_counts, op8_exact_top_k, op9_pack, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
