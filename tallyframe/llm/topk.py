@@ -21,30 +21,21 @@ def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: float)
     return vectors.where(sound).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Blocks of up to ``size`` rows each: ids and components as matrices in binary."""
+def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Blocks of about ``size`` rows by hash (ids and components as matrices in binary), and the number of blocks."""
+    rows = written(rows, "topk-vectors")
+    blocks = max(1, -(-rows.count() // size))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[list[int]] = []
+    def pack(table):
+        vectors = table["v"].to_pylist()
+        width = max(map(len, vectors))
+        m = np.zeros((len(vectors), width), dtype="<i8")  # missing components count as zero
+        for k, row in enumerate(vectors):
+            m[k, : len(row)] = row
+        return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()]), "m": pa.array([m.tobytes()]), "width": pa.array([width], pa.int32())})
 
-        def block(a: list[int], v: list[list[int]]) -> pa.RecordBatch:
-            width = max(map(len, v))
-            m = np.zeros((len(v), width), dtype="<i8")  # missing components count as zero
-            for k, row in enumerate(v):
-                m[k, : len(row)] = row
-            return pa.RecordBatch.from_arrays([pa.array([np.array(a, "<i8").tobytes()]), pa.array([m.tobytes()]), pa.array([width], pa.int32())], names=["ids", "m", "width"])
-
-        for batch in batches:
-            ids += batch.column(0).to_pylist()
-            vectors += batch.column(1).to_pylist()
-            while len(ids) >= size:
-                yield block(ids[:size], vectors[:size])
-                ids, vectors = ids[size:], vectors[size:]
-        if ids:
-            yield block(ids, vectors)
-
-    return rows.mapInArrow(pack, "ids binary, m binary, width int")
+    numbered = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    return numbered.groupBy("block").applyInArrow(pack, "block int, ids binary, m binary, width int"), blocks
 
 
 def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,13 +83,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     Null vectors and those with null or non-finite components take no part, neither do null ids; where lengths differ, missing components
     count as zero. Products must fit 64 bits. Repeated queries give one result.
     """
-    rows = _blocks(integer_vectors(vectors, id_col, vec_col, scale).where("id is not null"), CANDIDATE_ROWS)
-    rows = written(rows.withColumn("block", F.monotonically_increasing_id()), "topk-rows")
-    asked = written(_blocks(integer_vectors(queries, id_col, vec_col, scale).where("id is not null").dropDuplicates(["id"]), QUERY_ROWS), "topk-queries")
-    numbers = rows.select(F.col("block").alias("at"))
-    # the number of blocks is a few thousandth of the number of rows; each query block is sent to each block of rows
-    listed = numbers.groupBy(F.lit(1).alias("one")).agg(F.collect_list("at").alias("all"))
-    sent = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns], F.lit(1).alias("one")).join(F.broadcast(listed), "one").select("q_ids", "q_m", "q_width", F.explode("all").alias("block"))
+    rows, blocks = _blocks(integer_vectors(vectors, id_col, vec_col, scale).where("id is not null"), CANDIDATE_ROWS)
+    asked, _ = _blocks(integer_vectors(queries, id_col, vec_col, scale).where("id is not null").dropDuplicates(["id"]), QUERY_ROWS)
+    sent = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "width")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pairs = sent.join(rows, "block").select("q_ids", "q_m", "q_width", "ids", "m", "width")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
