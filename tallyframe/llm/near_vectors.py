@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,11 +55,12 @@ def linked_in_list(v: np.ndarray, near: np.ndarray, pivot: int, left: np.ndarray
     return np.concatenate([empty, *found_i]), np.concatenate([empty, *found_j])
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", threshold: float = 0.93, pivots: int = 128, nearest: int = 16, shared: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", threshold: float = 0.93, pivots: int | None = None, nearest: int = 16, shared: int = 3) -> DataFrame:
     """Near-duplicates among vectors of equal, non-null group.
 
     ``pivots`` reference points are taken from the vectors by smallest hash of the id (the
-    only fitted part, of bounded size); every vector is indexed. It is described by its ``nearest`` nearest
+    only fitted part; four times the square root of the number of vectors unless given, from 64 to 1024, so that lists stay
+    short); every vector is indexed. It is described by its ``nearest`` nearest
     pivots in order and stands in the inverted list of each; pairs in a list that share ``shared`` pivots are
     verified by cosine in double precision. Lists beyond LIST_ROWS are cut into chunks, every two of which meet
     in some task, so nothing is dropped. Equal vectors of a group are
@@ -79,6 +81,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = written(rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "vector-classes")
     firsts = rows.where("h1 is not null").select("id", "h1", "h2", "grp", "v").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["rep"]).select("rep", "size", F.concat_ws(":", F.size("v"), "grp").alias("grp"), "v")
     firsts = written(firsts, "vector-firsts")
+    pivots = pivots or min(1024, max(64, 4 * math.isqrt(firsts.count())))
     fitted = [r["v"] for r in firsts.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("v").collect()]
     if not fitted:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
