@@ -27,8 +27,8 @@ def source_targets(sizes: DataFrame, max_copies: int = 3, cycle: int = 3) -> Dat
     left = F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(before), F.lit(0))
     filled = ranked.select("*", left.alias("left"), F.sum("weight").over(after).alias("weights"))
     filled = filled.withColumn("level", F.when(F.col("limit") * F.col("weights") > F.col("left") * F.col("weight"), F.col("left") / F.col("weights")))
-    level = F.min_by("level", F.struct(F.col("level").isNull(), F.col("limit") / F.col("weight"))).over(every)
-    return filled.withColumn("level", level).select("source", "source_size", F.when(F.col("level").isNull(), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
+    # the first level found holds: beyond it more than a fair share is subtracted, so later ones are lower
+    return filled.withColumn("level", F.max("level").over(every)).select("source", "source_size", F.when(F.col("level").isNull(), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, max_copies: int = 3) -> DataFrame:

@@ -33,9 +33,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(
 
 MIX_SOURCES = """WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source),
-filled AS (SELECT *, 3 * source_size AS most, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS BIGINT) AS rest, CAST(sum(weight) OVER after AS BIGINT) AS weights, 3 * source_size / weight AS o FROM totals
+filled AS (SELECT *, 3 * source_size AS most, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS BIGINT) AS rest, CAST(sum(weight) OVER after AS BIGINT) AS weights FROM totals
   WINDOW before AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-level AS (SELECT arg_min(rest / weights, o) FILTER (most * weights > rest * weight) AS level FROM filled),
+level AS (SELECT max(rest / weights) FILTER (most * weights > rest * weight) AS level FROM filled),
 targets AS (SELECT source, source_size, CASE WHEN level IS NULL THEN CAST(most AS DOUBLE) ELSE least(CAST(most AS DOUBLE), level * weight) END AS target FROM filled, level),
 placed AS (SELECT doc_id, sized.source, size, row_number() OVER (PARTITION BY sized.source ORDER BY size DESC, md5(coalesce(CAST(doc_id AS VARCHAR), ''))) - 1 AS rank FROM sized),
 rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, rank, CAST(CAST('0x' || substr(md5(coalesce(placed.source, '') || ':7'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS start FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source)
