@@ -95,31 +95,43 @@ def shared_counts(incidence: DataFrame) -> DataFrame:
     """For each document: size of its set, of its lower half, n-grams of that half that others have too, signature."""
 
     def count(table):
-        out: list[pa.Table] = []
-        names = ["block", "place", "shared", "id", "n", "half", "s1", "s2"]
+        """One row for each block: places and counts of its documents' n-grams that are shared in this part, and what describes the block."""
+        out: dict[str, list] = {"block": [], "places": [], "counts": [], "ids": [], "about": []}
 
-        def rows(block, place, shared, more=None):
-            columns = [np.asarray(block, np.int64), np.asarray(place, np.int32), np.asarray(shared, np.int64)]
-            arrays = [pa.array(c) for c in columns] + (more or [pa.nulls(len(columns[0]), pa.int64())] * 5)
-            out.append(pa.table(dict(zip(names, arrays, strict=True))))
+        def row(*values):
+            for column, value in zip(out.values(), values, strict=True):
+                column.append(value)
 
         plain = table.filter(pa.compute.is_valid(table["keys"]))
         if len(plain):
             keys = [np.frombuffer(k, "<u4") for k in plain["keys"].to_pylist()]
-            holders = np.concatenate([np.frombuffer(k, "<u2") for k in plain["holders"].to_pylist()])
-            block = np.repeat(plain["block"].to_numpy(), [len(k) for k in keys])
+            holders = [np.frombuffer(k, "<u2") for k in plain["holders"].to_pylist()]
             _, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            hit = (counts[where] > 1) & (holders != 0xFFFF)
-            at, n = np.unique(np.stack([block[hit], holders[hit].astype(np.int64)]), axis=1, return_counts=True)
-            rows(at[0], at[1], n)
+            shared, at = counts[where] > 1, np.cumsum([0, *map(len, keys)])
+            for k, block in enumerate(plain["block"].to_pylist()):
+                own = holders[k][shared[at[k] : at[k + 1]] & (holders[k] != 0xFFFF)]
+                if len(own):
+                    places, n = np.unique(own, return_counts=True)
+                    row(block, places.astype("<u2").tobytes(), n.astype("<u4").tobytes(), None, None)
         for r in table.filter(pa.compute.is_valid(table["ids"])).to_pylist():
-            about = np.frombuffer(r["about"], "<i8").reshape(5, -1)
-            n = about.shape[1]
-            rows(np.full(n, r["block"]), np.arange(n), about[2], [pa.array(r["ids"], pa.int64()), *(pa.array(about[k]) for k in (0, 1, 3, 4))])
-        return pa.concat_tables(out)
+            row(r["block"], None, None, r["ids"], r["about"])
+        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()), strict=True)})
 
-    counted = incidence.groupBy("part").applyInArrow(count, "block long, place int, shared long, id long, n long, half long, s1 long, s2 long")
-    return counted.groupBy("block", "place").agg(F.sum("shared").alias("shared"), *(F.max(c).alias(c) for c in ("id", "n", "half", "s1", "s2")))
+    def total(table):
+        """Sums over the parts: a row for each document of the block."""
+        ids, about, found = [], None, []
+        for r in table.to_pylist():
+            if r["about"] is None:
+                found.append((np.frombuffer(r["places"], "<u2"), np.frombuffer(r["counts"], "<u4")))
+            else:
+                ids, about = r["ids"], np.frombuffer(r["about"], "<i8").reshape(5, -1)
+        shared = about[2].copy()
+        for places, n in found:
+            shared[places] += n
+        return pa.table({"shared": pa.array(shared), "id": pa.array(ids, pa.int64()), **{c: pa.array(about[k]) for c, k in (("n", 0), ("half", 1), ("s1", 3), ("s2", 4))}})
+
+    counted = incidence.groupBy("part").applyInArrow(count, "block long, places binary, counts binary, ids array<long>, about binary")
+    return counted.groupBy("block").applyInArrow(total, "shared long, id long, n long, half long, s1 long, s2 long")
 
 
 def candidate_blocks(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
