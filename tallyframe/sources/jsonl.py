@@ -20,7 +20,7 @@ def numbered_lines(spark: SparkSession, path: str, limit: int | None = None) ->
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
     if limit:
         rows = rows.where(F.col("pos") < limit)
-    return rows.select((F.col("pos") + 1).alias("line_num"), F.rtrim(F.lit("\r"), F.col("line")).alias("line"))
+    return rows.select((F.col("pos") + 1).alias("line_num"), F.rtrim("line", F.lit("\r")).alias("line"))
 
 
 def scan_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
