@@ -1,0 +1,76 @@
+"""The queries on the driver's smallest tables: against SQL, and the pipeline stage by stage."""
+
+import re
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from tallyframe.llm import queries as llm
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="needs the driver's tables")
+
+
+@pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = con.execute(llm.oracle_sql()[name])
+    columns = [d[0] for d in found.description]
+    got = llm.queries()[name](spark, SF)
+    assert sorted(columns) == sorted(got.columns)
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(found.fetchall())
+
+
+def test_names():
+    assert [n.split("_")[0] for n in llm.queries()] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    kept, last = {}, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, last, SF).write.parquet(f"{tmp_path}/{name}")
+        last = spark.read.parquet(f"{tmp_path}/{name}")
+        assert last.columns == docs.columns
+        kept[name] = last.collect()
+    clean, lines, unique, mixed = (kept[n] for n in names[:-1])
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    ids = {r.doc_id for r in clean}
+    assert {r.doc_id: r.text for r in clean}.items() <= {r.doc_id: r.text for r in docs.collect()}.items()
+    assert len(ids - toxic) >= 0.95 * (docs.count() - len(toxic)) and len(ids & toxic) < len(toxic)
+    # lines by brute force
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holders = defaultdict(set)
+    for r in clean:
+        for x in r.text.split("\n"):
+            holders[key(x)].add(r.doc_id)
+    want = {r.doc_id: "\n".join(x for x in r.text.split("\n") if len(key(x)) < 20 or len(holders[key(x)]) < 3 or max(holders[key(x)]) == r.doc_id) for r in clean}
+    assert {r.doc_id: r.text for r in lines} == want and all(r.n_chars == len(r.text) for r in lines)
+    # near copies by brute force
+    sets = {}
+    for i, t in want.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    low = {i: i for i in sets}
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                low[max(x, y)] = min(x, y)
+    assert {r.doc_id for r in unique} == {i for i in sets if root(i) == i}
+    times = Counter(r.doc_id for r in mixed)
+    assert set(times) <= {r.doc_id for r in unique} and max(times.values()) <= 3
+    pieces = corpus_pipeline.STAGES[-1][1](spark, last, SF).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == times
