@@ -92,15 +92,17 @@ class NonNegativePU:
         return self
 
 
-def _bucket_sets(docs: DataFrame) -> list[np.ndarray]:
-    """Word buckets of each text of a bounded sample, on the driver."""
+def _bucket_sets(docs: DataFrame) -> list[tuple[bool, bool, np.ndarray]]:
+    """For each text of a bounded sample, on the driver: whether it counts as positive, as unlabelled, and its buckets."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordBuckets()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.fromiter(cache.of(t.as_py() or ""), "<i4").tobytes() for t in batch.column(0)], pa.binary())], names=["b"])
+            found = pa.array([np.fromiter(cache.of(t.as_py() or ""), "<i4").tobytes() for t in batch.column(0)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), found], names=["p", "u", "b"])
 
-    return [np.frombuffer(r["b"], "<i4") for r in docs.select("text").mapInArrow(sets, "b binary").collect()]
+    rows = docs.select("text", "p", "u").mapInArrow(sets, "p boolean, u boolean, b binary").collect()
+    return [(r["p"], r["u"], np.frombuffer(r["b"], "<i4")) for r in rows]
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 3000, max_unlabelled: int = 6000, folds: int = 5) -> NonNegativePU | None:
@@ -117,10 +119,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return None
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     order = [F.xxhash64("id"), F.col("id")]
-    sample_p = marks.where("toxic = 1").select("id").distinct().orderBy(*order).limit(max_positive)
-    sample_u = docs.where(learn).select(F.col(id_col).alias("id")).distinct().orderBy(*order).limit(max_unlabelled)
-    positive = _bucket_sets(texts.join(F.broadcast(sample_p), "id", "left_semi"))
-    unlabelled = _bucket_sets(texts.join(F.broadcast(sample_u), "id", "left_semi"))
+    sample_p = marks.where("toxic = 1").select("id").orderBy(*order).limit(max_positive).withColumns({"p": F.lit(True), "u": F.lit(False)})
+    sample_u = docs.where(learn).select(F.col(id_col).alias("id")).orderBy(*order).limit(max_unlabelled).withColumns({"p": F.lit(False), "u": F.lit(True)})
+    sample = sample_p.unionByName(sample_u).groupBy("id").agg(F.bool_or("p").alias("p"), F.bool_or("u").alias("u"))
+    sets = _bucket_sets(texts.join(F.broadcast(sample), "id"))  # at most max_positive + max_unlabelled ids
+    positive, unlabelled = [b for p, _, b in sets if p], [b for _, u, b in sets if u]
     if not positive or not unlabelled:
         return None
     return NonNegativePU(min(0.5, max(0.01, prior))).fit(positive, unlabelled)
