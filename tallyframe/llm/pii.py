@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 from collections.abc import Iterator
@@ -150,18 +151,39 @@ def train(examples: int = 3000, seed: int = 5, precision: float = 0.98) -> tuple
     return trees, limits
 
 
+class Taken:
+    """Disjoint stretches of a text, kept in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def all_spans(text: str, base: dict[str, list[Span]], trees: BoostedTrees, limits: list[float]) -> dict[str, list[Span]]:
     """Base spans and the accepted candidates that overlap none of them; of overlapping ones the likelier stays."""
     out = {k: list(v) for k, v in base.items()}
-    taken = [s for v in base.values() for s in v]
-    proposed = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for s, e in taken)] if taken else candidates(text)
+    taken = Taken([s for v in base.values() for s in v])
+    proposed = [c for c in candidates(text) if not taken.meets(*c[1:])]
     if proposed:
         p = trees.probability(np.array([features(text, *c) for c in proposed]))
-        ends: list[Span] = []
         for q, (kind, start, end) in sorted(zip(p.tolist(), proposed, strict=True), key=lambda c: (-c[0], c[1][1], -c[1][2])):
-            if q >= limits[KINDS.index(kind)] and not any(start < e and s < end for s, e in ends):
+            if q >= limits[KINDS.index(kind)] and not taken.meets(start, end):
                 out[kind].append((start, end))
-                ends.append((start, end))
+                taken.add(start, end)
     return out
 
 
