@@ -148,15 +148,17 @@ def candidate_blocks(docs: DataFrame, wanted: DataFrame, id_col: str, text_col:
 
         reps: list[int] = []
         found: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for row in batch.to_pylist():
                 h = shingle_set(row[text_col], words)
                 if (len(h), *_signature(h)) == (row["n"], row["s1"], row["s2"]):
                     reps.append(row["rep"])
                     found.append(h)
-                    if len(reps) >= BLOCK_DOCS or sum(map(len, found[-64:])) * len(found) >= 64 * BLOCK_GRAMS:
+                    size += len(h)
+                    if len(reps) >= BLOCK_DOCS or size >= BLOCK_GRAMS:
                         yield block(reps, found)
-                        reps, found, made = [], [], made + 1
+                        reps, found, size, made = [], [], 0, made + 1
         if reps:
             yield block(reps, found)
 
