@@ -5,22 +5,25 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import variant as V
 from ..model import SAVED_RESULT
 
 
 def numbered_lines(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """``line_num`` (from 1) and ``line`` of a text file, in file order; a limit counts blank and broken lines, too.
+    """``line_num`` (from 1, within its file) and ``line`` of text files; a limit counts blank and broken lines, too.
 
-    Each file is one row of a whole-text scan, so its numbers need no shuffle; a data set should be many
-    files of moderate size.
+    Files are read in splits. Lines of a split have consecutive ids, so only the number of lines before each split is needed:
+    one row a split is counted, summed up by file and joined back. No line moves.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("pos", "line"))
-    if limit:
-        rows = rows.where(F.col("pos") < limit)
-    return rows.select((F.col("pos") + 1).alias("line_num"), F.rtrim("line", F.lit("\r")).alias("line"))
+    at = ["file_path", "file_block_start"]
+    rows = spark.read.text(path).select(F.col("value").alias("line"), *[F.col(f"_metadata.{c}").alias(c) for c in at], F.monotonically_increasing_id().alias("id"))
+    splits = rows.groupBy(*at).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(*at, "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = rows.join(F.broadcast(starts), at).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line_num"), "line")  # one row a split
+    return numbered.where(F.col("line_num") <= limit) if limit else numbered
 
 
 def scan_jsonl(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

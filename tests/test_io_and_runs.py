@@ -28,6 +28,18 @@ def test_task_scan(spark, tasks_file):
     assert [r.p for r in texts] == ["Q?\n\n- level: 3", "R?"]
 
 
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for name, n in (("a", 4000), ("b", 3)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{k}\n" if k % 7 else "\n" for k in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        rows = jsonl.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 4003 and all(r.line in ("", f"a{r.line_num}", f"b{r.line_num}") for r in rows) and sum(r.line == "" for r in rows) == 571
+
+
 def test_results_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("é", True, 0.5, {"m": 1.0}, "{}", None, 1.0, 0.1)], "task_id string, success boolean, score double, metrics map<string,double>, details string, error string, execution_time double, cost double")
     path = f"{tmp_path}/results.jsonl"
