@@ -71,6 +71,6 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     often as one of them.
     """
     mixed = mix_sources(docs, id_col, **settings)
-    copies = mixed.groupBy(F.col(id_col).alias("_id")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).drop("_id")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = mixed.groupBy(F.col(id_col).alias("__tf_id")).agg(F.min("copies").alias("__tf_copies")).where("__tf_copies > 0")
+    joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("__tf_id")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__tf_copies").cast("int"))).alias("__tf_copy")).drop("__tf_copy")

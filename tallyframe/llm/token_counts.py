@@ -99,7 +99,7 @@ def token_counts(docs: DataFrame, model_file: str, text_col: str = "text", name:
     """``docs`` with ``name``: tokens of each whole text under the unigram reading of the vocabulary file.
 
     The file's pieces and scores are read as a unigram model, whatever it was made as. Null and empty texts have no
-    tokens. A column of that name is replaced; all other columns stay.
+    tokens. A column of that name is replaced; all other columns and all rows, repeated ones too, stay. An empty table stays empty.
     """
 
     @F.pandas_udf("long")

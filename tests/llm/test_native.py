@@ -20,7 +20,7 @@ ODD = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(*r, "extra", 1) for r in ODD], "doc_id long, text string, source string, n_lines string, position int")
+    return spark.createDataFrame([(*r, "extra", 1, "d", 2) for r in ODD], "doc_id long, text string, source string, n_lines string, position int, doc string, th int")
 
 
 def key(line):
@@ -39,7 +39,7 @@ def test_line_dedup(spark, odd):
         want[(i, len(lines), len(lines) - len(kept), "\n".join(kept))] += 1
     for batches, fanout in ((1, 2), (5, 2)):
         got = line_dedup(odd, batches=batches, fanout=fanout)
-        assert got.columns == ["doc_id", "text", "source", "position", "n_lines", "n_dropped"]
+        assert got.columns == ["doc_id", "text", "source", "position", "doc", "th", "n_lines", "n_dropped"]
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == want
 
 
