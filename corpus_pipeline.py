@@ -19,7 +19,7 @@ from tallyframe.llm.toxicity import score_toxicity, train_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, name="_toxicity").where("_toxicity < 0.5").select(*docs.columns)
+    return score_toxicity(docs, model, name="__tf_toxicity").where("__tf_toxicity < 0.5").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; texts without words stay, too."""
-    groups = ngram_components(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["_id"]), "left_semi").select(*docs.columns)
+    groups = ngram_components(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__tf_id")
+    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["__tf_id"]), "left_semi").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
