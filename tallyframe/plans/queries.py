@@ -95,14 +95,19 @@ def dict_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.select("o_orderkey", "score", "success"))
 
 
-def _rouge_sql(n: int) -> str:
+#: Precision, recall and F-score of a table v with a and b, to six digits.
+_PRF_OF_V = 'SELECT conv_id, turn, round(a::DOUBLE, 6) AS "precision", round(b::DOUBLE, 6) AS recall, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END::DOUBLE, 6) AS f_score FROM v'
+_F_OF_V = 'SELECT conv_id, turn, CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END::DOUBLE AS f FROM v'
+
+
+def _rouge_sql(n: int, last: str = _PRF_OF_V) -> str:
     gram = "p" if n == 1 else "[array_to_string({0}[i:i + 1], chr(1)) for i in range(1, len({0}))]"
     p, r = ("p", "r") if n == 1 else (gram.format("p"), gram.format("r"))
     return f"""WITH {TOKENS_SQL}, grams AS (SELECT conv_id, turn, {p} AS p, {r} AS r FROM words),
     pc AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest(p) AS g FROM grams) GROUP BY ALL), rc AS (SELECT conv_id, turn, g, count(*) AS c FROM (SELECT conv_id, turn, unnest(r) AS g FROM grams) GROUP BY ALL),
     o AS (SELECT conv_id, turn, sum(least(pc.c, rc.c)) AS n FROM pc JOIN rc USING (conv_id, turn, g) GROUP BY ALL),
     v AS (SELECT conv_id, turn, CASE WHEN len(p) = 0 THEN 0 ELSE coalesce(n, 0)::DOUBLE / len(p) END AS a, CASE WHEN len(r) = 0 THEN 0 ELSE coalesce(n, 0)::DOUBLE / len(r) END AS b FROM grams LEFT JOIN o USING (conv_id, turn))
-    SELECT conv_id, turn, round(a::DOUBLE, 6) AS "precision", round(b::DOUBLE, 6) AS recall, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END::DOUBLE, 6) AS f_score FROM v"""
+    {last}"""
 
 
 def _rouge(n: str) -> Query:
@@ -123,17 +128,24 @@ LCS_SQL = f"""WITH RECURSIVE {TOKENS_SQL}, step AS (
     UNION ALL SELECT conv_id, turn, p, r, i + 1, list_transform(range(1, len(p) + 1), lambda j: greatest(row[j], coalesce(list_max(list_transform(list_filter(range(1, j + 1), lambda q: p[q] = r[i + 1]), lambda q: 1 + CASE WHEN q > 1 THEN row[q - 1] ELSE 0 END)), 0))) FROM step WHERE i < len(r)),
     ends AS (SELECT conv_id, turn, row[len(p)] AS n FROM step WHERE i = len(r)),
     v AS (SELECT conv_id, turn, CASE WHEN len(p) = 0 THEN 0 ELSE coalesce(n, 0)::DOUBLE / len(p) END AS a, CASE WHEN len(r) = 0 THEN 0 ELSE coalesce(n, 0)::DOUBLE / len(r) END AS b FROM words LEFT JOIN ends USING (conv_id, turn))
-    SELECT conv_id, turn, round(a::DOUBLE, 6) AS "precision", round(b::DOUBLE, 6) AS recall, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END::DOUBLE, 6) AS f_score FROM v"""
-query(LCS_SQL)(_rouge("l"))
+    """
+query(LCS_SQL + _PRF_OF_V)(_rouge("l"))
+
+
+_CC = "CASE WHEN len(r) = 0 THEN 0 ELSE len(list_intersect(p, r))::DOUBLE / len(list_distinct(r)) END"
 
 
-@query()
+@query(
+    f"WITH r1 AS ({_rouge_sql(1, _F_OF_V)}), r2 AS ({_rouge_sql(2, _F_OF_V)}), rl AS ({LCS_SQL + _F_OF_V}), cc AS (WITH {TOKENS_SQL} SELECT conv_id, turn, {_CC} AS cc FROM words), "
+    "s AS (SELECT conv_id, turn, r1.f AS a, r2.f AS b, rl.f AS c, cc, 0.2::DOUBLE * r1.f + 0.3::DOUBLE * r2.f + 0.5::DOUBLE * rl.f AS score FROM r1 JOIN r2 USING (conv_id, turn) JOIN rl USING (conv_id, turn) JOIN cc USING (conv_id, turn)) "
+    "SELECT conv_id, turn, score >= 0.05 AS success, round(score, 6) AS score, round(a, 6) AS rouge_1, round(b, 6) AS rouge_2, round(c, 6) AS rouge_l, round(cc, 6) AS content_coverage FROM s"
+)
 def summarization_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = scorers.score(hosts.pairs(spark, sf_dir), ScorerConfig("rouge", criteria=(Criterion("composite_score", ">=", 0.05),)))
     return rounded(done.select("conv_id", "turn", "success", "score", *[F.col("metrics")[c].alias(c) for c in ("rouge_1", "rouge_2", "rouge_l", "content_coverage")]))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT conv_id, turn, round(CASE WHEN len(r) = 0 THEN 0 ELSE len(list_intersect(p, r))::DOUBLE / len(list_distinct(r)) END, 6) AS content_coverage FROM words")
+@query(f"WITH {TOKENS_SQL} SELECT conv_id, turn, round({_CC}, 6) AS content_coverage FROM words")
 def content_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = hosts.pairs(spark, sf_dir).select("conv_id", "turn", T.tokens(F.col("predicted_output")).alias("p"), T.tokens(F.col("expected_output")).alias("r"))
     return rounded(w.select("conv_id", "turn", T.ratio(F.size(F.array_intersect("p", "r")), F.size(F.array_distinct("r"))).alias("content_coverage")))
@@ -154,9 +166,14 @@ def retrieval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hosts.carts(spark, sf_dir).select("o_custkey", p.alias("precision"), r.alias("recall"), f.alias("f1"), n.cast("long").alias("num_correct")))
 
 
-@query(
-    f"WITH {hosts.TITLES_SQL}, extra AS (SELECT lang, source, block, unnest(list_filter(predicted, lambda x: NOT list_contains(expected, x))) AS x FROM lists), missed AS (SELECT lang, source, block, unnest(list_filter(expected, lambda x: NOT list_contains(predicted, x))) AS y FROM lists), "
+_NEAR_TITLES = (
+    f"{hosts.TITLES_SQL}, extra AS (SELECT lang, source, block, unnest(list_filter(predicted, lambda x: NOT list_contains(expected, x))) AS x FROM lists), missed AS (SELECT lang, source, block, unnest(list_filter(expected, lambda x: NOT list_contains(predicted, x))) AS y FROM lists), "
     f"xt AS (SELECT *, list_distinct({_tokens_sql('x')}) AS a FROM extra), yt AS (SELECT *, list_distinct({_tokens_sql('y')}) AS b FROM missed), near AS (SELECT DISTINCT lang, source, block, x FROM xt JOIN yt USING (lang, source, block) WHERE {JACCARD.format('a', 'b', '0.0')} > 0.8), n AS (SELECT lang, source, block, count(*) AS c FROM near GROUP BY ALL) "
+)
+
+
+@query(
+    f"WITH {_NEAR_TITLES} "
     "SELECT lang, source, block, round((len(list_intersect(predicted, expected)) + 0.5 * coalesce(c, 0)) / len(expected), 6)::DOUBLE AS citation_accuracy, len(predicted)::BIGINT AS num_predicted, len(expected)::BIGINT AS num_expected FROM lists LEFT JOIN n USING (lang, source, block)"
 )
 def citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +181,10 @@ def citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(made.select("lang", "source", "block", retrieval.citation_accuracy(F.col("predicted"), F.col("expected")).alias("citation_accuracy"), F.size("predicted").cast("long").alias("num_predicted"), F.size("expected").cast("long").alias("num_expected")))
 
 
-@query()
+@query(
+    f"WITH {_NEAR_TITLES}, v AS (SELECT lang, source, block, {_HIT} / len(expected) AS r, {_HIT} / len(predicted) AS p, (len(list_intersect(predicted, expected)) + 0.5::DOUBLE * coalesce(c, 0)) / len(expected) AS a FROM lists LEFT JOIN n USING (lang, source, block)) "
+    "SELECT lang, source, block, r >= 0.3 AS success, round(0.3::DOUBLE * r + 0.3::DOUBLE * p + 0.4::DOUBLE * a, 6) AS score FROM v"
+)
 def citation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scorer over JSON texts: lists of objects with titles, wrapped for half of the groups."""
     made = hosts.titles(spark, sf_dir)
