@@ -131,3 +131,21 @@ def test_streams(spark, tmp_path):
     answers = spark.readStream.schema("task_id string, predicted_output string, expected_output string").json(str(src))
     scored = streams.score_stream(answers, ScorerConfig("metric_based", (Metric("mtf"),), (Criterion("mtf", ">=", 0.8),)))
     assert scored.isStreaming and {"success", "score"} <= set(scored.columns)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tallyframe.plans import cli
+
+    for d in ("tasks", "data", "answers"):
+        (tmp_path / d).mkdir()
+    for name, mtf in (("one", 0.9), ("two", 0.1)):
+        (tmp_path / "tasks" / f"{name}.json").write_text(json.dumps({"task": {"id": name}, "dataset": {}, "evaluation": TASK.evaluation}))
+        (tmp_path / "data" / f"{name}.jsonl").write_text('{"task_id": "a", "instruction": "x"}\n')
+        (tmp_path / "answers" / f"{name}.jsonl").write_text(json.dumps({"task_id": "a", "predicted_output": json.dumps({"mtf": mtf})}) + "\n")
+    common = ["evaluate", "--tasks-dir", f"{tmp_path}/tasks", "--data", f"{tmp_path}/data", "--answers", f"{tmp_path}/answers", "--output", f"{tmp_path}/out.jsonl"]
+    assert cli.main(common) == 1 and cli.main([*common, "--task", "one"]) == 0
+    assert {p.name for p in tmp_path.glob("out*")} >= {"out_one.jsonl", "out_one.json", "out_two.json", "out.json"}
+    assert cli.main(["report", f"{tmp_path}/out_one.jsonl", "-o", f"{tmp_path}/r", "--format", "markdown"]) == 0
+    assert "| Successful | 1 (100.0%) |" in (tmp_path / "r" / "out_one.md").read_text()
+    (tmp_path / "out_two.json").unlink()
+    assert cli.load(spark, f"{tmp_path}/out_two.jsonl")["metrics_summary"]["mtf"]["mean"] == pytest.approx(0.1)
