@@ -135,7 +135,7 @@ def shared_counts(incidence: DataFrame) -> DataFrame:
 
 
 def candidate_blocks(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Blocks of whole n-gram sets of the wanted documents: block, reps, n, grams (one after another)."""
+    """Blocks of whole n-gram sets of the wanted documents: block, reps (first sum of the signature: it stands for the class), n, grams (one after another)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -153,7 +153,7 @@ def candidate_blocks(docs: DataFrame, wanted: DataFrame, id_col: str, text_col:
             for row in batch.to_pylist():
                 h = shingle_set(row[text_col], words)
                 if (len(h), *_signature(h)) == (row["n"], row["s1"], row["s2"]):
-                    reps.append(row["rep"])
+                    reps.append(row["s1"])
                     found.append(h)
                     size += len(h)
                     if len(reps) >= BLOCK_DOCS or size >= BLOCK_GRAMS:
@@ -313,8 +313,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words are runs of anything but six white-space characters, A-Z lower-cased; a text of fewer than ``words`` words has one
     n-gram, a text without words or null has none and links with nothing. Rows with equal id are compared
-    row by row and share the id; a row with a null id has itself (null) as component. Sets are compared
-    by 64-bit hashes.
+    row by row, each by its own text; a row with a null id has itself (null) as component. Sets are compared
+    by 64-bit hashes of their n-grams, and classes by sums of these.
     """
     spark = docs.sparkSession
     parts = 16
@@ -325,12 +325,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = written(about.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("half").alias("half"), F.max("shared").alias("shared")), "ngram-classes")
     wanted = classes.where(F.col("shared") >= F.col("half") - (F.col("n") - F.ceil(F.col("n") * percent / 100))).select("rep", *key)
     blocks = written(candidate_blocks(docs, wanted, id_col, text_col, words), "ngram-blocks")
-    alive = written(reachable(blocks, block_frequencies(blocks, parts), percent).dropDuplicates(["rep", "n", "prefix"]), "ngram-alive")
+    alive = written(reachable(blocks, block_frequencies(blocks, parts), percent).dropDuplicates(["rep"]), "ngram-alive")
     listed = alive.select("rep", F.explode("prefix").alias("gram"))
     heads = listed.groupBy("gram").agg(F.min("rep").alias("b"), F.count("*").alias("many")).where("many > 1")
     families = written(components(listed.join(heads, "gram").select(F.col("rep").alias("a"), "b").distinct()), "ngram-families")
     links = written(block_links(family_blocks(alive.select("rep", "n", "grams"), families), percent), "ngram-links")
-    joined = components(links).withColumnRenamed("id", "rep")
-    labelled = classes.join(joined, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component"))
+    joined = components(links).withColumnRenamed("id", "s1")
+    grouped = written(classes.select(*key, "rep").join(joined, "s1", "left").withColumn("component", F.coalesce("component", "s1")), "ngram-grouped")
+    smallest = grouped.groupBy("component").agg(F.min("rep").alias("smallest"))
+    labelled = grouped.join(smallest, "component").select(*key, F.col("smallest").alias("component"))
     out = about.join(labelled, key, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))

@@ -77,10 +77,12 @@ def test_ngram_join(spark, monkeypatch):
         base[(3 * k) % 60] = word()
         texts.append(" ".join(base))
     docs = [(i * 3 + 1, t, "x", 5) for i, t in enumerate(texts)] + [(None, passage, "x", 5), (1, texts[0], "x", 5)]
+    twice = [(4, "this text has its own words only"), (4, "and so has this other one here")]
     sets = {i: word_set(t) for i, t, *_ in docs if i is not None}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     want = groups(sets, links)
     got = ngram_components(spark.createDataFrame(docs, "doc_id long, text string, n string, rep int")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(spark.createDataFrame(twice, "doc_id long, text string")).collect()) == [(4, 3, 4), (4, 3, 4)]
     assert len(got) == len(docs)
     for row in got:
         if row.doc_id is None:
