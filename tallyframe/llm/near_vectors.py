@@ -69,7 +69,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Returns a row for each row of ``vectors``: id, ``n_links`` (other rows linked directly), ``component_id`` (smallest id
     reachable by links) and ``kept`` (id = component_id). Vectors that are null, empty or zero, or have null or non-finite
     components, and rows with a null group or id link with nothing; neither do vectors of different length.
-    Rows with equal ids and vectors count as several rows.
+    Rows with equal ids count as several rows, each by its own vector.
     """
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     sound = F.col(id_col).isNotNull() & F.col(group_col).isNotNull() & F.col(vec_col).isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(x, lambda c: c != 0)
@@ -79,7 +79,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         "vectors",
     )
     classes = written(rows.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "vector-classes")
-    firsts = rows.where("h1 is not null").select("id", "h1", "h2", "grp", "v").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["rep"]).select("rep", "size", F.concat_ws(":", F.size("v"), "grp").alias("grp"), "v")
+    firsts = rows.where("h1 is not null").select("id", "h1", "h2", "grp", "v").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("rep"), "size", F.concat_ws(":", F.size("v"), "grp").alias("grp"), "v")
     firsts = written(firsts, "vector-firsts")
     pivots = pivots or min(1024, max(64, 4 * math.isqrt(firsts.count())))
     fitted = [r["v"] for r in firsts.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("v").collect()]
@@ -123,7 +123,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     links = written(blocks.groupBy("grp", "pivot", "c1", "c2").applyInArrow(link, "a long, b long, n long"), "vector-links")
     joined = components(links.select("a", "b"))
     numbers = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    labelled = classes.join(numbers, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # a class goes by its first hash; its component by the smallest id in it
+    counted = classes.join(numbers.withColumnRenamed("rep", "h1"), "h1", "left").join(joined.withColumnRenamed("id", "h1"), "h1", "left")
+    grouped = written(counted.select("h1", "h2", "rep", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "h1").alias("component")), "vector-grouped")
+    smallest = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labelled = grouped.join(smallest, "component").select("h1", "h2", "n_links", "component_id")
     out = rows.select("id", "h1", "h2").join(labelled, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
