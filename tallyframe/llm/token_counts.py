@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: The tokenizers' sign for a blank, and what an unknown character costs below the lowest score.
