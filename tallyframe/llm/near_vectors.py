@@ -61,7 +61,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     ``pivots`` reference points are taken from the vectors by smallest hash of the id (the
     only fitted part; four times the square root of the number of vectors unless given, from 64 to 1024, so that lists stay
     short); every vector is indexed. It is described by its ``nearest`` nearest
-    pivots in order and stands in the inverted list of each; pairs in a list that share ``shared`` pivots are
+    pivots in order and stands in the inverted list of each; pairs in a list that share ``shared`` pivots (or all, if there are fewer) are
     verified by cosine in double precision. Lists beyond LIST_ROWS are cut into chunks, every two of which meet
     in some task, so nothing is dropped. Equal vectors of a group are
     one vector of the index, with their number as its weight.
@@ -87,6 +87,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(map(len, fitted))
     reference = unit(np.array([v + [0.0] * (width - len(v)) for v in fitted]))
+    least = min(shared, len(reference))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +112,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         v, near = unit(data[:, :-k]), data[:, -k:].astype(np.int64)
         everyone = np.arange(len(ids))
         if c1 == c2:
-            i, j = linked_in_list(v, near, pivot, everyone, everyone, shared, threshold)
+            i, j = linked_in_list(v, near, pivot, everyone, everyone, least, threshold)
         else:
             a, b = everyone[chunk == c1], everyone[chunk == c2]
-            i, j = (np.concatenate(p) for p in zip(linked_in_list(v, near, pivot, a, b, shared, threshold), linked_in_list(v, near, pivot, b, a, shared, threshold), strict=True))
+            i, j = (np.concatenate(p) for p in zip(linked_in_list(v, near, pivot, a, b, least, threshold), linked_in_list(v, near, pivot, b, a, least, threshold), strict=True))
         n = np.bincount(i, size[j], minlength=len(ids)) + np.bincount(j, size[i], minlength=len(ids))
         low = roots(len(ids), i, j)
         some = np.flatnonzero(n > 0)

@@ -120,6 +120,12 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+def test_near_vectors_of_a_tiny_table(spark):
+    rows = [(0, [1.0, 0.0, 0.1], 0), (1, [1.0, 0.1, 0.0], 0), (2, [1.0, 0.0, 0.1], 0)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0)]
+
+
 def test_top_k(spark, monkeypatch):
     from tallyframe.llm import topk
 
