@@ -15,6 +15,8 @@ from .scratch import written
 
 #: Rows of a list that meet in one task.
 LIST_ROWS = 2048
+#: Vectors from which a pivot is chosen.
+CANDIDATES = 8
 
 
 def nearest_pivots(v: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
@@ -29,28 +31,45 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def spread(v: np.ndarray, k: int, limit: float) -> np.ndarray:
+    """Numbers of at most k rows, each the farthest from those before it, until none has cosines under ``limit`` to all of them."""
+    nearest, chosen = v @ v[0], [0]
+    while len(chosen) < k:
+        at = int(np.argmin(nearest))
+        if nearest[at] >= limit:
+            break
+        chosen.append(at)
+        nearest = np.maximum(nearest, v @ v[at])
+    return np.array(chosen)
+
+
 def linked_in_list(v: np.ndarray, near: np.ndarray, pivot: int, left: np.ndarray, right: np.ndarray, shared: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked pairs of rows (left, right) among those of one pivot's list.
 
     Pairs that share fewer than ``shared`` pivots are passed over; the others are verified by
     cosine. A pair that shares several pivots is reported in the list of the smallest only.
     """
-    owned = np.zeros((len(v), int(near.max()) + 1), dtype=np.float32)
-    np.put_along_axis(owned, near.astype(np.int64), 1, axis=1)
+    # only the pivots that occur here; those below the list's own come first
+    numbers, at = np.unique(near, return_inverse=True)
+    owned = np.zeros((len(v), len(numbers)), dtype=np.float32)
+    np.put_along_axis(owned, at.reshape(near.shape), 1, axis=1)
+    below = int(np.searchsorted(numbers, pivot))
     found_i, found_j = [], []
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
-        i, j = np.nonzero(owned[rows] @ owned[right].T >= shared)
+        # the product of the matrices may be off in the last digits
+        close = v[rows] @ v[right].T >= threshold - 1e-9
+        close &= rows[:, None] < right
+        if close.any():
+            close &= owned[rows] @ owned[right].T >= shared
+            close &= owned[rows, :below] @ owned[right, :below].T == 0
+        i, j = np.nonzero(close)
         i, j = rows[i], right[j]
-        keep = i < j
-        i, j = i[keep], j[keep]
-        for part in range(0, len(i), 200_000):
-            a, b = i[part : part + 200_000], j[part : part + 200_000]
-            close = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
-            a, b = a[close], b[close]
-            first = np.argmax(owned[a] * owned[b] > 0, axis=1) == pivot
-            found_i.append(a[first])
-            found_j.append(b[first])
+        for part in range(0, len(i), 20_000):
+            a, b = i[part : part + 20_000], j[part : part + 20_000]
+            linked = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
+            found_i.append(a[linked])
+            found_j.append(b[linked])
     empty = np.zeros(0, dtype=np.int64)
     return np.concatenate([empty, *found_i]), np.concatenate([empty, *found_j])
 
@@ -58,9 +77,11 @@ def linked_in_list(v: np.ndarray, near: np.ndarray, pivot: int, left: np.ndarray
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", group_col: str = "label", threshold: float = 0.93, pivots: int | None = None, nearest: int = 16, shared: int = 3) -> DataFrame:
     """Near-duplicates among vectors of equal, non-null group.
 
-    ``pivots`` reference points are taken from the vectors by smallest hash of the id (the
-    only fitted part; four times the square root of the number of vectors unless given, from 64 to 1024, so that lists stay
-    short); every vector is indexed. It is described by its ``nearest`` nearest
+    At most ``pivots`` reference points are fitted (four times the square root of the number of vectors unless given, from 64
+    to 1024, so that lists stay short): of CANDIDATES times as many vectors, those of the smallest hash of the id, the farthest from
+    one another, as long as they are more than two links' angles apart. So a group of near copies has about one pivot
+    of its own, and its vectors are told by their order of far pivots as others are; a table that is one such group
+    has one pivot, and all its pairs are verified. Every vector is indexed. It is described by its ``nearest`` nearest
     pivots in order and stands in the inverted list of each; pairs in a list that share ``shared`` pivots (or all, if there are fewer) are
     verified by cosine in double precision. Lists beyond LIST_ROWS are cut into chunks, every two of which meet
     in some task, so nothing is dropped. Equal vectors of a group are
@@ -82,11 +103,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     firsts = rows.where("h1 is not null").select("id", "h1", "h2", "grp", "v").join(classes, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select(F.col("h1").alias("rep"), "size", F.concat_ws(":", F.size("v"), "grp").alias("grp"), "v")
     firsts = written(firsts, "vector-firsts")
     pivots = pivots or min(1024, max(64, 4 * math.isqrt(firsts.count())))
-    fitted = [r["v"] for r in firsts.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("v").collect()]
+    fitted = [c.values.to_numpy() for c in firsts.orderBy(F.xxhash64("rep"), "rep").limit(CANDIDATES * pivots).select("v").toArrow()["v"]]
     if not fitted:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(map(len, fitted))
-    reference = unit(np.array([v + [0.0] * (width - len(v)) for v in fitted]))
+    reference = unit(np.array([np.pad(v, (0, width - len(v))) for v in fitted]))
+    apart = math.cos(min(math.pi, 2 * math.acos(max(-1.0, min(1.0, threshold)))))
+    reference = reference[spread(reference, pivots, apart)]
     least = min(shared, len(reference))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

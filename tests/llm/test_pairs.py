@@ -120,6 +120,20 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "share", "level"), [(6000, 1 / 3, 0.94), (3000, 1.0, 0.97)])
+def test_near_vectors_with_one_large_group_of_near_copies(spark, n, share, level):
+    rng = np.random.default_rng(8)
+    base, many = rng.normal(size=64), int(n * share)
+    base /= np.linalg.norm(base)
+    v = np.concatenate([base + rng.normal(scale=np.sqrt((1 / level - 1) / 64), size=(many, 64)), rng.normal(size=(n - many, 64))])[rng.permutation(n)]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = (v @ v.T >= 0.93).sum(axis=1) - 1
+    got = near_vectors(spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()
+    found = sum(r.n_links for r in got) / want.sum()
+    print(f"recall of links {found:.4f} of {want.sum() // 2}")
+    assert found >= 0.999 and all(r.n_links <= want[r.vec_id] for r in got)
+
+
 def test_near_vectors_of_a_tiny_table(spark):
     rows = [(0, [1.0, 0.0, 0.1], 0), (1, [1.0, 0.1, 0.0], 0), (2, [1.0, 0.0, 0.1], 0)]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
