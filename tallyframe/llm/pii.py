@@ -76,11 +76,17 @@ AGAINST = ("version", "order", "invoice", "isbn", "id", "no", "page", "section",
 
 _AT = re.compile(r"\s?(?:\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[A-Za-z0-9-]+)+", re.I)
 _NUMBER = re.compile(r"\(?(?<![0-9A-Za-z])[0-9](?:[\x20().-]{0,2}[0-9])+")
+_GROUP = re.compile(r"[0-9]+")
+_CUT_LEFT, _CUT_RIGHT = re.compile(r"[0-9]([\x20().-]{1,2})\Z"), re.compile(r"([\x20().-]{1,2})[0-9]")
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Overlapping proposals: e-mail addresses that spell out the sign, long IP addresses, numbers with separators as card and as phone."""
+    """Overlapping proposals: e-mail addresses that spell out the sign, long IP addresses, numbers with separators as card and as phone.
+
+    Numbers may stand next to each other, so of a run of groups of digits each stretch of whole groups is proposed that has
+    a number's count of digits: at most 19 stretches a group.
+    """
     found = []
     if "at" in text or "AT" in text:
         found += [("email", *s) for s in _emails(text, _AT)]
@@ -88,14 +94,27 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         found += [("ip", *m.span()) for m in _IP6.finditer(text)]
     for m in _NUMBER.finditer(text):
         if m.end() - m.start() >= 7:
-            n = len(_digits(m.group()))
-            if 7 <= n <= 15:
-                found.append(("phone", *m.span()))
-            if 13 <= n <= 19:
-                found.append(("card", *m.span()))
+            groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
+            for k, (start, _) in enumerate(groups):
+                before, n = text[start - 1 : start] if start else "", 0
+                if before == "(":
+                    start, before = start - 1, text[start - 2 : start - 1] if start > 1 else ""
+                for first, end in groups[k:]:
+                    n += end - first
+                    if n > 19:
+                        break
+                    if 7 <= n <= 15:
+                        found.append(("phone", start - (before == "+"), end))
+                    if n >= 13:
+                        found.append(("card", start, end))
     return found
 
 
+def _cut(m: re.Match | None) -> float:
+    """0 if digits end there, 1 if more follow behind a blank, 2 behind another separator."""
+    return 0.0 if m is None else 1.0 if m.group(1)[:1] == " " else 2.0
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format of the span and its surroundings, as numbers."""
     span, before = text[start:end], text[max(0, start - 28) : start].lower()
@@ -106,6 +125,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(KINDS.index(kind)), float(len(digits)), float(end - start), float(len(groups)), float(max(groups, default=0)), float(groups[-1] if groups else 0), float(groups[0] if groups else 0),
         float(span.count("-")), float(span.count(".")), float(span.count(" ")), float(span.count("(")), float(luhn(digits)) if digits else 0.0,
         float(any(w in CUES[kind] for w in words)), float(any(w in AGAINST for w in words)), float(text[start - 1 : start] in "+#$€/=_" and start > 0), float(text[end : end + 1].isalpha() or text[end : end + 1] in ("%", "/", "_")), float(span.count(":")),
+        _cut(_CUT_LEFT.search(text[max(0, start - 3) : start])), _cut(_CUT_RIGHT.match(text, end)), float(span[:1] == "+"),
     ]
 
 
@@ -135,10 +155,43 @@ def _example(r: random.Random) -> tuple[str, str, int, int, int]:
     return f"{left}{span} {word()} {word()}", kind, len(left), len(left) + len(span), y
 
 
+def _neighbours(r: random.Random) -> list[tuple[str, str, int, int, int]]:
+    """A made-up sentence with numbers next to each other, personal and others: all its candidates, as in ``_example``."""
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def one() -> tuple[str, str]:
+        kind = r.choice(("phone", "phone", "card", "ip", ""))
+        if kind == "phone":
+            a, b, c = n(3), n(3), n(4)
+            if r.random() < 0.2:
+                return kind, f"+{n(2)} {n(2)} {n(4)} {n(4)}"
+            return kind, r.choice(("", "", "+1 ", f"+{n(2)} ", "1-")) + r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"))
+        if kind == "card":
+            d = r.choice("3456") + n(14)
+            d = next(d + c for c in "0123456789" if luhn(d + c))
+            return kind, r.choice((" ", "-", ".")).join(d[k : k + 4] for k in range(0, 16, 4))
+        if kind == "ip":
+            return "", ".".join(str(r.randint(0, 255)) for _ in range(4))
+        return "", r.choice((n(2), n(1), n(4), f"{n(2)}/{n(2)}", f"{n(4)}-{n(2)}-{n(2)}", f"{n(4)} {n(4)} {n(3)} {n(4)}", f"{n(3)} {n(2)} {n(3)} {n(1)}", " ".join(n(r.randint(1, 4)) for _ in range(r.randint(3, 9)))))
+
+    numbers = [one() for _ in range(r.randint(2, 3))]
+    cues = [w for k, _ in numbers if k for w in CUES[k]]
+    text, true = f"see {r.choice(cues if cues and r.random() < 0.5 else ('it', *AGAINST))}{r.choice((':', ' is', '', ''))} ", set()
+    for k, number in numbers:
+        true.add((k, len(text), len(text) + len(number)))
+        text += f"{number} "
+    taken = Taken([s for v in base_spans(text).values() for s in v])
+    return [(text, *c, int(c in true)) for c in candidates(text) if not taken.meets(*c[1:])]
+
+
 def train(examples: int = 3000, seed: int = 5, precision: float = 0.98) -> tuple[BoostedTrees, list[float]]:
     """Trees and, for each kind, the lowest probability at which the second half of the examples has this precision."""
     r = random.Random(seed)
     made = [_example(r) for _ in range(examples)]
+    for _ in range(examples // 5):
+        made += _neighbours(r)
+    r.shuffle(made)
+    examples = len(made)
     x, y = np.array([features(*e[:4]) for e in made]), np.array([e[4] for e in made], dtype=float)
     half = examples // 2
     trees = BoostedTrees(trees=25).fit(x[:half], y[:half])

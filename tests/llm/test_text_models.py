@@ -130,6 +130,35 @@ def test_trees_on_held_out_sentences():
     assert hits[True, 1] / (hits[True, 1] + hits[True, 0]) > 0.95 and hits[True, 1] / (hits[True, 1] + hits[False, 1]) > 0.6
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "spans"),
+    [
+        ("text +1 (826) 555-4081 190.137.223.204", "phone", ["+1 (826) 555-4081"]),
+        ("call 555-123-4567 555-987-6543", "phone", ["555-123-4567", "555-987-6543"]),
+        ("card 4111 1111 1111 1111 12/27", "card", ["4111 1111 1111 1111"]),
+        ("visa 4111 1111 1111 1111 5500 0000 0000 0004", "card", ["4111 1111 1111 1111", "5500 0000 0000 0004"]),
+        ("rows 12 345 678 90 1 22 333 4444 55", "phone", []),
+    ],
+)
+def test_numbers_next_to_each_other(text, kind, spans):
+    trees, limits = pii.train()
+    found = pii.all_spans(text, pii.base_spans(text), trees, limits)
+    assert [text[s:e] for s, e in sorted(found[kind])] == spans
+
+
+def test_neighbours_on_held_out_sentences():
+    import numpy as np
+
+    trees, limits = pii.train()
+    r = random.Random(77)
+    hits = Counter()
+    for _ in range(300):
+        for *c, y in pii._neighbours(r):
+            hits[bool(trees.probability(np.array([pii.features(*c)]))[0] >= limits[pii.KINDS.index(c[1])]), y] += 1
+    print(hits)
+    assert hits[True, 1] / (hits[True, 1] + hits[True, 0]) > 0.95 and hits[True, 1] / (hits[True, 1] + hits[False, 1]) > 0.6
+
+
 def test_toxicity_on_held_out_rows(spark):
     r = random.Random(3)
     word = lambda: "".join(r.choice("etaoinshr") for _ in range(r.randint(2, 5)))
