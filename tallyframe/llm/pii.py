@@ -74,6 +74,7 @@ CUES = {
 }
 AGAINST = ("version", "order", "invoice", "isbn", "id", "no", "page", "section", "fig", "build", "total", "date", "ref")
 
+_SIGN = re.compile(r"[\[({][Aa][Tt][\])}]")
 _AT = re.compile(r"\s?(?:\[at\]|\(at\)|\{at\})\s?[A-Za-z0-9-]+(?:\s?(?:\[dot\]|\(dot\)|\{dot\}|\.)\s?[A-Za-z0-9-]+)+", re.I)
 _NUMBER = re.compile(r"\(?(?<![0-9A-Za-z])[0-9](?:[\x20().-]{0,2}[0-9])+")
 _GROUP = re.compile(r"[0-9]+")
@@ -88,7 +89,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     a number's count of digits: at most 19 stretches a group.
     """
     found = []
-    if "at" in text or "AT" in text:
+    if _SIGN.search(text):
         found += [("email", *s) for s in _emails(text, _AT)]
     if text.count(":") >= 7:
         found += [("ip", *m.span()) for m in _IP6.finditer(text)]

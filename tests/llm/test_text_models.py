@@ -146,6 +146,11 @@ def test_numbers_next_to_each_other(text, kind, spans):
     assert [text[s:e] for s, e in sorted(found[kind])] == spans
 
 
+@pytest.mark.parametrize("sign", ["[at]", "[At]", "(aT)", "{AT}"])
+def test_spelled_out_signs_in_any_case(sign):
+    assert [c[0] for c in pii.candidates(f"jo{sign}home[Dot]org")] == ["email"]
+
+
 def test_neighbours_on_held_out_sentences():
     import numpy as np
 
