@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .ordering import with_position
 from .scratch import written
@@ -31,6 +31,26 @@ def source_targets(sizes: DataFrame, max_copies: int = 3, cycle: int = 3) -> Dat
     return filled.withColumn("level", F.max("level").over(every)).select("source", "source_size", F.when(F.col("level").isNull(), F.col("limit").cast("double")).otherwise(F.least(F.col("limit").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
+def _with_copies(rows: DataFrame, ties: list[Column], seed: int, max_copies: int) -> DataFrame:
+    """Add ``source_size``, ``target`` and ``copies`` to rows with ``doc``, ``source`` and ``size``; ``ties`` orders those equal in id and size."""
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    targets = source_targets(totals.select("source", "source_size"))
+    order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("source", "docs", F.coalesce(F.sum("docs").over(order), F.lit(0)).alias("start"))
+    table = targets.join(starts, targets["source"].eqNullSafe(starts["source"])).drop(starts["source"])
+    table = written(table, "mix-targets")
+    ordered = with_position(
+        rows.select("*", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("md5")),
+        [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("md5"), *ties],
+    )
+    joined = ordered.join(table, ordered["source"].eqNullSafe(table["source"])).drop(table["source"])
+    offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rank = (F.col("position") - F.col("start")).cast("double")
+    copies = F.floor(rate * (rank + 1) + offset) - F.floor(rate * rank + offset)
+    return joined.withColumn("copies", F.least(copies, F.lit(max_copies)).cast("long"))
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, max_copies: int = 3) -> DataFrame:
     """Copies of each document that the mix takes.
 
@@ -46,31 +66,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = whole(text_col)
     slim = written(docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), word_count(text).alias("size")), "mix-sizes")
-    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    targets = source_targets(totals.select("source", "source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("source", "docs", F.coalesce(F.sum("docs").over(order), F.lit(0)).alias("start"))
-    table = targets.join(starts, targets["source"].eqNullSafe(starts["source"])).drop(starts["source"])
-    table = written(table, "mix-targets")
-    ordered = with_position(
-        slim.select("*", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit(""))).alias("md5")),
-        [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("md5")],
-    )
-    joined = ordered.join(table, ordered["source"].eqNullSafe(table["source"])).drop(table["source"])
-    offset = F.conv(F.substring(F.md5(F.concat(F.coalesce("source", F.lit("")), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rank = (F.col("position") - F.col("start")).cast("double")
-    copies = F.floor(rate * (rank + 1) + offset) - F.floor(rate * rank + offset)
-    return joined.select(F.col("doc").alias(id_col), "source", "size", "source_size", "target", F.least(copies, F.lit(max_copies)).cast("long").alias("copies"))
+    return _with_copies(slim, [], seed, max_copies).select(F.col("doc").alias(id_col), "source", "size", "source_size", "target", "copies")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, max_copies: int = 3) -> DataFrame:
     """``docs`` with each row as often as the mix takes it (same columns).
 
-    Needs ids that are unique where rows differ: rows with equal id are all repeated as
-    often as one of them.
+    Rows go through the mix as they are, so ids may be null or repeated.
     """
-    mixed = mix_sources(docs, id_col, **settings)
-    copies = mixed.groupBy(F.col(id_col).alias("__tf_id")).agg(F.min("copies").alias("__tf_copies")).where("__tf_copies > 0")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("__tf_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__tf_copies").cast("int"))).alias("__tf_copy")).drop("__tf_copy")
+    text = whole(text_col)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = _with_copies(rows, [F.xxhash64(F.col("row")[text_col])], seed, max_copies).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

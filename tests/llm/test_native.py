@@ -60,6 +60,17 @@ def test_mixing(spark, odd):
     assert repeated(odd).columns == odd.columns
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rows = [(None if k % 2 else k // 8, "w " * (k % 30 + 1), f"s{k % 3}") for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, got = Counter(), Counter()
+    for r in mix_sources(docs).collect():
+        taken[r.doc_id, r.source, r.size] += r.copies
+    for r in repeated(docs).collect():
+        got[r.doc_id, r.source, len(r.text.split())] += 1
+    assert got == +taken and sum(n for (i, *_), n in got.items() if i is None) > 100
+
+
 @pytest.mark.parametrize("sizes", [[10, 10, 10], [1, 100, 1, 50], [0, 0], [5], [0, 7, 3, 1000, 2, 2, 2]])
 def test_targets_fill_like_the_loop(spark, sizes):
     rows = [(f"s{k}", n) for k, n in enumerate(sizes)]
