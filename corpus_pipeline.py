@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyframe.llm.line_dedup import line_dedup
 from tallyframe.llm.mixing import repeated
 from tallyframe.llm.ngram_join import ngram_components
+from tallyframe.llm.ordering import with_position
 from tallyframe.llm.packing import pack
 from tallyframe.llm.scratch import written
 from tallyframe.llm.toxicity import score_toxicity, train_toxicity
@@ -31,9 +32,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; texts without words stay, too."""
-    groups = ngram_components(docs).where("doc_id is null or doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__tf_id")
-    return docs.join(groups, docs["doc_id"].eqNullSafe(groups["__tf_id"]), "left_semi").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id stays, one row of it; texts without words stay, too.
+
+    Rows are told apart by their places in the order of ids, null last: ids may be null or repeated.
+    """
+    placed = with_position(docs, [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")], "__tf_place")
+    firsts = ngram_components(placed, id_col="__tf_place").where("__tf_place = component_id").select("__tf_place")
+    return placed.join(firsts, "__tf_place", "left_semi").select(*docs.columns)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

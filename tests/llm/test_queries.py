@@ -74,3 +74,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(times) <= {r.doc_id for r in unique} and max(times.values()) <= 3
     pieces = corpus_pipeline.STAGES[-1][1](spark, last, SF).collect()
     assert Counter(r.doc_id for r in pieces if r.start == 0) == times
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    base = [f"word{k}" for k in range(60)]
+    near, other, own = " ".join([*base[:-1], "end"]), " ".join(f"other{k}" for k in range(9)), " ".join(f"own{k}" for k in range(9))
+    rows = [(7, " ".join(base)), (5, near), (5, near), (None, near), (None, " ".join(base)), (None, other), (None, other), (5, own), (8, ""), (None, None)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter(map(tuple, got)) == Counter([(5, near), (None, other), (5, own), (8, ""), (None, None)])
