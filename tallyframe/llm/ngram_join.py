@@ -289,7 +289,7 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(table["rep"].to_numpy(), kind="stable")
         rep, n = table["rep"].to_numpy()[order], table["n"].to_numpy()[order].astype(np.int64)
         grams = table["grams"].to_pylist()
-        common = overlaps([np.frombuffer(grams[k], "<u8") for k in order])
+        common = overlaps([np.frombuffer(grams[k], "<u8") for k in order]).astype(np.int64)  # products beyond float32
         i, j = np.nonzero(np.triu(common * (100 + percent) >= percent * (n[:, None] + n[None, :]), 1) & (common > 0))
         low = roots(len(rep), i, j)
         some = np.flatnonzero(low < np.arange(len(rep)))

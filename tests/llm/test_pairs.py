@@ -91,6 +91,20 @@ def test_ngram_join(spark, monkeypatch):
             assert (row.n_shingles, row.component_id) == (len(sets[row.doc_id]), want[row.doc_id])
 
 
+def test_links_of_long_documents_at_the_bound(spark):
+    from tallyframe.llm.ngram_join import block_links
+
+    # 100 * m = 75 * (size of the union) in whole numbers; 175 * m has no float32
+    m, sizes = 100_011, (116_679, 116_680)
+    assert 175 * m == 75 * sum(sizes)
+    sets = [np.arange(m, dtype="<u8"), np.arange(m, dtype="<u8")]
+    sets = [np.concatenate([x, np.arange(n - m, dtype="<u8") + 10**6 * (k + 1)]) for k, (x, n) in enumerate(zip(sets, sizes, strict=True))]
+    for cut in (0, 1):
+        rows = [(1, 0, 0, 0, 0, k, len(x), x.tobytes()) for k, x in enumerate([sets[0], np.append(sets[1][cut:], np.arange(cut, dtype="<u8") + 10**7)])]
+        blocks = spark.createDataFrame(rows, "family long, c1 int, j1 int, c2 int, j2 int, rep long, n long, grams binary")
+        assert [tuple(r) for r in block_links(blocks, 75).collect()] == ([] if cut else [(1, 0)])
+
+
 def test_near_vectors(spark, monkeypatch):
     from tallyframe.llm import near_vectors as module
 
