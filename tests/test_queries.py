@@ -1,6 +1,8 @@
 """Every query with SQL against DuckDB on the smallest tables, and plans of the headline aggregates."""
 
 import math
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -48,3 +50,10 @@ def test_scan_reads_only_what_is_needed(spark):
     plan = plans.QUERIES["aggregate_results"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     read = plan.split("ReadSchema: ")[1]
     assert "ts:" not in read.split(">")[0] and plan.count("Exchange") == 1 and "Python" not in plan
+
+
+@pytest.mark.parametrize("absent", ["ahocorasick", "tallyframe.llm", "corpus_pipeline"])
+def test_entry_without_some_imports(absent):
+    code = f"import sys; sys.modules[{absent!r}] = None; import __spark_entry__ as e; print(len(e.queries()), *e.oracle_sql())"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parent.parent).stdout.split()
+    assert int(out[0]) >= len(plans.QUERIES) and set(plans.SQL) <= set(out[1:])
