@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -11,6 +12,8 @@ RESULT = "task_id string, success boolean, score double, metrics map<string,doub
 SAVED_RESULT = "task_id string, success boolean, score double, metrics map<string,double>, details string, error string, execution_time double, cost double"
 TASK = "task_id string, instruction string, expected_output string, metadata map<string,string>"
 METRIC_TYPES = ("numeric", "binary", "llm_judge")
+#: What the ``evaluation`` part of a task may hold besides method, metrics and criteria.
+SETTINGS = ("threshold", "weight_rouge_1", "weight_rouge_2", "weight_rouge_l")
 OPERATORS = (">=", "<=", ">", "<", "==", "!=")
 
 
@@ -46,10 +49,13 @@ class ScorerConfig:
 
     @classmethod
     def of(cls, config: dict[str, Any]) -> ScorerConfig:
-        """From the ``evaluation`` part of a task configuration."""
+        """From the ``evaluation`` part of a task configuration; a criterion without operator means at least. Unknown keys are kept with a warning."""
+        settings = {k: v for k, v in config.items() if k not in ("scoring_method", "metrics", "success_criteria")}
+        for k in settings.keys() - set(SETTINGS):
+            warnings.warn(f"unknown key {k!r} in the evaluation of a task", stacklevel=2)
         return cls(
             config.get("scoring_method", "metric_based"),
-            tuple(Metric(m["name"], m.get("type", "numeric")) for m in config.get("metrics", [])),
-            tuple(Criterion(c["metric"], c["operator"], c["value"]) for c in config.get("success_criteria", [])),
-            {k: v for k, v in config.items() if k not in ("scoring_method", "metrics", "success_criteria")},
+            tuple(Metric(m["name"], m.get("type", "numeric")) for m in config.get("metrics") or ()),
+            tuple(Criterion(c["metric"], c.get("operator", ">="), c["value"]) for c in config.get("success_criteria") or ()),
+            settings,
         )

@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, variant as V
 from ..model import ScorerConfig
-from .scorers import SCORED, _scored, judged, scorer
+from .scorers import SCORED, _scored, judged, parsed, scorer
 
 
-def identifiers(text: Column) -> Column:
+def identifiers(root: Column) -> Column:
     """Distinct identifiers in a JSON list, or in the ``papers`` of a JSON object.
 
     An object counts by its ``doi`` as written, without one by its title in lower case; a text by itself in lower case. Anything else has none.
     """
-    root = V.parse(text)
     papers = V.field(root, "papers")
     listed = F.coalesce(F.try_variant_get(root, "$", "array<variant>"), F.try_variant_get(papers, "$", "array<variant>"))
-    named = lambda e: F.when(V.is_object(e), F.coalesce(F.nullif(V.field(e, "doi", "string"), F.lit("")), F.lower(V.field(e, "title", "string")))).when(V.kind(e) == "STRING", F.lower(F.try_variant_get(e, "$", "string")))
+    named = lambda e: F.when(V.is_object(e), F.coalesce(F.nullif(V.field(e, "doi", "string"), F.lit("")), F.lower(V.field(e, "title", "string")))).when(V.is_text(e), F.lower(F.try_variant_get(e, "$", "string")))
     found = F.filter(F.transform(listed, named), lambda x: x.isNotNull() & (x != ""))
     return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
 
@@ -40,8 +39,11 @@ def citation_accuracy(predicted: Column, expected: Column, threshold: float = 0.
 
     One expected title may serve several predictions, so this can exceed 1. With nothing expected, 1 if nothing was predicted, else 0.
     """
-    extra, missed = F.array_except(predicted, expected), F.array_except(expected, predicted)
-    close = F.size(F.filter(extra, lambda x: F.exists(missed, lambda y: title_similarity(x, y) > threshold)))
+    words = lambda titles: F.transform(titles, lambda t: F.array_distinct(T.tokens(t)))
+    # transform over one element binds the word lists, so each title is split once; lists too different in size are not compared
+    both = F.array(F.struct(words(F.array_except(predicted, expected)).alias("extra"), words(F.array_except(expected, predicted)).alias("missed")))
+    may = lambda x, y: (F.size(x) > threshold * F.size(y)) & (F.size(y) > threshold * F.size(x))
+    close = F.element_at(F.transform(both, lambda b: F.size(F.filter(b["extra"], lambda x: F.exists(b["missed"], lambda y: may(x, y) & (T.jaccard(x, y, both_empty=0.0) > threshold))))), 1)
     hits = F.size(F.array_intersect(predicted, expected)) + 0.5 * close
     return F.when(F.size(expected) == 0, (F.size(predicted) == 0).cast("double")).otherwise(hits / F.greatest(F.size(expected), F.lit(1)))
 
@@ -54,11 +56,18 @@ def retrieval_columns(df: DataFrame, predicted: str, expected: str) -> DataFrame
 
 
 @scorer("citation")
+@scorer("retrieval")
 def citation(df: DataFrame, config: ScorerConfig) -> DataFrame:
-    """Recall, precision and citation accuracy weighted 0.3, 0.3 and 0.4, held against the criteria."""
-    read = retrieval_columns(df.withColumns({"_p": identifiers(F.col("predicted_output")), "_e": identifiers(F.col("expected_output"))}), "_p", "_e")
+    """Recall, precision and citation accuracy weighted 0.3, 0.3 and 0.4, held against the criteria.
+
+    Malformed JSON on either side makes the row an error with score 0; an absent side has no papers.
+    """
+    read = parsed(df)
+    bad = lambda text, value: F.col(text).isNotNull() & F.col(value).isNull()
+    read = read.withColumns({"_p": identifiers(F.col("_a")), "_e": identifiers(F.col("_b")), "_error": F.when(bad("predicted_output", "_a") | bad("expected_output", "_b"), F.lit("invalid JSON"))})
+    read = retrieval_columns(read.drop("_a", "_b"), "_p", "_e")
     names = ("precision", "recall", "f1", "citation_accuracy", "composite_score")
     read = read.withColumn("_metrics", F.create_map(*[x for k in names for x in (F.lit(k), F.col(k))]))
     success, _, status = judged(F.col("_metrics"), config.criteria)
-    details = F.to_json(F.struct(status.alias("criteria"), F.size("_p").alias("num_predicted"), F.size("_e").alias("num_expected"), F.coalesce("num_correct", F.lit(0)).alias("correct_papers")))
-    return _scored(read, success, F.col("composite_score"), details, F.col("_metrics")).select(*df.columns, *SCORED)
+    details = F.to_json(F.struct(F.size("_p").alias("num_predicted"), F.size("_e").alias("num_expected"), F.array_intersect("_p", "_e").alias("correct_papers"), status.alias("criteria_met")))
+    return _scored(read, success, F.col("composite_score"), details, F.col("_metrics"), F.col("_error")).select(*df.columns, *SCORED)

@@ -12,6 +12,8 @@ from ..model import Criterion, Metric, ScorerConfig
 
 Scorer = Callable[[DataFrame, ScorerConfig], DataFrame]
 SCORERS: dict[str, Scorer] = {}
+#: Characters of a text that details keep.
+CLIP = 500
 SCORED = ("success", "score", "metrics", "details", "error")
 
 
@@ -70,40 +72,52 @@ def metric_based(df: DataFrame, config: ScorerConfig) -> DataFrame:
     """Read metrics from a JSON object and hold them against the criteria.
 
     Numeric metrics that are absent are 0, those that cannot be read make the row an error; binary metrics
-    are the truth of the value; judged ones are 0.5 if absent. Malformed JSON in the answer or in what was expected makes
-    the row an error, an absent expectation does not. Error rows have score 0 and no metrics.
+    are the truth of the value; judged ones are 0.5 if absent; of metrics of one name the last holds. Malformed JSON in
+    the answer or in what was expected makes the row an error, an absent expectation does not. Error rows have score 0 and no metrics.
     """
-    read = df.withColumn("_root", V.parse(F.col("predicted_output")))
+    read = df.withColumns({"_root": V.parse(F.col("predicted_output")), "_want": V.parse(F.col("expected_output"))})
     pairs = [(m, *_metric(F.col("_root"), m)) for m in config.metrics if m.type in ("numeric", "binary", "llm_judge")]
-    expected = F.col("expected_output")
-    broken = F.when(F.col("_root").isNull() | (expected.isNotNull() & V.parse(expected).isNull()), F.lit("invalid JSON")).when(~V.is_object(F.col("_root")), F.lit("invalid answer: no JSON object"))
+    broken = F.when(F.col("_root").isNull() | (F.col("expected_output").isNotNull() & F.col("_want").isNull()), F.lit("invalid JSON")).when(~V.is_object(F.col("_root")), F.lit("invalid answer: no JSON object"))
     if pairs:
         unreadable = reduce(lambda a, b: a | b, [bad for _, _, bad in pairs])
         broken = broken.when(unreadable, F.lit("invalid number in a metric"))
     read = read.withColumn("error", broken.otherwise(F.lit(None)))
     none = F.create_map().cast("map<string,double>")
-    metrics = F.create_map(*[x for m, value, _ in pairs for x in (F.lit(m.name), value)]).cast("map<string,double>") if pairs else none
+    named = {m.name: value for m, value, _ in pairs}
+    metrics = F.create_map(*[x for name, value in named.items() for x in (F.lit(name), value)]).cast("map<string,double>") if named else none
     read = read.withColumn("metrics", F.when(F.col("error").isNull(), metrics).otherwise(none))
     ok = F.col("error").isNull()
     success, share, status = judged(F.col("metrics"), config.criteria)
-    return read.select(*df.columns, (ok & success).alias("success"), F.when(ok, share).otherwise(F.lit(0.0)).alias("score"), "metrics", F.when(ok, F.to_json(F.struct(status.alias("criteria")))).alias("details"), "error")
+    details = F.to_json(F.struct(F.col("_root").alias("predicted"), F.col("_want").alias("expected"), status.alias("criteria_met")))
+    return read.select(*df.columns, (ok & success).alias("success"), F.when(ok, share).otherwise(F.lit(0.0)).alias("score"), "metrics", F.when(ok, details).alias("details"), "error")
 
 
-def _scored(df: DataFrame, success: Column, value: Column, details: Column, metrics: Column | None = None) -> DataFrame:
+def _scored(df: DataFrame, success: Column, value: Column, details: Column, metrics: Column | None = None, error: Column | None = None) -> DataFrame:
+    """The columns of a scored row; where there is an error the row fails with score 0, without metrics and details."""
     none = F.create_map().cast("map<string,double>")
-    return df.select("*", success.alias("success"), value.cast("double").alias("score"), (none if metrics is None else metrics).alias("metrics"), details.alias("details"), F.lit(None).cast("string").alias("error"))
+    metrics = none if metrics is None else metrics
+    if error is None:
+        return df.select("*", success.alias("success"), value.cast("double").alias("score"), metrics.alias("metrics"), details.alias("details"), F.lit(None).cast("string").alias("error"))
+    ok = error.isNull()
+    return df.select("*", (ok & success).alias("success"), F.when(ok, value.cast("double")).otherwise(F.lit(0.0)).alias("score"), F.when(ok, metrics).otherwise(none).alias("metrics"), F.when(ok, details).alias("details"), error.alias("error"))
 
 
-def same(a: Column, b: Column) -> Column:
-    """Equal as texts, or as JSON values."""
-    return a.eqNullSafe(b) | F.coalesce(V.canonical(a) == V.canonical(b), F.lit(False))
+def parsed(df: DataFrame) -> DataFrame:
+    """Add ``_a`` and ``_b``: answer and expectation as JSON values, null where they are none in full. Each is parsed once."""
+    return df.withColumns({"_a": V.parse(F.col("predicted_output")), "_b": V.parse(F.col("expected_output"))})
+
+
+def same(a: Column, b: Column, va: Column, vb: Column) -> Column:
+    """Equal as texts, or as values if both are JSON in full."""
+    return a.eqNullSafe(b) | F.coalesce(V.canonical(va) == V.canonical(vb), F.lit(False))
 
 
 @scorer("exact_match")
 def exact_match(df: DataFrame, config: ScorerConfig) -> DataFrame:
     """1 if answer and expectation are equal (texts, or JSON values whatever their layout), else 0."""
-    hit = same(F.col("predicted_output"), F.col("expected_output"))
-    return _scored(df, hit, hit.cast("double"), F.to_json(F.struct(hit.alias("exact_match"))))
+    read = parsed(df)
+    read = read.select(*df.columns, same(F.col("predicted_output"), F.col("expected_output"), F.col("_a"), F.col("_b")).alias("_hit"))
+    return _scored(read, F.col("_hit"), F.col("_hit").cast("double"), F.to_json(F.struct(F.col("_hit").alias("exact_match")))).drop("_hit")
 
 
 def text_similarity(a: Column, b: Column) -> Column:
@@ -111,55 +125,66 @@ def text_similarity(a: Column, b: Column) -> Column:
     return T.jaccard(F.array_distinct(T.tokens(a)), F.array_distinct(T.tokens(b)))
 
 
-def dict_similarity(a: Column, b: Column) -> Column:
-    """Equal members over all member names of two JSON objects; an absent member equals null; 1 if both have none."""
-    left, right = V.members(a), V.members(b)
-    names = F.array_union(F.map_keys(left), F.map_keys(right))
-    equal = F.size(F.filter(names, lambda k: F.try_element_at(left, k).eqNullSafe(F.try_element_at(right, k))))
-    return F.when(F.size(names) == 0, F.lit(1.0)).otherwise(T.ratio(equal, F.size(names)))
+def dict_similarity(left: Column, right: Column) -> Column:
+    """Equal members over all member names of two maps of canonical texts; an absent member equals null; 1 if both have none."""
+    # a name counts as equal if both have it with one value, or if it is null or absent on both sides
+    entries = F.map_zip_with(left, right, lambda _, a, b: a.eqNullSafe(b))
+    equal = F.map_values(entries)
+    return F.when(F.size(equal) == 0, F.lit(1.0)).otherwise(T.ratio(F.size(F.filter(equal, lambda x: x)), F.size(equal)))
 
 
 @scorer("partial_match")
 def partial_match(df: DataFrame, config: ScorerConfig) -> DataFrame:
-    """Similarity of two JSON objects by members, of two texts by tokens, 1 or 0 for other JSON; success from ``partial_match_threshold`` (0.8) on."""
+    """Similarity of two JSON objects by members, equality of other JSON values, and of anything else similarity of the texts by tokens; success from ``threshold`` (0.8) on."""
     a, b = F.col("predicted_output"), F.col("expected_output")
-    va, vb = V.parse(a), V.parse(b)
-    # a number, truth value, null or list; anything that is no JSON, or a JSON text, is a text
-    other = lambda v: v.isNotNull() & ~V.is_object(v) & ~F.coalesce(V.kind(v) == "STRING", F.lit(False))
-    similarity = F.when(V.is_object(va) & V.is_object(vb), dict_similarity(a, b)).when(other(va) | other(vb) | V.is_object(va) | V.is_object(vb), same(a, b).cast("double")).otherwise(text_similarity(a, b))
-    read = df.withColumn("_similarity", similarity)
-    threshold = float(config.settings.get("partial_match_threshold", 0.8))
-    out = _scored(read, F.col("_similarity") >= threshold, F.col("_similarity"), F.to_json(F.struct(F.col("_similarity").alias("similarity"))))
-    return out.drop("_similarity")
+    va, vb = F.col("_a"), F.col("_b")
+    read = parsed(df)
+    objects = V.is_object(va) & V.is_object(vb)
+    texts = va.isNull() | vb.isNull() | (V.is_text(va) & V.is_text(vb))
+    read = read.withColumns({"_kind": F.when(objects, "objects").when(texts, "texts").otherwise("other"), "_l": V.members(va), "_r": V.members(vb)})
+    similarity = F.when(F.col("_kind") == "objects", dict_similarity(F.col("_l"), F.col("_r"))).when(F.col("_kind") == "texts", text_similarity(a, b)).otherwise(same(a, b, va, vb).cast("double"))
+    read = read.select(*df.columns, similarity.alias("_similarity"))
+    threshold = float(config.settings.get("threshold", 0.8))
+    details = F.to_json(F.struct(F.lit(threshold).alias("threshold"), F.col("_similarity").alias("similarity")))
+    return _scored(read, F.col("_similarity") >= threshold, F.col("_similarity"), details).drop("_similarity")
 
 
 def rouge(df: DataFrame, predicted: str = "predicted_output", reference: str = "expected_output") -> DataFrame:
-    """Add precision, recall and F-score of unigrams, bigrams and the longest common subsequence, and ``content_coverage``."""
+    """Add precision, recall and F-score of unigrams, bigrams and the longest common subsequence, and ``content_coverage``.
+
+    N-grams shared as often as in the text that has them less often are counted by sorting them and comparing numbered ones as sets.
+    """
     read = df.withColumns({"_p": T.tokens(F.col(predicted)), "_r": T.tokens(F.col(reference))})
-    made = {}
-    for n in (1, 2):
-        p, r = T.ngrams(F.col("_p"), n), T.ngrams(F.col("_r"), n)
-        made[f"_o{n}"], made[f"_p{n}"], made[f"_r{n}"] = T.overlap(p, r), F.size(p), F.size(r)
-    made |= {"_ol": T.lcs(F.col("_p"), F.col("_r")), "_pl": F.size("_p"), "_rl": F.size("_r")}
-    counted = read.withColumns(made)
+    grams = [(side, n) for side in "pr" for n in (1, 2)]
+    read = read.withColumns({f"_{side}{n}": F.sort_array(T.ngrams(F.col(f"_{side}"), n)) for side, n in grams})
+    read = read.withColumns({f"_{side}{n}n": T.numbered(F.col(f"_{side}{n}")) for side, n in grams})
+    shared = {str(n): F.size(F.array_intersect(f"_p{n}n", f"_r{n}n")) for n in (1, 2)} | {"l": T.lcs("_p", "_r")}
+    sizes = {f"_{side}{n}s": F.size(f"_{side}{n}") for side, n in grams} | {f"_{side}ls": F.size(f"_{side}") for side in "pr"}
+    counted = read.withColumns({f"_o{n}": value for n, value in shared.items()} | sizes)
     out = {}
     for n in "12l":
-        for name, value in zip(("precision", "recall", "f_score"), T.prf(F.col(f"_o{n}"), F.col(f"_p{n}"), F.col(f"_r{n}")), strict=True):
+        for name, value in zip(("precision", "recall", "f_score"), T.prf(F.col(f"_o{n}"), F.col(f"_p{n}s"), F.col(f"_r{n}s")), strict=True):
             out[f"rouge_{n}_{name}"] = value
     out["content_coverage"] = T.ratio(F.size(F.array_intersect("_p", "_r")), F.size(F.array_distinct("_r")))
-    return counted.withColumns(out).drop("_p", "_r", *made)
+    return counted.withColumns(out).select(*df.columns, *out)
 
 
 @scorer("rouge")
+@scorer("summarization")
 def summarization(df: DataFrame, config: ScorerConfig) -> DataFrame:
-    """Weighted F-scores of ROUGE-1, -2 and -L (0.2, 0.3, 0.5 unless set), held against the criteria."""
-    weights = {"rouge_1": 0.2, "rouge_2": 0.3, "rouge_l": 0.5} | dict(config.settings.get("rouge_weights", {}))
+    """F-scores of ROUGE-1, -2 and -L, weighted by ``weight_rouge_1``, ``weight_rouge_2``, ``weight_rouge_l`` (0.2, 0.3, 0.5), held against the criteria.
+
+    The details keep the texts' first 500 characters.
+    """
+    weights = {k: float(config.settings.get(f"weight_{k}", w)) for k, w in (("rouge_1", 0.2), ("rouge_2", 0.3), ("rouge_l", 0.5))}
     read = rouge(df)
-    composite = reduce(lambda a, b: a + b, [F.lit(float(weights[k])) * F.col(f"{k}_f_score") for k in ("rouge_1", "rouge_2", "rouge_l")])
+    made = [c for c in read.columns if c.startswith("rouge_")]
+    composite = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"{k}_f_score") for k, w in weights.items()])
     read = read.withColumn("_composite", composite)
     parts = {"rouge_1": "rouge_1_f_score", "rouge_2": "rouge_2_f_score", "rouge_l": "rouge_l_f_score", "content_coverage": "content_coverage", "composite_score": "_composite"}
     metrics = F.create_map(*[x for k, c in parts.items() for x in (F.lit(k), F.col(c))])
     read = read.withColumn("_metrics", metrics)
     success, _, status = judged(F.col("_metrics"), config.criteria)
-    out = _scored(read, success, F.col("_composite"), F.to_json(F.struct(status.alias("criteria"), *[F.col(c) for c in read.columns if c.startswith("rouge_")])), F.col("_metrics"))
-    return out.select(*df.columns, *SCORED)
+    clips = [F.substring(F.coalesce(c, F.lit("")), 1, CLIP).alias(name) for c, name in (("predicted_output", "predicted"), ("expected_output", "reference"))]
+    details = F.to_json(F.struct(*clips, F.struct(*made).alias("rouge_details"), status.alias("criteria_met")))
+    return _scored(read, success, F.col("_composite"), details, F.col("_metrics")).select(*df.columns, *SCORED)

@@ -36,13 +36,13 @@ RESULTS_SQL = (
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as answers in JSON, one in 97 of them cut off."""
+    """Events as answers in JSON, one in 97 of them cut off, one in 89 with prose behind."""
     e = table(spark, sf_dir, "events")
-    body = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "flag": '), F.when(F.col("event_id") % 3 == 0, "true").otherwise("false"), F.when(F.col("event_id") % 97 == 0, "").otherwise("}"))
+    body = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "flag": '), F.when(F.col("event_id") % 3 == 0, "true").otherwise("false"), F.when(F.col("event_id") % 97 == 0, "").otherwise("}"), F.when(F.col("event_id") % 89 == 0, " and then prose").otherwise(""))
     return e.select("event_id", F.col("event_id").cast("string").alias("task_id"), body.alias("predicted_output"), F.lit(None).cast("string").alias("expected_output"))
 
 
-ANSWERS_SQL = "answers AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_id % 3 = 0 AS flag, event_id % 97 = 0 AS broken FROM events)"
+ANSWERS_SQL = "answers AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_id % 3 = 0 AS flag, event_id % 97 = 0 OR event_id % 89 = 0 AS broken FROM events)"
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,22 @@ PAIRS_SQL = (
 )
 
 
+#: Pairs of texts with odd JSON: whether they are equal, and shared and all members or words. Text behind a JSON value makes it a plain text; 1, 1.0, 1e0 and true are one value.
+ODD_PAIRS = (
+    ("5 apples", "5 pears", False, 1, 3), ("true story", "true lies", False, 1, 3), ("[1] ref", "[1] other", False, 1, 3), ("3.5 mm", "3.5 cm", False, 1, 3), ("null hypothesis", "null result", False, 1, 3),
+    ("true", "1", True, 1, 1), ("100", "1e2", True, 1, 1), ("[false, 2.50]", "[0, 25e-1]", True, 1, 1), ('"1"', "1", False, 0, 1), ('{"a": "1.0"}', '{"a": "1"}', False, 0, 1),
+    ('{"a": 1e2, "b": false}', '{"a": 100, "b": 0.0}', True, 1, 1), ('{"a": 1, "b": 2}', '{"a": true, "c": 3}', False, 1, 3), ('{"a": 1} end', '{"a": 1} end', True, 1, 1), ('{"a": 1}', "[1]", False, 0, 1),
+)
+
+
+def odd_pairs(spark: SparkSession) -> DataFrame:
+    rows = [(-1, k, *p[:2]) for k, p in enumerate(ODD_PAIRS)]
+    return spark.createDataFrame(rows, "conv_id long, turn long, predicted_output string, expected_output string")
+
+
+ODD_SQL = "odd AS (SELECT * FROM (VALUES " + ", ".join(f"(-1, {k}, {equal}, {a}, {b})" for k, (_, _, equal, a, b) in enumerate(ODD_PAIRS)) + ") t(conv_id, turn, equal, shared, every))"
+
+
 def orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two JSON objects an order: its members against those of the order with the next key."""
     o = table(spark, sf_dir, "orders")
@@ -74,20 +90,18 @@ ORDERS_SQL = "pairs AS (SELECT o.o_orderkey, o.o_orderstatus = n.o_orderstatus A
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each language and source: first twelve words of documents as expected titles; predicted are the same, one word less, or others. All documents, whole lists."""
-    words = F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""), 1, 12)
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", words.alias("w")).where(F.size("w") > 1)
-    title = F.lower(F.array_join("w", " "))
-    short = F.lower(F.array_join(F.slice("w", 1, F.size("w") - 1), " "))
-    other = F.concat(F.lit("other"), F.col("doc_id").cast("string"))
-    made = d.select("lang", "source", title.alias("expected"), F.when(F.col("doc_id") % 3 == 0, title).when(F.col("doc_id") % 3 == 1, short).otherwise(other).alias("predicted"), F.floor(F.col("doc_id") / 100).alias("block"))
-    return made.groupBy("lang", "source", "block").agg(F.collect_set("predicted").alias("predicted"), F.collect_set("expected").alias("expected"))
+    """For each brand and size: descriptions of all parts as expected titles; predicted are the same, those without their last word, or others."""
+    start = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("no")))
+    title = F.concat(start, F.lit(" "), F.col("p_partkey").cast("string"))
+    other = F.concat(F.lit("other"), F.col("p_partkey").cast("string"))
+    predicted = F.when(F.col("p_partkey") % 3 == 0, title).when(F.col("p_partkey") % 3 == 1, start).otherwise(other)
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.collect_set(predicted).alias("predicted"), F.collect_set(title).alias("expected"))
 
 
 TITLES_SQL = (
-    "words AS (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')[1:12] AS w FROM documents), "
-    "titles AS (SELECT lang, source, doc_id // 100 AS block, lower(array_to_string(w, ' ')) AS expected, CASE doc_id % 3 WHEN 0 THEN lower(array_to_string(w, ' ')) WHEN 1 THEN lower(array_to_string(w[1:len(w) - 1], ' ')) ELSE 'other' || doc_id END AS predicted FROM words WHERE len(w) > 1), "
-    "lists AS (SELECT lang, source, block, list_distinct(list(predicted)) AS predicted, list_distinct(list(expected)) AS expected FROM titles GROUP BY ALL)"
+    "named AS (SELECT p_brand, p_size, p_partkey, lower(p_name || ' ' || p_brand || ' ' || p_type || ' size ' || p_size || ' no') AS start FROM part), "
+    "titles AS (SELECT p_brand, p_size, start || ' ' || p_partkey AS expected, CASE p_partkey % 3 WHEN 0 THEN start || ' ' || p_partkey WHEN 1 THEN start ELSE 'other' || p_partkey END AS predicted FROM named), "
+    "lists AS (SELECT p_brand, p_size, list_distinct(list(predicted)) AS predicted, list_distinct(list(expected)) AS expected FROM titles GROUP BY ALL)"
 )
 
 

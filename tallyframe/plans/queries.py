@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-METRICS = ScorerConfig("metric_based", (Metric("k"), Metric("flag", "binary"), Metric("absent"), Metric("opinion", "llm_judge")), (Criterion("k", ">=", 50), Criterion("absent", "<=", 1), Criterion("flag", ">=", True)))
+METRICS = ScorerConfig("metric_based", (Metric("k", "binary"), Metric("k"), Metric("flag", "binary"), Metric("absent"), Metric("opinion", "llm_judge")), (Criterion("k", ">=", 50), Criterion("absent", "<=", 1), Criterion("flag", ">=", True)))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -68,9 +68,11 @@ def metric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregate.metric_summary(hosts.results(spark, sf_dir), ["k", "value", "absent"], "model"))
 
 
-@query(f"WITH {hosts.PAIRS_SQL} SELECT conv_id, turn, predicted_output = expected_output AS success, CASE WHEN predicted_output = expected_output THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pairs")
+@query(
+    f"WITH {hosts.PAIRS_SQL}, {hosts.ODD_SQL}, v AS (SELECT conv_id, turn, predicted_output = expected_output AS success FROM pairs UNION ALL SELECT conv_id, turn, equal FROM odd) SELECT conv_id, turn, success, CASE WHEN success THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM v"
+)
 def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scorers.score(hosts.pairs(spark, sf_dir), ScorerConfig("exact_match")).select("conv_id", "turn", "success", "score")
+    return scorers.score(hosts.pairs(spark, sf_dir).unionByName(hosts.odd_pairs(spark)), ScorerConfig("exact_match")).select("conv_id", "turn", "success", "score")
 
 
 WORDS = r"[\s\x{000B}\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -84,14 +86,14 @@ TOKENS_SQL = f"{hosts.PAIRS_SQL}, words AS (SELECT conv_id, turn, {_tokens_sql('
 JACCARD = "CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN {2} WHEN len({0}) = 0 OR len({1}) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) END"
 
 
-@query(f"WITH {TOKENS_SQL}, s AS (SELECT conv_id, turn, {JACCARD.format('p', 'r', '1.0')} AS v FROM words) SELECT conv_id, turn, v >= 0.8 AS success, round(v::DOUBLE, 6) AS score FROM s")
+@query(f"WITH {TOKENS_SQL}, {hosts.ODD_SQL}, s AS (SELECT conv_id, turn, {JACCARD.format('p', 'r', '1.0')} AS v FROM words UNION ALL SELECT conv_id, turn, shared::DOUBLE / every FROM odd) SELECT conv_id, turn, v >= 0.8 AS success, round(v::DOUBLE, 6) AS score FROM s")
 def partial_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(scorers.score(hosts.pairs(spark, sf_dir), ScorerConfig("partial_match")).select("conv_id", "turn", "success", "score"))
+    return rounded(scorers.score(hosts.pairs(spark, sf_dir).unionByName(hosts.odd_pairs(spark)), ScorerConfig("partial_match")).select("conv_id", "turn", "success", "score"))
 
 
 @query(f"WITH {hosts.ORDERS_SQL} SELECT o_orderkey, round((CAST(s AS INT) + CAST(p AS INT))::DOUBLE / (3 + CAST(third AS INT)), 6) AS score, (CAST(s AS INT) + CAST(p AS INT))::DOUBLE / (3 + CAST(third AS INT)) >= 0.6 AS success FROM pairs")
 def dict_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = scorers.score(hosts.orders_json(spark, sf_dir), ScorerConfig("partial_match", settings={"partial_match_threshold": 0.6}))
+    done = scorers.score(hosts.orders_json(spark, sf_dir), ScorerConfig("partial_match", settings={"threshold": 0.6}))
     return rounded(done.select("o_orderkey", "score", "success"))
 
 
@@ -167,31 +169,32 @@ def retrieval_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR_TITLES = (
-    f"{hosts.TITLES_SQL}, extra AS (SELECT lang, source, block, unnest(list_filter(predicted, lambda x: NOT list_contains(expected, x))) AS x FROM lists), missed AS (SELECT lang, source, block, unnest(list_filter(expected, lambda x: NOT list_contains(predicted, x))) AS y FROM lists), "
-    f"xt AS (SELECT *, list_distinct({_tokens_sql('x')}) AS a FROM extra), yt AS (SELECT *, list_distinct({_tokens_sql('y')}) AS b FROM missed), near AS (SELECT DISTINCT lang, source, block, x FROM xt JOIN yt USING (lang, source, block) WHERE {JACCARD.format('a', 'b', '0.0')} > 0.8), n AS (SELECT lang, source, block, count(*) AS c FROM near GROUP BY ALL) "
+    f"{hosts.TITLES_SQL}, extra AS (SELECT p_brand, p_size, unnest(list_filter(predicted, lambda x: NOT list_contains(expected, x))) AS x FROM lists), missed AS (SELECT p_brand, p_size, unnest(list_filter(expected, lambda x: NOT list_contains(predicted, x))) AS y FROM lists), "
+    f"xt AS (SELECT *, list_distinct({_tokens_sql('x')}) AS a FROM extra), yt AS (SELECT *, list_distinct({_tokens_sql('y')}) AS b FROM missed), near AS (SELECT DISTINCT p_brand, p_size, x FROM xt JOIN yt USING (p_brand, p_size) WHERE {JACCARD.format('a', 'b', '0.0')} > 0.8), n AS (SELECT p_brand, p_size, count(*) AS c FROM near GROUP BY ALL) "
 )
 
 
 @query(
     f"WITH {_NEAR_TITLES} "
-    "SELECT lang, source, block, round((len(list_intersect(predicted, expected)) + 0.5 * coalesce(c, 0)) / len(expected), 6)::DOUBLE AS citation_accuracy, len(predicted)::BIGINT AS num_predicted, len(expected)::BIGINT AS num_expected FROM lists LEFT JOIN n USING (lang, source, block)"
+    "SELECT p_brand, p_size, round((len(list_intersect(predicted, expected)) + 0.5 * coalesce(c, 0)) / len(expected), 6)::DOUBLE AS citation_accuracy, len(predicted)::BIGINT AS num_predicted, len(expected)::BIGINT AS num_expected FROM lists LEFT JOIN n USING (p_brand, p_size)"
 )
 def citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = hosts.titles(spark, sf_dir)
-    return rounded(made.select("lang", "source", "block", retrieval.citation_accuracy(F.col("predicted"), F.col("expected")).alias("citation_accuracy"), F.size("predicted").cast("long").alias("num_predicted"), F.size("expected").cast("long").alias("num_expected")))
+    return rounded(made.select("p_brand", "p_size", retrieval.citation_accuracy(F.col("predicted"), F.col("expected")).alias("citation_accuracy"), F.size("predicted").cast("long").alias("num_predicted"), F.size("expected").cast("long").alias("num_expected")))
 
 
 @query(
-    f"WITH {_NEAR_TITLES}, v AS (SELECT lang, source, block, {_HIT} / len(expected) AS r, {_HIT} / len(predicted) AS p, (len(list_intersect(predicted, expected)) + 0.5::DOUBLE * coalesce(c, 0)) / len(expected) AS a FROM lists LEFT JOIN n USING (lang, source, block)) "
-    "SELECT lang, source, block, r >= 0.3 AS success, round(0.3::DOUBLE * r + 0.3::DOUBLE * p + 0.4::DOUBLE * a, 6) AS score FROM v"
+    f"WITH {_NEAR_TITLES}, v AS (SELECT p_brand, p_size, {_HIT} / len(expected) AS r, {_HIT} / len(predicted) AS p, (len(list_intersect(predicted, expected)) + 0.5::DOUBLE * coalesce(c, 0)) / len(expected) AS a FROM lists LEFT JOIN n USING (p_brand, p_size)) "
+    "SELECT p_brand, p_size, p_brand <> 'Brand#3' AND r >= 0.3 AS success, CASE WHEN p_brand = 'Brand#3' THEN 0 ELSE round(0.3::DOUBLE * r + 0.3::DOUBLE * p + 0.4::DOUBLE * a, 6) END AS score, CASE WHEN p_brand = 'Brand#3' THEN 'invalid JSON' END AS error FROM v"
 )
 def citation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole scorer over JSON texts: lists of objects with titles, wrapped for half of the groups."""
+    """The whole scorer over JSON texts: lists of objects with titles, wrapped for half of the groups; the answers of one brand have text behind the list."""
     made = hosts.titles(spark, sf_dir)
     papers = F.to_json(F.transform("expected", lambda t: F.struct(t.alias("title"))))
-    texts = made.select("lang", "source", "block", F.to_json("predicted").alias("predicted_output"), F.when(F.col("block") % 2 == 0, F.concat(F.lit('{"papers": '), papers, F.lit("}"))).otherwise(papers).alias("expected_output"))
+    tail = F.when(F.col("p_brand") == "Brand#3", F.lit(" and more")).otherwise(F.lit(""))
+    texts = made.select("p_brand", "p_size", F.concat(F.to_json("predicted"), tail).alias("predicted_output"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"papers": '), papers, F.lit("}"))).otherwise(papers).alias("expected_output"))
     done = scorers.score(texts, ScorerConfig("citation", criteria=(Criterion("recall", ">=", 0.3),)))
-    return rounded(done.select("lang", "source", "block", "success", "score"))
+    return rounded(done.select("p_brand", "p_size", "success", "score", "error"))
 
 
 # ---- aggregates

@@ -25,7 +25,7 @@ def test_metric_scorer(spark):
     assert got[2].success and got[2].metrics["spot_size"] == 0.0  # an absent number is 0 and passes "at most"
     assert [got[k].error is not None and not got[k].success and got[k].metrics == {} for k in (3, 5, 6, 7, 8)] == [True] * 5
     assert got[4].metrics == {"mtf": 0.9, "spot_size": 1.0, "distortion": 0.0} and got[4].score == 0.5
-    assert json.loads(got[4].details)["criteria"] == {"mtf": True, "spot_size": False}
+    assert json.loads(got[4].details)["criteria_met"] == {"mtf": True, "spot_size": False}
 
 
 def test_binary_and_judged_metrics(spark):
@@ -80,7 +80,7 @@ def test_rouge(spark, predicted, reference, want):
 
 
 def test_summarization_weights(spark):
-    got = run(spark, ScorerConfig("rouge", criteria=(Criterion("rouge_1", ">=", 0.5),), settings={"rouge_weights": {"rouge_1": 1.0, "rouge_2": 0.0, "rouge_l": 0.0}}), [("a b c d", "a b e f")])[0]
+    got = run(spark, ScorerConfig("rouge", criteria=(Criterion("rouge_1", ">=", 0.5),), settings={"weight_rouge_1": 1.0, "weight_rouge_2": 0.0, "weight_rouge_l": 0.0}), [("a b c d", "a b e f")])[0]
     assert got.success and got.score == pytest.approx(0.5) and got.metrics["composite_score"] == pytest.approx(0.5)
 
 
@@ -105,3 +105,54 @@ def test_retrieval(spark):
     assert half.metrics["citation_accuracy"] == pytest.approx(0.75)
     row = spark.range(1).select(retrieval.title_similarity(F.lit("a b c d e"), F.lit("a b c d f")).alias("x"), retrieval.title_similarity(F.lit(""), F.lit("")).alias("y")).first()
     assert row.x == pytest.approx(4 / 6) and row.y == 0.0
+
+
+#: Pairs of texts with whether they are equal, and their similarity. Text behind a JSON value makes it no JSON.
+ODD_PAIRS = [
+    ("5 apples", "5 pears", False, 1 / 3), ("true story", "true lies", False, 1 / 3), ("[1] ref", "[1] other", False, 1 / 3), ("3.5 mm", "3.5 cm", False, 1 / 3), ("null hypothesis", "null result", False, 1 / 3), ("1,0] x", "1", False, 0.0),
+    ("true", "1", True, 1.0), ("100", "1e2", True, 1.0), ("[false, 2.50]", "[0, 25e-1]", True, 1.0), ('{"a": [true, "x\\"true"]}', '{"a":[1.0,"x\\"true"]}', True, 1.0), ('"1"', "1", False, 0.0), ('{"a": "1.0"}', '{"a": "1"}', False, 0.0), ('{"a": 1e2, "b": false}', '{"a": 100, "b": 0.0}', True, 1.0),
+    ('{"a": 1}', "[1]", False, 0.0), (None, None, True, 1.0), ('{"a": 0.1}', '{"a": 1e-1}', True, 1.0), ("123456789012345678901", "123456789012345678902", False, 0.0),
+]
+
+
+def test_texts_and_json_in_full(spark):
+    pairs = [p[:2] for p in ODD_PAIRS]
+    exact, partial = run(spark, ScorerConfig("exact_match"), pairs), run(spark, ScorerConfig("partial_match"), pairs)
+    for k, (a, b, equal, similarity) in enumerate(ODD_PAIRS):
+        assert (exact[k].success, exact[k].score) == (equal, float(equal)), (a, b)
+        assert partial[k].score == pytest.approx(similarity), (a, b)
+    assert json.loads(partial[0].details)["threshold"] == 0.8
+
+
+def test_malformed_answers_and_repeated_metrics(spark):
+    config = ScorerConfig("metric_based", (Metric("a", "binary"), Metric("a")), (Criterion("a", ">=", 0.8),))
+    got = run(spark, config, [('{"a": 0.9} and then prose', "{}"), ('{"a": 0.9}', "{} more"), ('{"a": 0.9}', '{"b": 1}')])
+    assert [got[k].error for k in range(3)] == ["invalid JSON", "invalid JSON", None] and got[2].metrics == {"a": 0.9}
+    assert json.loads(got[2].details) == {"predicted": {"a": 0.9}, "expected": {"b": 1}, "criteria_met": {"a": True}}
+    for method in ("citation", "retrieval"):
+        got = run(spark, ScorerConfig(method), [("{ broken", "{ broken"), ('["a"] b', '["a"]'), ('["A", "b"]', '["a", "c"]')])
+        assert [(got[k].success, got[k].score, got[k].error, got[k].metrics) for k in (0, 1)] == [(False, 0.0, "invalid JSON", {})] * 2
+        assert got[2].error is None and json.loads(got[2].details)["correct_papers"] == ["a"]
+
+
+def test_configured_keys(spark):
+    assert ScorerConfig.of({"success_criteria": [{"metric": "m", "value": 1}]}).criteria == (Criterion("m", ">=", 1),)
+    config = ScorerConfig.of({"scoring_method": "partial_match", "threshold": 0.6})
+    assert run(spark, config, [("a b c", "a b d e")])[0].success is False and run(spark, config, [("a b c", "a b c d")])[0].success
+    with pytest.warns(UserWarning):
+        ScorerConfig.of({"tresh": 1})
+    long = "word " * 300
+    got = run(spark, ScorerConfig.of({"scoring_method": "summarization", "weight_rouge_1": 1, "weight_rouge_2": 0, "weight_rouge_l": 0}), [(long, "word")])[0]
+    details = json.loads(got.details)
+    assert len(details["predicted"]) == 500 and details["rouge_details"]["rouge_1_recall"] == 1 and got.score == pytest.approx(2 / 301)
+
+
+def test_overlap_is_that_of_multisets(spark):
+    import random
+    from collections import Counter
+
+    r = random.Random(4)
+    rows = [([r.choice("abcde") for _ in range(r.randrange(0, 30))], [r.choice("abcde") for _ in range(r.randrange(0, 30))]) for _ in range(80)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", F.sort_array("a").alias("x"), F.sort_array("b").alias("y")).select("a", "b", F.size(F.array_intersect(T.numbered(F.col("x")), T.numbered(F.col("y")))).alias("n"))
+    for row in df.collect():
+        assert row.n == sum((Counter(row.a) & Counter(row.b)).values())
