@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Refractive index nd, Abbe number and density in g/cm3 of four glasses.
 GLASSES = (("N-BK7", 1.5168, 64.1, 2.51), ("N-SF11", 1.7847, 25.8, 3.78), ("F2", 1.6200, 36.4, 3.61), ("N-SSK8", 1.6880, 53.2, 3.31))
@@ -54,3 +54,14 @@ def attainment(achieved: Column, target: Column) -> Column:
 
 def cost_efficiency(success_rate: Column, cost: Column, baseline: float = 1.0) -> Column:
     return F.when(cost == 0, F.lit(0.0)).otherwise(success_rate / (cost / baseline))
+
+
+def glasses(spark: SparkSession) -> DataFrame:
+    """The glasses as a dimension of four rows."""
+    return spark.createDataFrame(GLASSES, "glass string, nd double, abbe double, density double")
+
+
+def merit(weights: Column, achieved: Column, targets: Column) -> Column:
+    """Sum over three arrays of weight times what is missing to the target; nothing for a target that is reached."""
+    missing = F.zip_with(achieved, targets, lambda a, t: F.greatest(F.lit(0.0), t - a))
+    return F.aggregate(F.zip_with(weights, missing, lambda w, m: w * m), F.lit(0.0), lambda s, x: s + x)

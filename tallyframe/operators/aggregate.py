@@ -28,16 +28,57 @@ def metric_summary(df: DataFrame, names: list[str], *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.array(*made).alias("m"), F.count("*").alias("n")).where("n > 0").select(*by, F.explode("m").alias("m")).select(*by, "m.*")
 
 
+#: Cells of ``exact_percentiles`` a unit of log(1 + |x|).
+CELLS = 1024
+
+
+def _cell(x: Column) -> Column:
+    """A number that never falls where x rises: cells of values. NaN is above all, as in sorting."""
+    return F.when(F.isnan(x), F.lit(2**63 - 1)).otherwise((F.signum(x) * F.floor(F.log1p(F.abs(x)) * CELLS)).cast("long"))
+
+
+def exact_percentiles(df: DataFrame, asked: dict[str, tuple[float, ...]], *by: str) -> DataFrame:
+    """Percentiles of columns, interpolated between ranks: ``by``, ``item`` (the column), ``q`` and ``value``. Null values are left out.
+
+    No group's values meet in one task. Rows are counted by cells of values first, which tells for each rank the cell that holds
+    it. Only the values of these cells are counted each, and summed up within a cell. So the table is read twice, what is
+    shuffled are counts, and a task holds the different values of a cell.
+    """
+    listed = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("x")) for c in asked]))
+    long = df.select(*by, listed.alias("_v")).select(*by, "_v.item", "_v.x").where("x is not null").withColumn("cell", _cell(F.col("x")))
+    group = [*by, "item"]
+    up = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = long.groupBy(*group, "cell").agg(F.count("*").alias("n")).withColumns({"upto": F.sum("n").over(up), "total": F.sum("n").over(Window.partitionBy(*group))})
+    place = {c: F.array(*[F.struct(F.lit(float(q)).alias("q"), ((F.col("total") - 1) * q).alias("at")) for q in qs]) for c, qs in asked.items()}
+    wanted = F.lit(None)
+    for c, places in place.items():
+        wanted = F.when(F.col("item") == c, places).otherwise(wanted)
+    ranks = cells.withColumn("_w", F.explode(wanted)).select(*group, "cell", "n", "upto", "_w.q", "_w.at")
+    # a place between two ranks takes from both by nearness; the two may be in different cells
+    near = F.explode(F.array(F.struct(F.floor("at").alias("rank"), (1 - (F.col("at") - F.floor("at"))).alias("share")), F.struct((F.floor("at") + 1).alias("rank"), (F.col("at") - F.floor("at")).alias("share"))))
+    ranks = ranks.withColumn("_n", near).select(*group, "cell", "q", "_n.share", (F.col("_n.rank") - F.col("upto") + F.col("n")).alias("rest"), "n").where("rest >= 0 and rest < n and share > 0").drop("n")
+    own = [F.col(f"v.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*group, "cell")]
+    values = long.alias("v").join(ranks.select(*group, "cell").distinct().alias("r"), own, "left_semi").groupBy(*group, "cell", "x").agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*group, "cell").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("upto", F.sum("n").over(within))
+    hit = ranks.alias("r").join(values.alias("v"), [*own, F.col("rest") < F.col("upto"), F.col("rest") >= F.col("upto") - F.col("n")])
+    return hit.groupBy(*[F.col(f"r.{c}").alias(c) for c in group], "q").agg(F.sum(F.col("share") * F.col("x")).alias("value"))
+
+
 def statistics(df: DataFrame, *by: str) -> DataFrame:
     """The sixteen statistics of scores, times and costs; no row for no rows. Percentiles interpolate between ranks."""
-    scores, times = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), F.percentile("execution_time", F.array(F.lit(0.5), F.lit(0.95)))
-    made = df.groupBy(*by).agg(
-        F.count("*").alias("num_tasks"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), scores.alias("s"),
-        F.avg("execution_time").alias("mean_latency"), times.alias("t"), F.max("execution_time").alias("max_latency"), F.count_if("success").alias("success_count"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.sum("cost").alias("total_cost"), F.avg("cost").alias("avg_cost"),
+    keys = by or ("_all",)
+    df = df if by else df.withColumn("_all", F.lit(1))
+    made = df.groupBy(*keys).agg(
+        F.count("*").alias("num_tasks"), F.avg("score").alias("mean_score"), F.stddev_pop("score").alias("std_score"), F.min("score").alias("min_score"), F.max("score").alias("max_score"),
+        F.avg("execution_time").alias("mean_latency"), F.max("execution_time").alias("max_latency"), F.count_if("success").alias("success_count"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.sum("cost").alias("total_cost"), F.avg("cost").alias("avg_cost"),
     )
+    found = exact_percentiles(df, {"score": (0.25, 0.5, 0.75), "execution_time": (0.5, 0.95)}, *keys)
+    picked = {"p25_score": ("score", 0.25), "median_score": ("score", 0.5), "p75_score": ("score", 0.75), "median_latency": ("execution_time", 0.5), "p95_latency": ("execution_time", 0.95)}
+    ranks = found.groupBy(*keys).agg(*[F.max(F.when((F.col("item") == c) & (F.col("q") == q), F.col("value"))).alias(name) for name, (c, q) in picked.items()])
     names = ["num_tasks", "mean_score", "median_score", "std_score", "min_score", "max_score", "p25_score", "p75_score", "mean_latency", "median_latency", "p95_latency", "max_latency", "success_count", "success_rate", "total_cost", "avg_cost"]
-    picked = {"p25_score": F.col("s")[0], "median_score": F.col("s")[1], "p75_score": F.col("s")[2], "median_latency": F.col("t")[0], "p95_latency": F.col("t")[1]}
-    return made.where("num_tasks > 0").withColumns(picked).select(*by, *names)
+    joined = made.alias("m").join(ranks.alias("r"), [F.col(f"m.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "left")
+    return joined.select(*[F.col(f"m.{k}") for k in by], *names)
 
 
 def composite(df: DataFrame, *by: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -85,3 +126,10 @@ def running_totals(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Add ``running_total`` of a value and ``running_count`` within a group."""
     w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({"running_total": F.sum(value).over(w), "running_count": F.count("*").over(w)})
+
+
+def weighted_score(scores: Column, weights: Column) -> Column:
+    """Sum of weight times score over the sum of weights, of two arrays; 0 without weight."""
+    add = lambda a, x: a + x
+    total = F.aggregate(weights, F.lit(0.0), add)
+    return F.when(total == 0, F.lit(0.0)).otherwise(F.aggregate(F.zip_with(scores, weights, lambda s, w: s * w), F.lit(0.0), add) / total)

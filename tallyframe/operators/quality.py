@@ -33,13 +33,20 @@ def latency_outliers(df: DataFrame, sigmas: float = 3.0) -> DataFrame:
     return df.select("execution_time").join(F.broadcast(around)).groupBy("mean", "std").agg(far.alias("outliers")).where("mean is not null")  # one row on that side
 
 
-def validate(df: DataFrame, row: str) -> DataFrame:
-    """One row: ``valid``, and all issues in order of row and rule, that of outliers last."""
-    listed = issues(df, row).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("row"), "rule", "issue"))).alias("found"))
+def validate(df: DataFrame, row: str, most: int = 1000) -> DataFrame:
+    """One row: ``valid``, ``n_issues`` and the first ``most`` issues in order of row and rule, that of outliers last.
+
+    All rows are checked and counted; the list is a report and as long as ``most`` says. ``issues`` gives all of them, distributed.
+    """
+    every = issues(df, row)
+    counted = every.agg(F.count("*").alias("n"))
+    listed = every.orderBy(row, "rule").limit(most).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("row"), "rule", "issue"))).alias("found"))
     far = latency_outliers(df).agg(F.coalesce(F.sum("outliers"), F.lit(0)).alias("outliers"))
     texts = F.transform("found", lambda x: F.concat(F.lit("row "), x["row"].cast("string"), F.lit(": "), x["issue"]))
     more = F.when(F.col("outliers") > 0, F.array(F.concat(F.col("outliers").cast("string"), F.lit(" latency outliers")))).otherwise(F.array().cast("array<string>"))
-    return listed.join(far).select(F.concat(texts, more).alias("issues")).select((F.size("issues") == 0).alias("valid"), "issues")
+    # three tables of one row
+    n = F.col("n") + (F.col("outliers") > 0).cast("long")
+    return counted.join(listed).join(far).select((n == 0).alias("valid"), n.alias("n_issues"), F.concat(texts, more).alias("issues"))
 
 
 def error_details(df: DataFrame, order: str) -> DataFrame:

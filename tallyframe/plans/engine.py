@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
@@ -42,7 +43,7 @@ def evaluate(tasks: DataFrame, answers: DataFrame, config: TaskConfig, output: s
     """Score, append the rows to ``output`` and write the aggregate beside it; returns the aggregate."""
     save_results(run(tasks, answers, config), output, run_id)
     saved = tasks.sparkSession.read.schema("task_id string, success boolean, score double, metrics map<string,double>, execution_time double, cost double, run_id string").json(output).where(F.col("run_id") == run_id)
-    row = {"task_id": config.name, "agent_name": agent, "model": model, **aggregate_row(saved, config)}
+    row = {"timestamp": datetime.now().isoformat(), "task_id": config.name, "agent_name": agent, "model": model, **aggregate_row(saved, config)}
     save_aggregate(row, output.rstrip("/").removesuffix(".jsonl") + ".json")
     return row
 

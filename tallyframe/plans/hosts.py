@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources.shared import shared_dir
+
 MESSAGES = ("Request timed out", "API rate limit reached", "Invalid JSON in answer", "Quality threshold missed", "Unknown failure")
 
 
@@ -12,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results_of(table(spark, sf_dir, "events"))
+
+
+def results_of(e: DataFrame) -> DataFrame:
     """Events as result rows of five models; six kinds of errors, the sixth without message."""
-    e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     turn = F.pmod(F.floor(F.col("event_id") / 5), F.lit(6))
     message: Column = F.lit(None).cast("string")
@@ -45,6 +52,22 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS_SQL = "answers AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_id % 3 = 0 AS flag, event_id % 97 = 0 OR event_id % 89 = 0 AS broken FROM events)"
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as a stream starts from folders
+
+
+def task_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a line of JSON for each event: blank ones, such that are cut off and such with text behind among them."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id")
+    body = F.concat(F.lit('{"task_id": "e'), n.cast("string"), F.lit('", "question": "'), F.col("event_type"), F.lit('?", "want": {"k": '), F.get_json_object("props", "$.k"), F.lit('}, "level": '), (n % 4).cast("string"))
+    line = F.when(n % 11 == 0, F.lit("  ")).when(n % 13 == 0, body).when(n % 17 == 0, F.concat(body, F.lit("} trailing"))).when(n % 19 == 0, F.concat(body, F.lit(', "more": [1, 2]}'))).otherwise(F.concat(body, F.lit("}")))
+    path = f"{shared_dir(spark)}/task-lines-{uuid.uuid4().hex}"
+    e.select(line.alias("value")).write.text(path)
+    return path
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's turn as answer and the assistant's next as reference. The window is within one conversation."""
     w = Window.partitionBy("conv_id").orderBy("turn")

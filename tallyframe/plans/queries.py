@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,7 +13,9 @@ from ..functions.errors import CATEGORIES, RULES
 from ..functions.stats import TERMS
 from ..model import Criterion, Metric, ScorerConfig
 from ..operators import aggregate, compare, cost, quality, retrieval, scorers
-from ..sources import optics_text
+from ..sources import jsonl, optics_text
+from ..sources.shared import shared_dir
+from ..streaming import results as streams
 from . import hosts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,6 +299,37 @@ def latency_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.latency_outliers(hosts.faulty(spark, sf_dir)))
 
 
+@query(
+    f"WITH {hosts.FAULTY_SQL}, r AS (SELECT event_id, 1 AS rule, 'missing task_id' AS issue FROM faulty WHERE coalesce(task_id, '') = '' UNION ALL SELECT event_id, 2, 'negative execution time' FROM faulty WHERE execution_time < 0 UNION ALL SELECT event_id, 3, 'negative cost' FROM faulty WHERE cost < 0 "
+    "UNION ALL SELECT event_id, 4, 'score out of range' FROM faulty WHERE NOT isnan(score) AND (score < 0 OR score > 1) UNION ALL SELECT event_id, 5, 'score not finite' FROM faulty WHERE isnan(score) OR isinf(score)), "
+    "a AS (SELECT avg(execution_time) AS mean, stddev_pop(execution_time) AS std FROM faulty WHERE execution_time >= 0), o AS (SELECT count(*) FILTER (abs(execution_time - mean) > 3 * std) AS outliers FROM faulty, a), "
+    "f AS (SELECT event_id, rule, issue FROM r ORDER BY event_id, rule LIMIT 50), t AS (SELECT string_agg('row ' || event_id || ': ' || issue, '; ' ORDER BY event_id, rule) AS first FROM f) "
+    "SELECT (SELECT count(*) FROM r) + CAST(outliers > 0 AS INT) = 0 AS valid, (SELECT count(*) FROM r) + CAST(outliers > 0 AS INT) AS n_issues, first || CASE WHEN outliers > 0 THEN '; ' || outliers || ' latency outliers' ELSE '' END AS issues FROM o, t"
+)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows checked and counted, the first fifty issues listed: a top-k report."""
+    return quality.validate(hosts.faulty(spark, sf_dir), "event_id", 50).select("valid", "n_issues", F.array_join("issues", "; ").alias("issues"))
+
+
+# ---- scans and streams
+
+
+@query("SELECT 'e' || event_id AS task_id, event_type || '?' AS instruction, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS expected_output, CAST(event_id % 4 AS VARCHAR) AS level FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0")
+def task_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks from JSON lines; blank, broken and continued lines are left out."""
+    found = jsonl.scan_tasks(spark, hosts.task_lines(spark, sf_dir), {"input_field": "question", "output_field": "want", "metadata_fields": ["level", "absent"]})
+    return found.select("task_id", "instruction", "expected_output", F.col("metadata")["level"].alias("level"))
+
+
+@query(f"WITH {hosts.RESULTS_SQL} SELECT model, count(*) AS total_tasks, count(*) FILTER (success) AS successful_tasks, round(sum(score), 6) AS sum_score, round(sum(cost), 6) AS total_cost FROM results GROUP BY model")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of a stream of results once it has caught up: one row a model reaches the driver."""
+    name = f"totals_{uuid.uuid4().hex}"
+    totals = streams.running_totals(hosts.results_of(hosts.event_stream(spark, sf_dir)))
+    totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.table(name))
+
+
 # ---- cost, providers, conversations
 
 _NAMES = [p[0] for p in cost.PRICES]
@@ -382,6 +416,27 @@ def optics_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "SELECT p_partkey, round(2.0::DOUBLE / p_size, 6) AS first_power, round(-1.0::DOUBLE / p_size, 6) AS second_power, round((0.4::DOUBLE * p_size / 50 + 0.2::DOUBLE * p_retailprice / 1999 + 0.2::DOUBLE) / 0.8, 6) AS weighted, "
+    "round(0.4::DOUBLE * greatest(0, 0.6::DOUBLE - p_size / 50.0::DOUBLE) + 0.2::DOUBLE * greatest(0, 0.6::DOUBLE - p_retailprice / 1999), 6) AS merit, glass, round((nd - 1) * p_size, 6) AS power "
+    "FROM part JOIN (VALUES " + ", ".join(f"({k}, '{g}', {nd}::DOUBLE)" for k, (g, nd, *_) in enumerate(optics.GLASSES)) + ") t(k, glass, nd) ON p_partkey % 4 = k"
+)
+def lens_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Powers of a doublet, weighted score and merit of each part, its glass looked up in a table of four rows."""
+    size, price = F.col("p_size").cast("double"), F.col("p_retailprice")
+    three = lambda a, b, c: F.array(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b, c)])
+    powers = optics.achromat_powers(size)
+    names = F.array(*[F.lit(g[0]) for g in optics.GLASSES])
+    parts = hosts.table(spark, sf_dir, "part").withColumn("glass", F.element_at(names, (F.col("p_partkey") % 4 + 1).cast("int"))).join(F.broadcast(optics.glasses(spark)), "glass")
+    made = (size / 50, price / 1999, 1.0)
+    return rounded(
+        parts.select(
+            "p_partkey", powers["first"].alias("first_power"), powers["second"].alias("second_power"), aggregate.weighted_score(three(*made), three(0.4, 0.2, 0.2)).alias("weighted"), optics.merit(three(0.4, 0.2, 0.2), three(*made), three(0.6, 0.6, 0.6)).alias("merit"),
+            "glass", ((F.col("nd") - 1) * size).alias("power"),
+        )
+    )
+
+
 @query(f"WITH {hosts.RESULTS_SQL} SELECT model, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS iqr, round(avg(score) - 1.96 * stddev_pop(score) / sqrt(count(*)), 6) AS ci_low, round(avg(score) + 1.96 * stddev_pop(score) / sqrt(count(*)), 6) AS ci_high FROM results GROUP BY model")
 def score_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interquartile range, and the interval of 95 per cent around the mean."""

@@ -28,7 +28,7 @@ def sections(found: dict[str, Any], model: str, task: str, when: str = "") -> li
     g = lambda k: s.get(k) or 0
     return [
         ("Overview", [("Model", model), ("Task", task), *([("Generated", when)] if when else [])]),
-        ("Summary", [("Total Tasks", f"{g('num_tasks')}"), ("Success Rate", f"{g('success_rate') * 100:.1f}%"), ("Average Score", f"{g('mean_score') * 100:.1f}%"), ("Composite Score", f"{c['composite_score'] * 100:.1f}%"), ("Total Cost", f"${g('total_cost'):.4f}"), ("Avg Latency", f"{g('mean_latency'):.1f}s")]),
+        ("Results", [("Total Tasks", f"{g('num_tasks')}"), ("Success Rate", f"{g('success_rate') * 100:.1f}%"), ("Average Score", f"{g('mean_score') * 100:.1f}%"), ("Composite Score", f"{c['composite_score'] * 100:.1f}%"), ("Total Cost", f"${g('total_cost'):.4f}"), ("Avg Latency", f"{g('mean_latency'):.1f}s")]),
         ("Score Distribution", [(n, f"{g(k):.4f}") for n, k in (("Mean", "mean_score"), ("Median", "median_score"), ("Std Dev", "std_score"), ("Min", "min_score"), ("Max", "max_score"))]),
         ("Error Summary", [(LABELS[k], str(n)) for k, n in found["errors"].items()]),
     ]

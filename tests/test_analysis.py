@@ -114,3 +114,33 @@ def test_optics(spark):
         optics.distortion(F.lit(11.0), F.lit(10.0)).alias("d"), optics.distortion(F.lit(1.0), F.lit(0.0)).alias("d0"), optics.transmission(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.0))).alias("tr"), optics.achromat_powers(F.lit(100.0)).alias("a"), optics.attainment(F.lit(2.0), F.lit(1.0)).alias("at"), optics.cost_efficiency(F.lit(0.5), F.lit(0.0)).alias("ce"),
     ).first()
     assert (row.y, row.t, row.m0, row.m1, row.d, row.d0, row.tr, row.at, row.ce) == pytest.approx((5.0, 0.0, 1.0, 0.0, 10.0, 0.0, 0.25, 1.0, 0.0)) and row.a.first == pytest.approx(0.02)
+
+
+def test_exact_percentiles_against_sorting(spark):
+    import random
+    import statistics
+
+    r = random.Random(2)
+    rows = [(g, r.choice([round(r.gauss(0, 1), 1), r.gauss(0, 1), r.random() * 1e6, -r.random() / 1e6, 0.0])) for g in ("a", "b", None) for _ in range(r.randint(1, 400))] + [("one", 3.5), ("none", None)]
+    got = {(x.g, x.q): x.value for x in aggregate.exact_percentiles(spark.createDataFrame(rows, "g string, x double"), {"x": (0.0, 0.1, 0.5, 0.95, 1.0)}, "g").collect()}
+    for g in ("a", "b", None, "one"):
+        values = sorted(x for k, x in rows if k == g)
+        for q in (0.0, 0.1, 0.5, 0.95, 1.0):
+            at = q * (len(values) - 1)
+            low, share = int(at), at - int(at)
+            assert got[g, q] == pytest.approx(values[low] * (1 - share) + values[min(low + 1, len(values) - 1)] * share, abs=1e-12)
+        assert got[g, 0.5] == pytest.approx(statistics.median(values))
+    assert not any(g == "none" for g, _ in got)
+
+
+def test_weights_and_merit(spark):
+    three = lambda *x: F.array(*[F.lit(float(k)) for k in x])
+    row = spark.range(1).select(aggregate.weighted_score(three(1, 0.5, 0), three(0.4, 0.2, 0.2)).alias("w"), aggregate.weighted_score(three(1), three(0)).alias("z"), optics.merit(three(1, 2), three(0.5, 3), three(1, 2)).alias("m")).first()
+    assert (row.w, row.z, row.m) == pytest.approx((0.625, 0.0, 0.5))
+    assert optics.glasses(spark).count() == 4
+
+
+def test_validation_report_is_bounded(spark):
+    rows = spark.createDataFrame([(k, "", 2.0, -1.0, 1.0) for k in range(30)], "n long, task_id string, score double, cost double, execution_time double")
+    found = quality.validate(rows, "n", most=4).first()
+    assert (found.valid, found.n_issues, len(found.issues)) == (False, 90, 4) and found.issues[0].startswith("row 0: ")

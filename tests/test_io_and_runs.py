@@ -72,6 +72,16 @@ def test_config(spark, tmp_path, monkeypatch):
     with pytest.raises(FileNotFoundError):
         config.task_files(tmp_path, "none")
     assert config.AgentConfig.of({"model": {"name": "${KEY}", "provider": "groq"}, "tools": {"enabled": ["x"]}}) == config.AgentConfig(provider="groq", model="v", tools=("x",))
+    (tmp_path / "prompt.txt").write_text("Be exact.")
+    agent = config.AgentConfig.of({"agent": {"name": "a"}, "model": {"api_key": "k", "top_p": 0.5}, "execution": {"timeout": 5}, "provider_settings": {"thinking_budget": 7}, "system_prompt_file": "prompt.txt"}, tmp_path)
+    assert (agent.name, agent.model, agent.has_key, agent.top_p, agent.timeout, agent.max_retries, agent.thinking_budget, agent.system_prompt) == ("a", "gpt-4", True, 0.5, 5, 3, 7, "Be exact.")
+    assert agent.frame(spark).first().asDict()["tools"] == [] and "k" not in map(str, agent.frame(spark).first())
+    task = config.TaskConfig.of({"dataset": {"path": "p.jsonl", "num_samples": 3, "shuffle": True}})
+    assert (task.path, task.max_samples, task.shuffle) == ("p.jsonl", 3, True) and config.TaskConfig.of({}).max_samples is None
+    config.write(tmp_path / "w.json", {"b": "é", "a": [1]})
+    assert config.read(tmp_path / "w.json") == {"b": "é", "a": [1]}
+    with pytest.warns(UserWarning):
+        assert config.read_system(tmp_path / "no.yaml") == {}
     assert [config.has_key(k) for k in ("k", "", None, "${X}")] == [True, False, False, False]
 
 
@@ -85,6 +95,23 @@ def test_providers(spark, tmp_path):
         got = config.discover_providers(spark, tmp_path).collect()
     assert [(r.provider_id, r.name, r.has_api_key, r.tools_enabled, r.display_name) for r in got] == [("gpt-4", "GPT-4 (OpenAI)", True, ["a", "b"], "GPT-4 (OpenAI) (gpt-4)"), ("my-own", "My Own", False, [], "My Own (unknown)")]
     assert config.discover_providers(spark, tmp_path / "none").count() == 0
+    config.write(tmp_path / "w.yaml", {"b": "é", "a": [1, None]})
+    assert config.read(tmp_path / "w.yaml") == {"b": "é", "a": [1, None]}
+    assert [len(r[0]) for r in config.discover_providers(spark, tmp_path).select(config.shown_tools(most=1)).collect()] == [1, 0, 0]
+
+
+def test_workspace_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name, text in (("a.txt", "one\ntwo"), ("sub/b.txt", ""), ("c.md", "x")):
+        (tmp_path / name).write_text(text)
+    assert [r.text for r in jsonl.read_files(spark, str(tmp_path), "*.txt").collect()] == ["one\ntwo"]
+    assert sorted(r.size for r in jsonl.list_files(spark, str(tmp_path)).collect() if r.size) == [1, 7]
+
+
+def test_limit_over_several_files(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"task_id": "{name}{k}"}}\n' for k in range(3)))
+    assert [r.task_id for r in jsonl.scan_tasks(spark, str(tmp_path), limit=4).collect()] == ["a0", "a1", "a2", "b0"]
 
 
 TASK = config.TaskConfig("lens", "Lens", {}, {"metrics": [{"name": "mtf"}], "success_criteria": [{"metric": "mtf", "operator": ">=", "value": 0.8}]})
@@ -125,6 +152,8 @@ def test_streams(spark, tmp_path):
     done = streams.windowed_totals(streams.read_results(spark, str(src))).writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     done.awaitTermination()
     assert sorted((r.model, r.total_tasks, r.successful_tasks) for r in spark.table("w").collect()) == [("m1", 2, 1), ("m2", 1, 1)]
+    with pytest.raises(ValueError):
+        config.write(tmp_path / "w.toml", {})
     done = streams.running_totals(streams.read_results(spark, str(src))).writeStream.outputMode("complete").format("memory").queryName("t").trigger(availableNow=True).start()
     done.awaitTermination()
     assert {r.model: r.total_cost for r in spark.table("t").collect()} == {"m1": 1.0, "m2": 0.5}
@@ -148,4 +177,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["report", f"{tmp_path}/out_one.jsonl", "-o", f"{tmp_path}/r", "--format", "markdown"]) == 0
     assert "| Successful | 1 (100.0%) |" in (tmp_path / "r" / "out_one.md").read_text()
     (tmp_path / "out_two.json").unlink()
-    assert cli.load(spark, f"{tmp_path}/out_two.jsonl")["metrics_summary"]["mtf"]["mean"] == pytest.approx(0.1)
+    rows, found = cli.load(spark, f"{tmp_path}/out_two.jsonl")
+    assert found["metrics_summary"]["mtf"]["mean"] == pytest.approx(0.1) and rows.count() == 1 and "timestamp" not in found
+    (tmp_path / "out_two.json").write_text('{"model": "saved", "total_tasks": 9}')
+    found = cli.load(spark, f"{tmp_path}/out_two.jsonl")[1]
+    assert (found["model"], found["total_tasks"], found["successful_tasks"]) == ("saved", 9, 0)
+    assert cli.main(["report", f"{tmp_path}/out_two.jsonl", "-o", f"{tmp_path}/r", "--format", "markdown"]) == 0
+    text = (tmp_path / "r" / "out_two.md").read_text()
+    assert "| Model | saved |" in text and "Composite Score" in text and "| Low Quality | 1 |" in text
+    (tmp_path / "whole.json").write_text('{"total_tasks": 1, "individual": [{"task_id": "a", "success": true, "score": 1.0}]}')
+    rows, found = cli.load(spark, f"{tmp_path}/whole.json")
+    assert rows.first().task_id == "a" and found["total_tasks"] == 1
+    assert jsonl.scan_runs(spark, [f"{tmp_path}/out_one.jsonl", f"{tmp_path}/out_two.jsonl"]).count() == 2
