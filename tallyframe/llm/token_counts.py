@@ -22,8 +22,10 @@ class UnigramCounter:
     one-character piece covers is also a candidate, at the lowest score less UNKNOWN; it counts one
     token for each UTF-8 byte if the vocabulary has all byte pieces, else one token for each run of such characters.
 
-    If no piece has a blank after another sign, no piece crosses the start of a word: a text's
-    count is then the sum over its words, which are counted once and kept (``room`` words).
+    If no piece has a blank after another sign, no piece crosses the start of a word. If besides all scores are whole numbers,
+    sums of them are exact wherever they start, so ties between a word's segmentations do not depend on what comes before: a text's
+    count is then the sum over its words, which are counted once and kept (``room`` words). With any other score the
+    tokenizer's running sum rounds differently in each place, so the whole text is segmented with one running sum.
     """
 
     def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool, room: int = 400_000):
@@ -33,7 +35,8 @@ class UnigramCounter:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN
-        self.by_word = not any(BLANK in p.lstrip(BLANK) for p, _ in pieces)
+        self.largest = max(abs(s) for s in (*(s for _, s in pieces), self.unknown))
+        self.by_word = byte_fallback and not any(BLANK in p.lstrip(BLANK) for p, _ in pieces) and all(float(s).is_integer() for _, s in pieces)
         self.kept: dict[str, int] = {}
 
     def segment(self, text: str) -> int:
@@ -60,7 +63,7 @@ class UnigramCounter:
         if not text:
             return 0
         marked = BLANK + text.replace(" ", BLANK)
-        if not self.by_word or not self.byte_fallback:
+        if not self.by_word or self.largest * len(marked) >= 2**53:
             return self.segment(marked)
         total, kept = 0, self.kept
         for word in _WORDS.findall(marked):
