@@ -81,10 +81,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     join); a task keeps k rows a query, and the blocks' results are merged by rank.
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``. Ties go to the smaller id; a query never finds rows of its own id.
     Null vectors and those with null or non-finite components take no part, neither do null ids; where lengths differ, missing components
-    count as zero. Products must fit 64 bits. Repeated queries give one result.
+    count as zero. Products must fit 64 bits. Of queries of one id the smallest vector is asked, component by component;
+    candidates of one id stand each for itself.
     """
     rows, blocks = _blocks(integer_vectors(vectors, id_col, vec_col, scale).where("id is not null"), CANDIDATE_ROWS)
-    asked, _ = _blocks(integer_vectors(queries, id_col, vec_col, scale).where("id is not null").dropDuplicates(["id"]), QUERY_ROWS)
+    asked, _ = _blocks(integer_vectors(queries, id_col, vec_col, scale).where("id is not null").groupBy("id").agg(F.min("v").alias("v")), QUERY_ROWS)
     sent = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "width")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     pairs = sent.join(rows, "block").select("q_ids", "q_m", "q_width", "ids", "m", "width")
 

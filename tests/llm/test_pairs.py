@@ -171,6 +171,17 @@ def test_top_k(spark, monkeypatch):
     assert exact_top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (100, [1.0, 0.0]), (100, [0.0, 1.0]), (100, [0.5, 2.0])]
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "vec_id long, embedding array<double>")
+        found = [tuple(r) for r in exact_top_k(table, table.where("vec_id = 100")).orderBy("rank").collect()]
+        assert found == [(100, 1, 2, 65536), (100, 2, 1, 0)]  # asked by [0, 1], the smallest
+    twice = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r)[2:] for r in exact_top_k(twice, twice.where("vec_id = 1")).orderBy("rank").collect()]
+    assert found == [(100, 65536), (100, 32768), (2, 0), (100, 0)]
+
+
 def test_empty_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_components(docs).count() == 0
