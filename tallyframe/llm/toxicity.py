@@ -60,9 +60,26 @@ class NonNegativePU:
         self.prior, self.steps, self.rate, self.sparse, self.decay, self.min_docs = prior, steps, rate, sparse, decay, min_docs
         self.weights, self.bias = np.zeros(BUCKETS), 0.0
 
+    def risk(self, w: np.ndarray, doc: np.ndarray, col: np.ndarray, is_p: np.ndarray) -> tuple[float, np.ndarray]:
+        """The corrected risk of weights (the bias last) on documents given as (document, column) pairs, and the direction of the step's descent.
+
+        That is the risk's gradient; where the estimate on negatives has fallen below zero it is that of its negative.
+        """
+        n, n_p = len(is_p), int(is_p.sum())
+        g = np.bincount(doc, w[:-1][col], minlength=n) + w[-1]
+        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+        loss = np.logaddexp(0, g)  # l(-g); its slope is s, that of l(g) is s - 1
+        negative = loss[~is_p].mean() - self.prior * loss[is_p].mean()
+        if negative >= 0:
+            d = np.where(is_p, -self.prior / n_p, s / (n - n_p))
+        else:
+            d = np.where(is_p, self.prior * s / n_p, -s / (n - n_p))
+        grad = np.append(np.bincount(col, d[doc], minlength=len(w) - 1), d.sum())
+        return float(self.prior * np.logaddexp(0, -g[is_p]).mean() + max(0.0, negative)), grad
+
     def fit(self, positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> NonNegativePU:
         sets = [*positive, *unlabelled]
-        n_p, n_u, n = len(positive), len(unlabelled), len(sets)
+        n_p, n = len(positive), len(sets)
         flat = np.concatenate(sets).astype(np.int64)
         seen = np.bincount(flat, minlength=BUCKETS)
         used = np.flatnonzero(seen >= min(self.min_docs, max(1, n // 50)))
@@ -77,14 +94,8 @@ class NonNegativePU:
         w[-1] = np.log(self.prior / (1 - self.prior))
         is_p = np.arange(n) < n_p
         for k in range(1, self.steps + 1):
-            g = np.bincount(doc, w[:-1][col], minlength=n) + w[-1]
-            s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            loss = np.logaddexp(0, g)  # l(-g); its slope is s, that of l(g) is s - 1
-            if loss[~is_p].mean() >= self.prior * loss[is_p].mean():
-                d = np.where(is_p, -self.prior / n_p, s / n_u)
-            else:
-                d = np.where(is_p, self.prior * s / n_p, -s / n_u)
-            grad = np.append(np.bincount(col, d[doc], minlength=len(used)) + self.decay * w[:-1] + self.sparse * np.sign(w[:-1]), d.sum())
+            _, grad = self.risk(w, doc, col, is_p)
+            grad[:-1] += self.decay * w[:-1] + self.sparse * np.sign(w[:-1])
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             w -= self.rate * min(1, 2 - 2 * k / self.steps) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
         w[:-1][np.abs(w[:-1]) < 0.02] = 0  # what the L1 penalty holds near zero
@@ -92,25 +103,38 @@ class NonNegativePU:
         return self
 
 
+#: Buckets of one sample document that reach the driver; of a longer one's as many, drawn at random.
+MAX_SET = 8192
+
+
+def _at_most(buckets: set[int], text: str) -> np.ndarray:
+    found = np.sort(np.fromiter(buckets, "<i4"))
+    if len(found) > MAX_SET:
+        found = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))).choice(found, MAX_SET, replace=False)
+    return found
+
+
 def _bucket_sets(docs: DataFrame) -> list[tuple[bool, bool, np.ndarray]]:
-    """For each text of a bounded sample, on the driver: whether it counts as positive, as unlabelled, and its buckets."""
+    """For each text of a bounded sample, on the driver: whether it counts as positive, as unlabelled, and its buckets (MAX_SET at most, so 32 kB a document)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordBuckets()
         for batch in batches:
-            found = pa.array([np.fromiter(cache.of(t.as_py() or ""), "<i4").tobytes() for t in batch.column(0)], pa.binary())
+            texts = [t.as_py() or "" for t in batch.column(0)]
+            found = pa.array([_at_most(cache.of(t), t).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), found], names=["p", "u", "b"])
 
     rows = docs.select("text", "p", "u").mapInArrow(sets, "p boolean, u boolean, b binary").collect()
     return [(r["p"], r["u"], np.frombuffer(r["b"], "<i4")) for r in rows]
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 3000, max_unlabelled: int = 6000, folds: int = 5) -> NonNegativePU | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 3000, max_unlabelled: int = 6000, folds: int = 5, priors: tuple[float, float] = (0.01, 0.5)) -> NonNegativePU | None:
     """Fit the classifier; None if no toxic row can be learned from.
 
     Uses rows whose crc32(id as text) mod ``folds`` is not 0: up to ``max_positive`` documents marked toxic and up to
     ``max_unlabelled`` of all documents, both by smallest hash of the id. The class
-    prior is the share of toxic rows among labelled ones.
+    prior is the share of toxic rows among labelled ones, kept within ``priors``: beyond them the correction has no use.
+    Null ids and labels of null ids are not learned from; of rows with equal id each counts.
     """
     learn = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != 0
     marks = labels.where(learn & F.col("toxic").isNotNull()).select(F.col(id_col).alias("id"), "toxic")
@@ -126,7 +150,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     positive, unlabelled = [b for p, _, b in sets if p], [b for _, u, b in sets if u]
     if not positive or not unlabelled:
         return None
-    return NonNegativePU(min(0.5, max(0.01, prior))).fit(positive, unlabelled)
+    return NonNegativePU(min(priors[1], max(priors[0], prior))).fit(positive, unlabelled)
 
 
 def score_toxicity(docs: DataFrame, model: NonNegativePU | None, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -150,8 +174,9 @@ def score_toxicity(docs: DataFrame, model: NonNegativePU | None, text_col: str =
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5) -> DataFrame:
     """Toxicity of each row: id, ``held_out``, ``score`` and ``predicted`` (1 if the score is 0.5 or more).
 
-    Only words of the text enter a score. Null and empty texts get the score of no words; a null id counts as
-    learned from but has no label. Rows with equal id are scored one by one.
+    Only words of the text enter a score. Null and empty texts get the score of no words; a row with a null id is
+    scored like others and is not held out, but nothing is learned from it. Rows with equal id are scored one by one. An empty table gives no rows; without
+    a toxic row to learn from all scores are 0. Columns of the names of the result are replaced.
     """
     scored = score_toxicity(docs.select(id_col, text_col), train_toxicity(docs, labels, id_col, text_col, folds=folds), text_col)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))

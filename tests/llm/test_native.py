@@ -98,6 +98,40 @@ def test_permutation(spark, n):
     assert n <= a * b < n + a + b
 
 
+def plain_place(x, n, seed=11, rounds=6):
+    """The permutation row by row: six rounds over a pair of residues, again until the place is below n."""
+    prime, a = 2**31 - 1, 1
+    while a * a < n:
+        a += 1
+    b = -(-n // a)
+    digests = [hashlib.sha256(f"{seed}:{k}".encode()).digest() for k in range(rounds)]
+    while True:
+        left, right = x % a, x // a
+        for k, d in enumerate(digests):
+            y = ((right if k % 2 == 0 else left) * (int.from_bytes(d[:4], "big") % (prime - 1) + 1) + int.from_bytes(d[4:8], "big") % prime) % prime
+            y = (y * y + y) % prime
+            left, right = ((left + y) % a, right) if k % 2 == 0 else (left, (right + y) % b)
+        x = right * a + left
+        if x < n:
+            return x
+
+
+def test_permutation_row_by_row(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 7, 100, 1001, 5000):
+        got = {r[0]: r[1] for r in spark.range(n).select("id", permute(F.col("id"), n)).collect()}
+        assert got == {x: plain_place(x, n) for x in range(n)}
+
+
+def test_shards_row_by_row(spark):
+    rows = [(i * 7 % 400, f"text {i % 13}" * (i % 5)) for i in range(400)]
+    got = {r.doc_id: (r.shard, r.slot) for r in shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for place, (i, _) in enumerate(sorted(rows)):
+        p = plain_place(place, len(rows))
+        assert got[i] == (p % 24, p // 24)
+
+
 def test_shards(spark, odd):
     got = shard(odd, shards=5).collect()
     text = {(i, zlib.crc32((t or "").encode())): len((t or "").encode()) + 8 for i, t, _ in ODD}

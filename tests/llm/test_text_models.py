@@ -84,6 +84,35 @@ def test_word_cache_gives_the_tokenizers_ids():
         assert words.of(text or "") == b"".join(i.to_bytes(4, "little") for i in want)
 
 
+def test_other_tokenizers_get_whole_texts():
+    from tallyframe.llm.packing import words_apart
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = WordIds(model)
+    assert not words_apart(model) and words_apart(Tokenizer.from_file(WORDS))
+    for text in ODD:
+        assert words.of(text or "") == b"".join(i.to_bytes(4, "little") for i in model.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_plan_replayed_item_by_item():
+    """Longest first, each piece onto the shortest pack if it fits there, else into a new one; the histogram must give packs as full."""
+    r = random.Random(6)
+    for trial in range(60):
+        length = r.choice((10, 64, 4096))
+        pieces = [r.randint(1, length) if r.random() < 0.5 else r.choice((length, 1, length // 2, max(1, length // 3))) for _ in range(r.randint(0, 60))]
+        packs: list[list[int]] = []
+        for size in sorted(pieces, reverse=True):
+            shortest = min(packs, key=sum, default=None)
+            if shortest is not None and sum(shortest) + size <= length:
+                shortest.append(size)
+            else:
+                packs.append([size])
+        patterns = shortest_pack_first(dict(Counter(pieces)), length)
+        # packs of one room are alike to the method, so they are compared by how full they are
+        assert Counter(sum(p) for n, p in patterns for _ in range(n)) == Counter(map(sum, packs)), (trial, length, sorted(pieces))
+        assert Counter(x for n, p in patterns for x in p * n) == Counter(pieces)
+
+
 def test_shortest_pack_first():
     r = random.Random(2)
     lengths = Counter(min(4096, int(r.lognormvariate(6, 1.2)) + 1) for _ in range(20_000))
@@ -255,6 +284,50 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity(docs.limit(0), marks).count() == 0 and {x.predicted for x in toxicity(docs, marks.limit(0)).collect()} == {0}
 
 
+def test_risk_and_its_gradient_by_plain_loops():
+    import math
+
+    from tallyframe.llm.toxicity import NonNegativePU
+
+    r = random.Random(8)
+    for prior, high in ((0.3, 1.0), (0.5, 6.0)):
+        is_p = [k < 4 for k in range(9)]
+        docs = [sorted(r.sample(range(6), r.randint(0, 4)) if high < 2 else ([0, 1] if y else [2])) for y in is_p]
+        w = [r.uniform(-1, 1) for _ in range(6)] + [0.3]
+        w[0] = high
+
+        def risk(w):
+            g = [sum(w[c] for c in d) + w[-1] for d in docs]
+            loss = lambda z: math.log1p(math.exp(-z))
+            p, u = [x for x, y in zip(g, is_p) if y], [x for x, y in zip(g, is_p) if not y]
+            first = prior * sum(map(loss, p)) / len(p)
+            second = sum(loss(-x) for x in u) / len(u) - prior * sum(loss(-x) for x in p) / len(p)
+            return first, second
+
+        model = NonNegativePU(prior)
+        pairs = [(i, c) for i, d in enumerate(docs) for c in d]
+        got, grad = model.risk(np.array(w), np.array([i for i, _ in pairs]), np.array([c for _, c in pairs]), np.array(is_p))
+        first, second = risk(w)
+        assert got == pytest.approx(first + max(0.0, second))
+        for k in range(7):
+            up, down = [x + 1e-6 * (j == k) for j, x in enumerate(w)], [x - 1e-6 * (j == k) for j, x in enumerate(w)]
+            slope = [(a - b) / 2e-6 for a, b in zip(risk(up), risk(down), strict=True)]
+            assert grad[k] == pytest.approx(sum(slope) if second >= 0 else -slope[1], abs=1e-6)
+    # a model whose estimate on negatives is below zero takes the step against it
+    assert second < 0
+
+
+def test_toxicity_of_odd_tables(spark):
+    rows = [(i, ("vile " if i % 4 == 0 else "fine ") + "words " * (i % 7), "a", 1) for i in range(200)] + [(8, "vile", "b", 2), (None, "vile", None, None), (900, "vile " * 60_000, "c", 3), (901, None, "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out string, predicted int")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(8, 1), (None, 1)], "doc_id long, toxic int")
+    got = toxicity(docs, marks).collect()
+    assert len(got) == len(rows) and {type(r.held_out) for r in got} == {bool}
+    by = {r.doc_id: r for r in got}
+    assert by[900].predicted == 1 and by[None].predicted == 1 and by[None].held_out is False and by[901].predicted == 0 and {r.score for r in got if r.doc_id == 8} <= {by[8].score, next(r.score for r in got if r.doc_id == 8)}
+    assert sum(r.doc_id == 8 for r in got) == 2
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_boosting_learns_an_interaction(seed):
     from tallyframe.llm.boosting import BoostedTrees
