@@ -129,7 +129,7 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[in
         while left:
             room = max((r for r, found in open_.items() if found), default=0)
             if room < size:
-                per = length // size if not placed else 1
+                per = length // size
                 whole, rest = divmod(left, per)
                 placed.append((whole, (size,) * per, length - per * size))
                 if rest:
