@@ -2,41 +2,73 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[str, list[str]] = {}
+from ..sources.shared import shared_dir
 
+#: What has been written and not been deleted, by application: folders, and the tables over some of them.
+_WRITTEN: dict[str, dict[str, str | None]] = {}
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only for a local master that has none."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-    return sc.getCheckpointDir().rstrip("/")
+
+def _place(spark: SparkSession, name: str, table: bool = False) -> tuple[str, str | None]:
+    mark = uuid.uuid4().hex
+    path, named = f"{shared_dir(spark)}/{name}-{mark}", f"tf_{name.replace('-', '_')}_{mark}" if table else None
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, {})[path] = named
+    return path, named
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
 
-    A lost executor costs nothing that was written. ``release`` deletes the files.
+    A lost executor costs nothing that was written. ``discard`` and ``release`` delete the files.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, _ = _place(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._tf_path = path
+    return found
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> DataFrame:
+    """The same as a table in buckets by ``keys``, each one file sorted by them: joins on the keys need no exchange of it, within ``ordered_scans`` no sort."""
+    path, table = _place(df.sparkSession, name, table=True)
+    df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    found = df.sparkSession.table(table)
+    found._tf_path = path
+    return found
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    """Let scans of buckets tell that they are sorted, while tables are merged."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _delete(spark: SparkSession, path: str, table: str | None) -> None:
+    if table:
+        spark.sql(f"drop table if exists {table}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables from ``written`` or ``bucketed`` that nothing reads any more: what is made from them has been written."""
+    for df in tables:
+        spark, path = df.sparkSession, df._tf_path
+        _delete(spark, path, _WRITTEN.get(spark.sparkContext.applicationId, {}).pop(path, None))
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what ``written`` has left; call it when no result is read any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    """Delete all that is left; call it when no result is read any more."""
+    for path, table in _WRITTEN.pop(spark.sparkContext.applicationId, {}).items():
+        _delete(spark, path, table)

@@ -43,6 +43,38 @@ def test_line_dedup(spark, odd):
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == want
 
 
+def test_merges_use_the_order_of_the_runs(spark):
+    from tallyframe.llm.line_dedup import KEY, LineRuns
+    from tallyframe.llm.scratch import discard, ordered_scans
+
+    index = LineRuns(8)
+    rows = lambda a, b: spark.range(a, b).selectExpr("xxhash64(id) as h1", "xxhash64(1, id) as h2", "1L as docs", "id as last_doc")
+    runs = [index.run(rows(0, 3000)), index.run(rows(3000, 4000))]
+    batch = index.run(rows(2000, 5000))
+    with ordered_scans(spark):
+        fresh = index.merged(index.merged(batch, runs[0], "left_anti"), runs[1], "left_anti")
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan and "Sort [" not in plan
+        assert fresh.count() == 1000
+    discard(batch, *runs)
+    one = LineRuns(8, fanout=2)
+    for a, b in ((0, 100), (50, 150), (0, 200), (190, 210)):
+        one.add(rows(a, b))
+    got = {r.last_doc: r.docs for r in one.totals().collect()}
+    assert got == {k: sum(a <= k < b for a, b in ((0, 100), (50, 150), (0, 200), (190, 210))) for k in range(210)}
+    assert [len(level) for level in one.levels] == [0, 0, 1]
+
+
+def test_hot_lines(spark, monkeypatch):
+    from tallyframe.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "HOT_SHARE", 3)
+    texts = {i: "\n".join(["a line that all documents hold, again and again"] + [f"a line that only some hold, number {i % 5}"] + [f"own line of document number {i}"]) for i in range(30)}
+    got = line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    for r in got:
+        assert r.n_dropped == (0 if r.doc_id == 29 else 1 if r.doc_id >= 25 else 2) and r.text.endswith(f"own line of document number {r.doc_id}")
+
+
 def test_mixing(spark, odd):
     got = mix_sources(odd).collect()
     size = {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, x in ODD if x == s) for s in ("a", "b", "c", None)}
