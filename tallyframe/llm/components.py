@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import written
+from .scratch import discard, written
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -32,7 +32,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = written(large, "links")
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*").distinct()
-        edges = written(small, "links")
+        settled = written(small, "links")
+        discard(edges, large)
+        edges = settled
         now = _print(edges)
         if now == before:
             break

@@ -7,17 +7,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .blocks import roots
 from .components import components
-from .scratch import written
+from .scratch import discard, written
 from .shingles import mix, shingle_set
 
 #: Documents of a block whose n-grams are counted together, and n-grams after which a block ends early.
 BLOCK_DOCS, BLOCK_GRAMS = 4096, 500_000
-#: Documents of a family that meet in one task.
-FAMILY_DOCS = 1024
+#: Documents of a family that meet in one task; a family with more, or with more n-grams than FAMILY_GRAMS, meets in blocks of half as many documents.
+FAMILY_DOCS, FAMILY_GRAMS = 1024, 2_000_000
+#: Blocks that hold one n-gram up to which they are paired gram by gram.
+FEW_BLOCKS = 64
+#: Bytes of text for each part of the hash space; the keys of a part take about half as much.
+PART_BYTES = 1 << 26
 _HALF = np.uint64(1 << 63)
 
 
@@ -135,7 +139,7 @@ def shared_counts(incidence: DataFrame) -> DataFrame:
 
 
 def candidate_blocks(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """Blocks of whole n-gram sets of the wanted documents: block, reps (first sum of the signature: it stands for the class), n, grams (one after another)."""
+    """Blocks of whole n-gram sets of the wanted documents: block, reps (numbers of the classes), n, grams (one after another)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -153,7 +157,7 @@ def candidate_blocks(docs: DataFrame, wanted: DataFrame, id_col: str, text_col:
             for row in batch.to_pylist():
                 h = shingle_set(row[text_col], words)
                 if (len(h), *_signature(h)) == (row["n"], row["s1"], row["s2"]):
-                    reps.append(row["s1"])
+                    reps.append(row["cid"])
                     found.append(h)
                     size += len(h)
                     if len(reps) >= BLOCK_DOCS or size >= BLOCK_GRAMS:
@@ -162,7 +166,7 @@ def candidate_blocks(docs: DataFrame, wanted: DataFrame, id_col: str, text_col:
         if reps:
             yield block(reps, found)
 
-    joined = docs.select(F.col(id_col).cast("long").alias("rep"), text_col).join(wanted, "rep").select("rep", text_col, "n", "s1", "s2")
+    joined = docs.select(F.col(id_col).cast("long").alias("rep"), text_col).join(wanted, "rep").select("cid", text_col, "n", "s1", "s2")
     return joined.mapInArrow(sets, "block long, reps array<long>, n array<int>, grams binary")
 
 
@@ -239,7 +243,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     order = np.argsort(where, kind="stable")
     holder, starts = holder[order], np.concatenate([[0], np.cumsum(counts)])
-    total = np.zeros((n, n), dtype=np.float32)
+    total = np.zeros((n, n), dtype=np.int64)
     for size in range(2, min(16, n) + 1):
         rows = holder[starts[np.flatnonzero(counts == size)][:, None] + np.arange(size)]
         for a in range(size):
@@ -255,31 +259,55 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((n, len(columns)), dtype=np.float32)
         for k, c in enumerate(columns):
             dense[holder[starts[c] : starts[c + 1]], k] = 1
-        total += dense @ dense.T
+        total += (dense @ dense.T).astype(np.int64)  # at most 2048 each: exact
     return total
 
 
+def _chunked(member: DataFrame) -> DataFrame:
+    """Sets of large families with their size class ``c`` and their chunk: sets with one least n-gram in the prefix come into one chunk, in several if they are many."""
+    ratio = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
+    classed = written(member.withColumns({"c": ratio, "k": F.array_min(F.transform("prefix", lambda g: F.xxhash64(g)))}), "family-large")
+    pieces = lambda docs, grams: F.greatest(F.ceil(docs * 2 / FAMILY_DOCS), F.ceil(grams / BLOCK_GRAMS)).cast("long")
+    by_key = classed.groupBy("family", "c", "k").agg(pieces(F.count("*"), F.sum("n")).alias("own"), F.count("*").alias("docs"), F.sum("n").alias("grams"))
+    room = Window.partitionBy("family", "c")
+    # keys of few documents share as many chunks as they fill
+    light = F.col("own") <= 1
+    shared = pieces(F.sum(F.when(light, F.col("docs")).otherwise(0)).over(room), F.sum(F.when(light, F.col("grams")).otherwise(0)).over(room))
+    places = by_key.withColumn("count", F.greatest(shared, F.lit(1))).select("family", "c", "k", "own", "count")
+    chunk = F.when(light, F.xxhash64("family", "c", F.pmod("k", "count"))).otherwise(F.xxhash64("family", "c", "k", F.pmod(F.xxhash64("rep"), F.col("own"))))
+    return written(classed.join(places, ["family", "c", "k"]).select("rep", "n", "grams", "prefix", "family", "c", chunk.alias("chunk")), "family-chunks")
+
+
+def _chunk_pairs(chunked: DataFrame) -> DataFrame:
+    """Pairs of chunks of one family (each with itself, too) that may hold a linked pair: of one size class or of neighbouring ones, and with a common n-gram among their prefixes.
+
+    N-grams in more than FEW_BLOCKS chunks would give the same pairs again and again: chunks that have any such n-gram are all paired with each other, once.
+    """
+    entries = written(chunked.select("family", "c", "chunk", F.explode("prefix").alias("gram")).distinct(), "family-entries")
+    spread = entries.groupBy("family", "gram").agg((F.count("*") > FEW_BLOCKS).alias("many"))
+    marked = entries.join(spread, ["family", "gram"])
+    hubs = marked.where("many").select("family", "c", "chunk").distinct().withColumn("gram", F.lit(0).cast("long"))
+    listed = marked.where("not many").select("family", "c", "chunk", "gram").unionByName(hubs)
+    one, two = (listed.select("family", "gram", F.col("c").alias(f"c{k}"), F.col("chunk").alias(x)) for k, x in ((1, "a"), (2, "b")))
+    met = one.join(two, ["family", "gram"]).where("(c1 = c2 and a <= b) or c1 + 1 = c2").select("family", "a", "b").distinct()
+    return written(met, "family-pairs")
+
+
 def family_blocks(alive: DataFrame, families: DataFrame) -> DataFrame:
-    """Sets with the block in which they meet: all of a small family in one, a large one by size class and chunk.
+    """Sets with the block (``family``, ``a``, ``b``) in which they meet: all of a small family in one, a large one chunk by chunk.
 
     Linked sets' sizes differ by less than a third, so with classes of that ratio they are of one class or
-    of neighbouring ones; other pairs of blocks are never formed.
+    of neighbouring ones, and they share an n-gram of both their prefixes; other pairs of chunks are never formed.
     """
     member = alive.join(families.select(F.col("id").alias("rep"), F.col("component").alias("family")), "rep")
-    sizes = families.groupBy(F.col("component").alias("family")).agg((F.count("*") > FAMILY_DOCS).alias("large"))
-    ratio = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    classed = written(member.join(sizes, "family").withColumn("c", F.when(F.col("large"), ratio).otherwise(F.lit(0))), "family-sets")
-    chunks = classed.groupBy("family", "c").agg(F.ceil(F.count("*") / FAMILY_DOCS * 2).cast("int").alias("count"), F.first("large").alias("large"))
-    chunks = chunks.select("family", "c", F.when(F.col("large"), F.col("count")).otherwise(F.lit(1)).alias("count"))
-    chunked = classed.join(chunks, ["family", "c"]).withColumn("j", F.pmod(F.xxhash64("rep"), F.col("count")).cast("int"))
-    one = chunks.select("family", F.col("c").alias("c1"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("j1"))
-    two = chunks.select("family", F.col("c").alias("c2"), F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("j2"))
-    near = one.withColumn("c2", F.explode(F.array(F.col("c1"), F.col("c1") + 1))).join(two, ["family", "c2"]).where("c1 < c2 or j1 <= j2")
-    columns = ["family", "c1", "j1", "c2", "j2"]
-    left = chunked.join(near, (chunked["family"] == near["family"]) & (F.col("c") == F.col("c1")) & (F.col("j") == F.col("j1"))).drop(chunked["family"])
-    right = chunked.join(near, (chunked["family"] == near["family"]) & (F.col("c") == F.col("c2")) & (F.col("j") == F.col("j2"))).drop(chunked["family"]).where("c1 <> c2 or j1 <> j2")
-    picked = ["rep", "n", "grams", *columns]
-    return left.select(*picked).unionByName(right.select(*picked))
+    member = written(member, "family-sets")
+    sizes = member.groupBy("family").agg(((F.count("*") > FAMILY_DOCS) | (F.sum("n") > FAMILY_GRAMS)).alias("large")).where("large").select("family")
+    small = member.join(sizes, "family", "left_anti").select("rep", "n", "grams", "family", F.col("family").alias("a"), F.col("family").alias("b"))
+    chunked = _chunked(member.join(sizes, "family", "left_semi"))
+    pairs = _chunk_pairs(chunked)
+    left = chunked.join(pairs, (chunked["family"] == pairs["family"]) & (chunked["chunk"] == pairs["a"])).drop(chunked["family"])
+    right = chunked.join(pairs.where("a <> b"), (chunked["family"] == pairs["family"]) & (chunked["chunk"] == pairs["b"])).drop(chunked["family"])
+    return small.unionByName(left.select(*small.columns)).unionByName(right.select(*small.columns))
 
 
 def block_links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -289,13 +317,13 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(table["rep"].to_numpy(), kind="stable")
         rep, n = table["rep"].to_numpy()[order], table["n"].to_numpy()[order].astype(np.int64)
         grams = table["grams"].to_pylist()
-        common = overlaps([np.frombuffer(grams[k], "<u8") for k in order]).astype(np.int64)  # products beyond float32
+        common = overlaps([np.frombuffer(grams[k], "<u8") for k in order])
         i, j = np.nonzero(np.triu(common * (100 + percent) >= percent * (n[:, None] + n[None, :]), 1) & (common > 0))
         low = roots(len(rep), i, j)
         some = np.flatnonzero(low < np.arange(len(rep)))
         return pa.table({"a": pa.array(rep[some], pa.int64()), "b": pa.array(rep[low[some]], pa.int64())})
 
-    return blocks.groupBy("family", "c1", "j1", "c2", "j2").applyInArrow(link, "a long, b long")
+    return blocks.groupBy("family", "a", "b").applyInArrow(link, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -308,31 +336,34 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
        over the lower half of the hash space, that drops most documents.
     2. Among the classes left, the same over all n-grams; then each is listed under its rarest n-grams
        (as many as a linked set cannot all miss), and classes with a common entry form a family.
-    3. The sets of a family meet in blocks. There the product of the incidence matrix with its transpose gives all
+    3. The sets of a family meet in blocks: those of a large one by size class and chunk, and only chunks with a common entry. There the product of the incidence matrix with its transpose gives all
        overlaps; pairs below the bound that their sizes set are dropped. Blocks return a spanning forest of their links, not the pairs.
 
     Words are runs of anything but six white-space characters, A-Z lower-cased; a text of fewer than ``words`` words has one
     n-gram, a text without words or null has none and links with nothing. Rows with equal id are compared
     row by row, each by its own text; a row with a null id has itself (null) as component. Sets are compared
-    by 64-bit hashes of their n-grams, and classes by sums of these.
+    by 64-bit hashes of their n-grams, classes by their size and two sums of these (128 bits); each class has a number of its own.
     """
-    spark = docs.sparkSession
     parts = 16
-    while parts < min(8192, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+    stored = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    while parts * PART_BYTES < stored:
         parts *= 2
     about = written(shared_counts(half_incidence(docs, id_col, text_col, words, parts)), "ngram-documents")
     key = ["n", "s1", "s2"]
-    classes = written(about.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("half").alias("half"), F.max("shared").alias("shared")), "ngram-classes")
-    wanted = classes.where(F.col("shared") >= F.col("half") - (F.col("n") - F.ceil(F.col("n") * percent / 100))).select("rep", *key)
+    classes = written(about.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("half").alias("half"), F.max("shared").alias("shared")).withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+    wanted = classes.where(F.col("shared") >= F.col("half") - (F.col("n") - F.ceil(F.col("n") * percent / 100))).select("rep", "cid", *key)
     blocks = written(candidate_blocks(docs, wanted, id_col, text_col, words), "ngram-blocks")
     alive = written(reachable(blocks, block_frequencies(blocks, parts), percent).dropDuplicates(["rep"]), "ngram-alive")
+    discard(blocks)
     listed = alive.select("rep", F.explode("prefix").alias("gram"))
     heads = listed.groupBy("gram").agg(F.min("rep").alias("b"), F.count("*").alias("many")).where("many > 1")
     families = written(components(listed.join(heads, "gram").select(F.col("rep").alias("a"), "b").distinct()), "ngram-families")
-    links = written(block_links(family_blocks(alive.select("rep", "n", "grams"), families), percent), "ngram-links")
-    joined = components(links).withColumnRenamed("id", "s1")
-    grouped = written(classes.select(*key, "rep").join(joined, "s1", "left").withColumn("component", F.coalesce("component", "s1")), "ngram-grouped")
+    links = written(block_links(family_blocks(alive, families), percent), "ngram-links")
+    discard(alive, families)
+    joined = components(links).withColumnRenamed("id", "cid")
+    grouped = written(classes.select(*key, "rep", "cid").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "ngram-grouped")
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("smallest"))
-    labelled = grouped.join(smallest, "component").select(*key, F.col("smallest").alias("component"))
+    labelled = written(grouped.join(smallest, "component").select(*key, F.col("smallest").alias("component")), "ngram-labelled")
+    discard(classes, links, grouped)
     out = about.join(labelled, key, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))

@@ -91,6 +91,36 @@ def test_ngram_join(spark, monkeypatch):
             assert (row.n_shingles, row.component_id) == (len(sets[row.doc_id]), want[row.doc_id])
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_ngram_join_of_a_chain_and_long_documents(spark, monkeypatch, few):
+    """One long chain of near copies, families with a common rare passage, and documents of 20,000 words: small blocks, and all n-grams hubs in the second run."""
+    from tallyframe.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "FAMILY_DOCS", 8)
+    monkeypatch.setattr(ngram_join, "FAMILY_GRAMS", 30_000)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 25_000)
+    monkeypatch.setattr(ngram_join, "FEW_BLOCKS", few)
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts, base = [], [word() for _ in range(70)]
+    for k in range(120):  # each differs by one word from the one before; the ends have nothing in common
+        base[k % 70] = word()
+        texts.append(" ".join(base))
+    passage = [word() for _ in range(30)]
+    for _ in range(12):
+        own = [word() for _ in range(40)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[:-1], word()]), " ".join([*own, *passage])]
+    long = [word() for _ in range(20_000)]
+    for _ in range(3):
+        texts.append(" ".join(long))
+        long[r.randrange(20_000)] = word()
+    sets = {i: word_set(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = groups(sets, links)
+    got = {x.doc_id: x.component_id for x in ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and len(set(want.values())) < 40
+
+
 def test_links_of_long_documents_at_the_bound(spark):
     from tallyframe.llm.ngram_join import block_links
 
@@ -100,8 +130,8 @@ def test_links_of_long_documents_at_the_bound(spark):
     sets = [np.arange(m, dtype="<u8"), np.arange(m, dtype="<u8")]
     sets = [np.concatenate([x, np.arange(n - m, dtype="<u8") + 10**6 * (k + 1)]) for k, (x, n) in enumerate(zip(sets, sizes, strict=True))]
     for cut in (0, 1):
-        rows = [(1, 0, 0, 0, 0, k, len(x), x.tobytes()) for k, x in enumerate([sets[0], np.append(sets[1][cut:], np.arange(cut, dtype="<u8") + 10**7)])]
-        blocks = spark.createDataFrame(rows, "family long, c1 int, j1 int, c2 int, j2 int, rep long, n long, grams binary")
+        rows = [(1, 0, 0, k, len(x), x.tobytes()) for k, x in enumerate([sets[0], np.append(sets[1][cut:], np.arange(cut, dtype="<u8") + 10**7)])]
+        blocks = spark.createDataFrame(rows, "family long, a long, b long, rep long, n long, grams binary")
         assert [tuple(r) for r in block_links(blocks, 75).collect()] == ([] if cut else [(1, 0)])
 
 
