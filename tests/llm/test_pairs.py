@@ -164,8 +164,12 @@ def test_near_vectors(spark, monkeypatch):
     assert near_vectors(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("n", "share", "level"), [(6000, 1 / 3, 0.94), (3000, 1.0, 0.97)])
-def test_near_vectors_with_one_large_group_of_near_copies(spark, n, share, level):
+@pytest.mark.parametrize(("n", "share", "level", "rows"), [(6000, 1 / 3, 0.94, 4096), (3000, 1.0, 0.97, 500)])
+def test_near_vectors_with_one_large_group_of_near_copies(spark, monkeypatch, n, share, level, rows):
+    """Recall of links against brute force, with lists in one piece and in chunks."""
+    from tallyframe.llm import near_vectors as module
+
+    monkeypatch.setattr(module, "LIST_ROWS", rows)
     rng = np.random.default_rng(8)
     base, many = rng.normal(size=64), int(n * share)
     base /= np.linalg.norm(base)
@@ -178,6 +182,23 @@ def test_near_vectors_with_one_large_group_of_near_copies(spark, n, share, level
     assert found >= 0.999 and all(r.n_links <= want[r.vec_id] for r in got)
 
 
+def test_recall_at_the_threshold_over_chunked_lists(spark, monkeypatch):
+    """Random pairs just above the threshold, in single precision: the hardest links for the order of pivots."""
+    from tallyframe.llm import near_vectors as module
+
+    monkeypatch.setattr(module, "LIST_ROWS", 64)
+    rng = np.random.default_rng(3)
+    a, o = rng.normal(size=(2, 1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(axis=1, keepdims=True) * a
+    b = 0.932 * a + np.sqrt(1 - 0.932**2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    rows = [(k, x.astype(np.float32).tolist(), 0) for k, x in enumerate(np.concatenate([a, b]))]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    found = sum(r.n_links for r in got) / 3000
+    print(f"recall of links {found:.4f}")
+    assert 0.99 <= found <= 1
+
+
 def test_near_vectors_of_a_tiny_table(spark):
     rows = [(0, [1.0, 0.0, 0.1], 0), (1, [1.0, 0.1, 0.0], 0), (2, [1.0, 0.0, 0.1], 0)]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
