@@ -16,6 +16,8 @@ from .shingles import mix, shingle_set
 
 #: Documents of a block whose n-grams are counted together, and n-grams after which a block ends early.
 BLOCK_DOCS, BLOCK_GRAMS = 4096, 500_000
+#: N-grams of a block for each part, so that a row of a block and part holds some of them; at most MOST_GRAMS.
+PART_GRAMS, MOST_GRAMS = 64, 8_000_000
 #: Documents of a family that meet in one task; a family with more, or with more n-grams than FAMILY_GRAMS, meets in blocks of half as many documents.
 FAMILY_DOCS, FAMILY_GRAMS = 1024, 2_000_000
 #: Blocks that hold one n-gram up to which they are paired gram by gram.
@@ -48,6 +50,8 @@ def half_incidence(docs: DataFrame, id_col: str, text_col: str, words: int, part
     A key that several documents of a block hold is sent once, without holder: that it is
     shared is known. So an n-gram that all documents hold costs a few bytes a block. One row a block (``ids`` not null) describes its documents.
     """
+    most = max(BLOCK_GRAMS, min(MOST_GRAMS, PART_GRAMS * parts))
+    most_docs = min(60_000, BLOCK_DOCS * most // BLOCK_GRAMS)  # places in a block take 16 bits
 
     def incidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -86,7 +90,7 @@ def half_incidence(docs: DataFrame, id_col: str, text_col: str, words: int, part
                 ids.append(doc)
                 sets.append(shingle_set(text.as_py(), words))
                 size += len(sets[-1])
-                if len(ids) >= BLOCK_DOCS or size >= BLOCK_GRAMS:
+                if len(ids) >= most_docs or size >= most:
                     yield block(ids, sets)
                     ids, sets, size, made = [], [], 0, made + 1
         if ids:
