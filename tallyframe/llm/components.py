@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .hot import hot_join
 from .scratch import discard, written
 
 
@@ -18,7 +19,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Alternates two steps over the links: each id's larger neighbours, then its smaller ones, are linked to
     the smallest id among it and its neighbours. That ends in stars around the smallest ids
     after a number of rounds that grows with the logarithm of the size. An id's smallest neighbour is found by
-    aggregation with map-side combining, never by gathering its neighbours.
+    aggregation with map-side combining, never by gathering its neighbours; ids with a large share of all links meet theirs by
+    broadcast, as each step has at most twice as many rows as there are links.
     Each round is written to the shared folder. Links of an id with itself count as an id without others; null ids are dropped.
     """
     nodes = links.where("a is not null and b is not null")
@@ -26,12 +28,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = _print(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("many")).select("a", F.least("a", "low").alias("low"), "many")
         # larger neighbours of each id are linked to the smallest id it knows
-        large = both.join(low, "a").where("b > a or a = low").select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b")).distinct()
+        large = hot_join(both, low, ["a"], "many", before[0]).where("b > a or a = low").select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b")).distinct()
         large = written(large, "links")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("many"))
+        small = hot_join(large, low, ["a"], "many", before[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*").distinct()
         settled = written(small, "links")
         discard(edges, large)
         edges = settled

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .blocks import roots
 from .components import components
+from .hot import hot_join
 from .scratch import discard, written
 from .shingles import mix, shingle_set
 
@@ -354,20 +355,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         parts *= 2
     about = written(shared_counts(half_incidence(docs, id_col, text_col, words, parts)), "ngram-documents")
     key = ["n", "s1", "s2"]
-    classes = written(about.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("half").alias("half"), F.max("shared").alias("shared")).withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
+    classes = written(about.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.first("half").alias("half"), F.max("shared").alias("shared"), F.count("*").alias("copies")).withColumn("cid", F.monotonically_increasing_id()), "ngram-classes")
     wanted = classes.where(F.col("shared") >= F.col("half") - (F.col("n") - F.ceil(F.col("n") * percent / 100))).select("rep", "cid", *key)
     blocks = written(candidate_blocks(docs, wanted, id_col, text_col, words), "ngram-blocks")
     alive = written(reachable(blocks, block_frequencies(blocks, parts), percent).dropDuplicates(["rep"]), "ngram-alive")
     discard(blocks)
     listed = alive.select("rep", F.explode("prefix").alias("gram"))
     heads = listed.groupBy("gram").agg(F.min("rep").alias("b"), F.count("*").alias("many")).where("many > 1")
-    families = written(components(listed.join(heads, "gram").select(F.col("rep").alias("a"), "b").distinct()), "ngram-families")
+    entries = alive.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    families = written(components(hot_join(listed, heads, ["gram"], "many", entries).select(F.col("rep").alias("a"), "b").distinct()), "ngram-families")
     links = written(block_links(family_blocks(alive, families), percent), "ngram-links")
     discard(alive, families)
     joined = components(links).withColumnRenamed("id", "cid")
-    grouped = written(classes.select(*key, "rep", "cid").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "ngram-grouped")
+    grouped = written(classes.select(*key, "rep", "cid", "copies").join(joined, "cid", "left").withColumn("component", F.coalesce("component", "cid")), "ngram-grouped")
     smallest = grouped.groupBy("component").agg(F.min("rep").alias("smallest"))
-    labelled = written(grouped.join(smallest, "component").select(*key, F.col("smallest").alias("component")), "ngram-labelled")
+    labelled = written(grouped.join(smallest, "component").select(*key, "copies", F.col("smallest").alias("component")), "ngram-labelled")
     discard(classes, links, grouped)
-    out = about.join(labelled, key, "left")
+    out = hot_join(about, labelled, key, "copies", about.count(), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from tallyframe.llm import hot
 from tallyframe.llm.components import components
 from tallyframe.llm.near_vectors import near_vectors
 from tallyframe.llm.ngram_join import ngram_components, overlaps
@@ -47,6 +48,25 @@ def test_components(spark):
     assert {x.id: x.component for x in got.collect()} == want
 
 
+@pytest.mark.parametrize("share", [1, 20, 10_000])
+def test_components_with_a_hub(spark, monkeypatch, share):
+    monkeypatch.setattr(hot, "HOT_SHARE", share)
+    links = [(500, k) for k in range(300)] + [(0, k) for k in range(600, 800)] + [(900, 901), (901, 902), (950, 950)]
+    got = components(spark.createDataFrame([*links, (None, 3)], "a long, b long"))
+    assert {r.id: r.component for r in got.collect()} == groups({x for ab in links for x in ab}, links)
+
+
+@pytest.mark.parametrize("share", [1, 5, 10_000])
+def test_hot_join(spark, monkeypatch, share):
+    monkeypatch.setattr(hot, "HOT_SHARE", share)
+    rows = spark.createDataFrame([("a", k) for k in range(50)] + [("b", 50), ("c", 51), (None, 52)], "k string, v int")
+    keyed = spark.createDataFrame([("a", 1, 50), ("b", 2, 1), ("d", 3, 0)], "k string, w int, many long")
+    inner = sorted([(k, v, {"a": 1, "b": 2}[k]) for k, v in [*(("a", v) for v in range(50)), ("b", 50)]])
+    assert sorted(map(tuple, hot.hot_join(rows, keyed, ["k"], "many", 53).collect())) == inner
+    assert sorted(map(tuple, hot.hot_join(rows, keyed, ["k"], "many", 53, "left").where("w is not null").collect())) == inner
+    assert hot.hot_join(rows, keyed, ["k"], "many", 53, "left").where("w is null").count() == 2
+
+
 def test_overlaps():
     r = random.Random(1)
     sets = [np.unique(np.array([r.randrange(120) for _ in range(r.randrange(1, 80))], dtype=np.uint64)) for _ in range(60)]
