@@ -19,6 +19,10 @@ from .sql import SQL
 from .token_counts import token_counts
 from .topk import exact_top_k
 from .toxicity import toxicity
+from .url_filter import Rule, filter_urls
+
+#: The rules of the URL filter.
+URL_RULES = (Rule("allow", "org"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/"))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,12 +73,16 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op7_token_counts, op8_exact_top_k, op9_pack, op10_pii, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op7_token_counts, op8_exact_top_k, op9_pack, op10_pii, op11_url_filter, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
