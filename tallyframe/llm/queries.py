@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .conversation_repair import damaged, repair_conversations
 from .lexical_search import ranked_search
 from .line_dedup import line_dedup
 from .mixing import mix_sources
@@ -77,12 +78,17 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_conversations(damaged(turns), turns)
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op7_token_counts, op8_exact_top_k, op9_pack, op10_pii, op11_url_filter, op13_ranked_search)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_near_vectors, op3_line_dedup, op4_mix_sources, op5_toxicity, op6_shard, op7_token_counts, op8_exact_top_k, op9_pack, op10_pii, op11_url_filter, op12_conversation_repair, op13_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
