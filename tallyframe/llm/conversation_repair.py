@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import groupby
 from operator import itemgetter
@@ -153,13 +153,13 @@ def marked_rows(turns: DataFrame) -> DataFrame:
     return seen.select("conv_id", "turn", "position", "initial", "blank", "duplicate", (F.col("cut") & ~F.col("duplicate")).alias("truncated"))
 
 
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _searched(piece_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each piece of a conversation: what the next step needs to join pieces, and the cheapest edits from each state to each other.
 
     A piece that holds neither the first nor the last position of its stretch is a whole conversation, which starts at the start.
     """
 
-    def rows() -> Iterator[tuple]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (conv, piece), found in groupby(_tuples(batches), itemgetter(0, 1)):
             codes, turns, counts, edge, last = [], [], [0, 0, 0, 0], False, None
             for _, _, position, turn, initial, blank, duplicate, truncated in found:
@@ -169,7 +169,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[2] += truncated
                 counts[3] += last is not None and (last, initial) not in _LEGAL
                 last = initial
-                edge = edge or position % PIECE in (0, PIECE - 1)
+                edge = edge or position % piece_rows in (0, piece_rows - 1)
                 if turn is not None:
                     if not turns:
                         turns = [turn, turn, 1]
@@ -181,7 +181,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     costs[4 * start + goal], audits[4 * start + goal] = cost, audit
             yield conv, piece, [codes[0] & 3, codes[-1] & 3], turns, counts, costs, audits
 
-    yield from _batches(rows(), _PIECES, 100)
+    return lambda batches: _batches(rows(batches), _PIECES, 100)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,22 +214,22 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows(), _PLANS)
 
 
-def edit_plans(turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+def edit_plans(turns: DataFrame, conversations: DataFrame | None = None, piece: int = PIECE) -> DataFrame:
     """For each conversation its faults and its cheapest edits: ``conv_id``, ``gaps``, ``blank``, ``duplicate``, ``truncated``, ``illegal``, ``cost``, ``audit``.
 
     Edits make the initials of the roles match ``(s?(ua)+)?``: keep a row (K, costs 0), make it a user's or an assistant's (R, 1), delete it (D, 2; what is done to blank rows and
     to those whose role and text the conversation has had), insert an empty row of a user or an assistant (I, 5); a truncated row (its last character that is not white space is no ``.``, ``!`` or ``?``) that is not deleted costs 5 more.
     Of equally cheap edits those with the least audit in ASCII are taken. ``gaps`` counts missing turns between the first and the last one, ``illegal`` neighbours whose initials are not su, ua or au.
 
-    Only positions, initials and marks move. All rows are numbered in order of conversation and turn; stretches of PIECE positions are searched apart, from each state to each
+    Only positions, initials and marks move. All rows are numbered in order of conversation and turn; stretches of ``piece`` positions are searched apart, from each state to each
     other where a conversation may go on, and a conversation's pieces are joined in order. So a conversation of any length is searched by many tasks, and edits are the cheapest of all of it.
 
     Rows of a turn go by role and text, null turns come first and count no gap, null ids are one conversation, a null role or text is one space, an empty role has no initial. ``conversations`` lists ids that
     get a row even if they have no turns: zeros and an empty audit. Other columns are ignored.
     """
-    marked = marked_rows(turns).withColumn("piece", F.floor(F.col("position") / PIECE))
+    marked = marked_rows(turns).withColumn("piece", F.floor(F.col("position") / piece))
     columns = ("conv_id", "piece", "position", "turn", "initial", "blank", "duplicate", "truncated")
-    pieces = marked.select(*columns).repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "position").mapInArrow(_searched, _PIECE)
+    pieces = marked.select(*columns).repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "position").mapInArrow(_searched(piece), _PIECE)
     if conversations is not None:
         ids = conversations.select(F.col("conv_id").cast("long")).distinct()
         pieces = pieces.unionByName(ids.select("conv_id", F.lit(-1).cast("long").alias("piece"), *[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in _PIECE.split(", ")[2:])]))

@@ -49,13 +49,14 @@ def index_blocks(docs: DataFrame, id_col: str, text_col: str, vocabulary: dict[b
         look = vocabulary.get
 
         def block() -> pa.RecordBatch:
-            # by id, so that the smaller one of equal documents comes first; documents without id count only
-            order = sorted((k for k in range(len(ids)) if ids[k] is not None and lengths[k]), key=ids.__getitem__)
+            # by id, so that the smaller one of equal documents comes first; those without id come last, they count only
+            own = sorted((k for k in range(len(ids)) if ids[k] is not None and lengths[k]), key=ids.__getitem__)
+            order = own + [k for k in range(len(ids)) if ids[k] is None and lengths[k]]
             starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
             size = np.array([lengths[k] for k in order], dtype=np.int64)
             ends = np.cumsum(size)
             pick = np.repeat(starts[order] - (ends - size), size) + np.arange(size.sum()) if order else np.zeros(0, np.int64)
-            columns = [np.array([ids[k] for k in order], "<i8"), np.array([sizes[k] for k in order], "<i8"), np.concatenate([[0], ends]).astype("<i8"), np.array(terms, "<i4")[pick], np.array(counts, "<i4")[pick]]
+            columns = [np.array([ids[k] for k in own], "<i8"), np.array([sizes[k] for k in order], "<i8"), np.concatenate([[0], ends]).astype("<i8"), np.array(terms, "<i4")[pick], np.array(counts, "<i4")[pick]]
             return pa.RecordBatch.from_arrays([*(pa.array([c.tobytes()], pa.binary()) for c in columns), pa.array([len(ids)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["ids", "sizes", "starts", "terms", "counts", "docs", "total"])
 
         for batch in batches:
@@ -182,6 +183,8 @@ def _search(blocks: DataFrame, queries: list[tuple[int, np.ndarray]], weights: n
                 ids, sizes, starts, terms, counts = (np.frombuffer(batch.column(c)[row].as_py(), t) for c, t in enumerate(("<i8", "<i8", "<i8", "<i4", "<i4")))
                 if not len(ids):
                     continue
+                starts = starts[: len(ids) + 1]
+                sizes, terms, counts = sizes[: len(ids)], terms[: starts[-1]], counts[: starts[-1]]
                 tree = MaxTree(starts, terms, _parts(starts, sizes, counts, weights, terms, docs, total))
                 for found, (_, numbers) in zip(best, queries, strict=True):
                     asked[numbers] = True

@@ -19,7 +19,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).is_dir(), reason="needs the driver'
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     found = con.execute(llm.oracle_sql()[name])
     columns = [d[0] for d in found.description]
@@ -29,7 +29,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in llm.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in llm.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_pipeline_stages(spark, tmp_path):
