@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .hot import hot_join
-from .scratch import discard, written
+from .scratch import discard, sized_shuffles, written
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -13,6 +13,19 @@ def _print(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first())
 
 
+def _round(edges: DataFrame, total: int) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("many")).select("a", F.least("a", "low").alias("low"), "many")
+    # larger neighbours of each id are linked to the smallest id it knows
+    large = hot_join(both, low, ["a"], "many", total).where("b > a or a = low").select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b")).distinct()
+    large = written(large, "links")
+    low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("many"))
+    small = hot_join(large, low, ["a"], "many", total).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*").distinct()
+    settled = written(small, "links")
+    discard(large)
+    return settled
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, component`` (the smallest id reachable) of each id in ``links`` (``a``, ``b``).
 
@@ -21,23 +34,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     after a number of rounds that grows with the logarithm of the size. An id's smallest neighbour is found by
     aggregation with map-side combining, never by gathering its neighbours; ids with a large share of all links meet theirs by
     broadcast, as each step has at most twice as many rows as there are links.
-    Each round is written to the shared folder. Links of an id with itself count as an id without others; null ids are dropped.
+    Each round is written to the shared folder, in as many partitions as its links need. Links of an id with itself count as an id without others; null ids are dropped.
     """
     nodes = links.where("a is not null and b is not null")
     edges = written(nodes.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _print(edges)
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("many")).select("a", F.least("a", "low").alias("low"), "many")
-        # larger neighbours of each id are linked to the smallest id it knows
-        large = hot_join(both, low, ["a"], "many", before[0]).where("b > a or a = low").select(F.when(F.col("b") > F.col("a"), F.col("b")).otherwise(F.col("a")).alias("a"), F.col("low").alias("b")).distinct()
-        large = written(large, "links")
-        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("many"))
-        small = hot_join(large, low, ["a"], "many", before[0]).select(F.explode(F.array(F.struct(F.col("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("x")).select("x.*").distinct()
-        settled = written(small, "links")
-        discard(edges, large)
-        edges = settled
-        now = _print(edges)
+        with sized_shuffles(links.sparkSession, 2 * before[0]):
+            settled = _round(edges, before[0])
+            discard(edges)
+            edges = settled
+            now = _print(edges)
         if now == before:
             break
         before = now

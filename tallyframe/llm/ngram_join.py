@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .blocks import roots
 from .components import components
 from .hot import hot_join
-from .scratch import discard, written
+from .scratch import discard, sized_shuffles, written
 from .shingles import mix, shingle_set
 
 #: Documents of a block whose n-grams are counted together, and n-grams after which a block ends early.
@@ -71,9 +71,11 @@ def half_incidence(docs: DataFrame, id_col: str, text_col: str, words: int, part
             signs = [_signature(h) for h in sets]
             about = np.stack([np.array([len(h) for h in sets]), np.array([len(h) for h in low]), local, np.array([s[0] for s in signs]), np.array([s[1] for s in signs])]).astype("<i8")
             none = [None] * len(used)
+            # the row that describes the block goes to a part by a hash, as blocks of all partitions have numbers with the same low bits
+            home = int(mix(np.array([made], dtype=np.uint64))[0]) % parts
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([*used.tolist(), made % parts], pa.int32()),
+                    pa.array([*used.tolist(), home], pa.int32()),
                     pa.array([made] * (len(used) + 1), pa.int64()),
                     pa.array([*(short[starts[p] : starts[p + 1]].tobytes() for p in used), None], pa.binary()),
                     pa.array([*(sent[starts[p] : starts[p + 1]].tobytes() for p in used), None], pa.binary()),
@@ -271,31 +273,50 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _chunked(member: DataFrame) -> DataFrame:
     """Sets of large families with their size class ``c`` and their chunk: sets with one least n-gram in the prefix come into one chunk, in several if they are many."""
     ratio = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(4 / 3))).cast("int")
-    classed = written(member.withColumns({"c": ratio, "k": F.array_min(F.transform("prefix", lambda g: F.xxhash64(g)))}), "family-large")
+    classed = member.withColumns({"c": ratio, "k": F.array_min(F.transform("prefix", lambda g: F.xxhash64(g)))})
     pieces = lambda docs, grams: F.greatest(F.ceil(docs * 2 / FAMILY_DOCS), F.ceil(grams / BLOCK_GRAMS)).cast("long")
-    by_key = classed.groupBy("family", "c", "k").agg(pieces(F.count("*"), F.sum("n")).alias("own"), F.count("*").alias("docs"), F.sum("n").alias("grams"))
-    room = Window.partitionBy("family", "c")
+    key, room = ["family", "c", "k"], ["family", "c"]
+    by_key = written(classed.groupBy(*key).agg(pieces(F.count("*"), F.sum("n")).alias("own"), F.count("*").alias("docs"), F.sum("n").alias("grams")), "family-keys")
     # keys of few documents share as many chunks as they fill
     light = F.col("own") <= 1
-    shared = pieces(F.sum(F.when(light, F.col("docs")).otherwise(0)).over(room), F.sum(F.when(light, F.col("grams")).otherwise(0)).over(room))
-    places = by_key.withColumn("count", F.greatest(shared, F.lit(1))).select("family", "c", "k", "own", "count")
+    filled = lambda c: F.sum(F.when(light, F.col(c)).otherwise(0))
+    shared = by_key.groupBy(*room).agg(F.greatest(pieces(filled("docs"), filled("grams")), F.lit(1)).alias("count"), F.count("*").alias("many"))
+    places = hot_join(by_key, shared, room, "many", by_key.count()).select(*key, "own", "count", "docs")
     chunk = F.when(light, F.xxhash64("family", "c", F.pmod("k", "count"))).otherwise(F.xxhash64("family", "c", "k", F.pmod(F.xxhash64("rep"), F.col("own"))))
-    return written(classed.join(places, ["family", "c", "k"]).select("rep", "n", "grams", "prefix", "family", "c", chunk.alias("chunk")), "family-chunks")
+    return written(hot_join(classed, places, key, "docs", classed.count()).select("rep", "n", "grams", "prefix", "family", "c", chunk.alias("chunk")), "family-chunks")
 
 
 def _chunk_pairs(chunked: DataFrame) -> DataFrame:
     """Pairs of chunks of one family (each with itself, too) that may hold a linked pair: of one size class or of neighbouring ones, and with a common n-gram among their prefixes.
 
-    N-grams in more than FEW_BLOCKS chunks would give the same pairs again and again: chunks that have any such n-gram are all paired with each other, once.
+    N-grams in more than FEW_BLOCKS chunks would give the same pairs again and again: chunks that have any such n-gram are all paired with each other, once, over a grid.
     """
     entries = written(chunked.select("family", "c", "chunk", F.explode("prefix").alias("gram")).distinct(), "family-entries")
-    spread = entries.groupBy("family", "gram").agg((F.count("*") > FEW_BLOCKS).alias("many"))
-    marked = entries.join(spread, ["family", "gram"])
-    hubs = marked.where("many").select("family", "c", "chunk").distinct().withColumn("gram", F.lit(0).cast("long"))
-    listed = marked.where("not many").select("family", "c", "chunk", "gram").unionByName(hubs)
+    spread = entries.groupBy("family", "gram").agg(F.count("*").alias("blocks")).withColumn("many", F.col("blocks") > FEW_BLOCKS)
+    marked = hot_join(entries, spread, ["family", "gram"], "blocks", entries.count())
+    listed = marked.where("not many").select("family", "c", "chunk", "gram")
     one, two = (listed.select("family", "gram", F.col("c").alias(f"c{k}"), F.col("chunk").alias(x)) for k, x in ((1, "a"), (2, "b")))
-    met = one.join(two, ["family", "gram"]).where("(c1 = c2 and a <= b) or c1 + 1 = c2").select("family", "a", "b").distinct()
-    return written(met, "family-pairs")
+    met = one.join(two, ["family", "gram"]).where("(c1 = c2 and a <= b) or c1 + 1 = c2").select("family", "a", "b")
+    hubs = written(marked.where("many").select("family", "c", "chunk").distinct(), "family-hubs")
+    return written(met.unionByName(_hub_pairs(hubs)).distinct(), "family-pairs")
+
+
+def _hub_pairs(hubs: DataFrame) -> DataFrame:
+    """Pairs of chunks of one size class, and of one with the next, over a grid: chunks of a class are dealt into groups of about FEW_BLOCKS, and a pair of groups is the key under which chunks meet.
+
+    So the pairs of a family, whatever their number, come out of many tasks, a few thousand from each key.
+    """
+    sized = hubs.groupBy("family", "c").agg(F.ceil(F.count("*") / FEW_BLOCKS).cast("int").alias("groups"), F.count("*").alias("many"))
+    sized = written(sized, "family-groups")
+    beside = lambda by, name: sized.select("family", (F.col("c") + by).alias("c"), F.col("groups").alias(name))
+    around = sized.join(beside(-1, "above"), ["family", "c"], "left").join(beside(1, "below"), ["family", "c"], "left")
+    own = hot_join(hubs, around, ["family", "c"], "many", hubs.count()).withColumn("own", F.pmod(F.xxhash64("chunk"), F.col("groups")).cast("int"))
+    of = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    this, below = F.col("c"), F.col("c") - 1
+    left = [own.where(f"{name} is not null").select("family", this.alias("c1"), (this + up).alias("c2"), F.col("own").alias("i"), of(name).alias("j"), F.col("chunk").alias("a")) for name, up in (("groups", 0), ("above", 1))]
+    right = [own.where(f"{name} is not null").select("family", first.alias("c1"), this.alias("c2"), of(name).alias("i"), F.col("own").alias("j"), F.col("chunk").alias("b")) for name, first in (("groups", this), ("below", below))]
+    met = left[0].unionByName(left[1]).join(right[0].unionByName(right[1]), ["family", "c1", "c2", "i", "j"])
+    return met.where("c1 < c2 or a <= b").select("family", "a", "b")
 
 
 def family_blocks(alive: DataFrame, families: DataFrame) -> DataFrame:
@@ -308,8 +329,10 @@ def family_blocks(alive: DataFrame, families: DataFrame) -> DataFrame:
     member = written(member, "family-sets")
     sizes = member.groupBy("family").agg(((F.count("*") > FAMILY_DOCS) | (F.sum("n") > FAMILY_GRAMS)).alias("large")).where("large").select("family")
     small = member.join(sizes, "family", "left_anti").select("rep", "n", "grams", "family", F.col("family").alias("a"), F.col("family").alias("b"))
-    chunked = _chunked(member.join(sizes, "family", "left_semi"))
-    pairs = _chunk_pairs(chunked)
+    large = written(member.join(sizes, "family", "left_semi"), "family-large")
+    with sized_shuffles(large.sparkSession, large.count()):
+        chunked = _chunked(large)
+        pairs = _chunk_pairs(chunked)
     left = chunked.join(pairs, (chunked["family"] == pairs["family"]) & (chunked["chunk"] == pairs["a"])).drop(chunked["family"])
     right = chunked.join(pairs.where("a <> b"), (chunked["family"] == pairs["family"]) & (chunked["chunk"] == pairs["b"])).drop(chunked["family"])
     return small.unionByName(left.select(*small.columns)).unionByName(right.select(*small.columns))

@@ -54,6 +54,18 @@ def ordered_scans(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def sized_shuffles(spark: SparkSession, rows: int, each: int = 100_000) -> Iterator[None]:
+    """No more partitions a shuffle than some for ``each`` of so many rows, while small tables are joined step by step; what is run within must be written within."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, min(int(before), -(-rows // each)))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _delete(spark: SparkSession, path: str, table: str | None) -> None:
     if table:
         spark.sql(f"drop table if exists {table}")

@@ -6,11 +6,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import hot
 from tallyframe.llm.components import components
 from tallyframe.llm.near_vectors import near_vectors
-from tallyframe.llm.ngram_join import ngram_components, overlaps
+from tallyframe.llm.ngram_join import half_incidence, ngram_components, overlaps
 from tallyframe.llm.shingles import shingle_set
 from tallyframe.llm.topk import exact_top_k
 
@@ -111,6 +112,12 @@ def test_ngram_join(spark, monkeypatch):
             assert (row.n_shingles, row.component_id) == (len(sets[row.doc_id]), want[row.doc_id])
 
 
+def test_blocks_of_many_partitions_are_dealt_over_parts(spark):
+    docs = spark.range(640).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e "), F.col("id").cast("string")).alias("text")).repartition(64)
+    rows = half_incidence(docs, "doc_id", "text", 5, 64).where("ids is not null").groupBy("part").count().collect()
+    assert sum(r["count"] for r in rows) == 64 and max(r["count"] for r in rows) <= 8 and len(rows) > 20
+
+
 @pytest.mark.parametrize("few", [64, 1])
 def test_ngram_join_of_a_chain_and_long_documents(spark, monkeypatch, few):
     """One long chain of near copies, families with a common rare passage, and documents of 20,000 words: small blocks, and all n-grams hubs in the second run."""
