@@ -128,6 +128,21 @@ TITLES_SQL = (
 )
 
 
+def title_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same titles as rows of two tables: predicted and expected ones, some of them twice."""
+    start = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("no")))
+    title = F.concat(start, F.lit(" "), F.col("p_partkey").cast("string"))
+    part = table(spark, sf_dir, "part")
+    predicted = F.when(F.col("p_partkey") % 3 == 0, title).when(F.col("p_partkey") % 3 == 1, start).otherwise(F.concat(F.lit("other"), F.col("p_partkey").cast("string")))
+    return part.select("p_brand", "p_size", predicted.alias("title")), part.select("p_brand", "p_size", F.explode(F.array(title, title)).alias("title"))
+
+
+def cut_turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns without their first word, and the turns themselves."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return turns.select(F.regexp_replace("text", r"^\S+\s+", "").alias("text")), turns.select("text")
+
+
 def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's distinct part names on finished orders as predicted, on open ones as expected."""
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))

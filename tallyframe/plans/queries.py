@@ -12,7 +12,7 @@ from ..functions import optics, text as T
 from ..functions.errors import CATEGORIES, RULES
 from ..functions.stats import TERMS
 from ..model import Criterion, Metric, ScorerConfig
-from ..operators import aggregate, compare, cost, quality, retrieval, scorers
+from ..operators import aggregate, compare, cost, quality, retrieval, scorers, similarity
 from ..sources import jsonl, optics_text
 from ..sources.shared import shared_dir
 from ..streaming import results as streams
@@ -200,6 +200,24 @@ def citation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.select("p_brand", "p_size", "success", "score", "error"))
 
 
+@query(
+    f"WITH {_NEAR_TITLES}, v AS (SELECT p_brand, p_size, len(predicted)::BIGINT AS num_predicted, len(expected)::BIGINT AS num_expected, len(list_intersect(predicted, expected))::BIGINT AS exact, coalesce(c, 0) AS partial FROM lists LEFT JOIN n USING (p_brand, p_size)) "
+    "SELECT *, round((exact + 0.5 * partial) / num_expected, 6)::DOUBLE AS citation_accuracy FROM v"
+)
+def citation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citation accuracy of lists whose titles are rows of two tables, by a similarity join."""
+    return rounded(similarity.cited(*hosts.title_rows(spark, sf_dir), "title", "p_brand", "p_size"))
+
+
+@query(
+    f"WITH a AS (SELECT DISTINCT regexp_replace(text, '^\\S+\\s+', '') AS text FROM conversations), b AS (SELECT DISTINCT text FROM conversations), aw AS (SELECT text, list_distinct({_tokens_sql('text')}) AS a FROM a), bw AS (SELECT text AS other, list_distinct({_tokens_sql('text')}) AS b FROM b), "
+    f"met AS (SELECT text, {JACCARD.format('a', 'b', '0.0')} AS s FROM aw JOIN bw ON len(a) > 0.8 * len(b) AND len(b) > 0.8 * len(a)) SELECT text, count(*) AS matches, round(max(s), 6) AS best FROM met WHERE s > 0.8 GROUP BY text"
+)
+def fuzzy_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that lost their first word, with the turns that they are like: a similarity join of two tables."""
+    return rounded(similarity.similar_texts(*hosts.cut_turns(spark, sf_dir), "text"))
+
+
 # ---- aggregates
 
 
