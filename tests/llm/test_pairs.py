@@ -52,6 +52,7 @@ def test_components(spark):
 @pytest.mark.parametrize("share", [1, 20, 10_000])
 def test_components_with_a_hub(spark, monkeypatch, share):
     monkeypatch.setattr(hot, "HOT_SHARE", share)
+    monkeypatch.setattr(hot, "FEW_ROWS", 3)
     links = [(500, k) for k in range(300)] + [(0, k) for k in range(600, 800)] + [(900, 901), (901, 902), (950, 950)]
     got = components(spark.createDataFrame([*links, (None, 3)], "a long, b long"))
     assert {r.id: r.component for r in got.collect()} == groups({x for ab in links for x in ab}, links)
@@ -60,6 +61,7 @@ def test_components_with_a_hub(spark, monkeypatch, share):
 @pytest.mark.parametrize("share", [1, 5, 10_000])
 def test_hot_join(spark, monkeypatch, share):
     monkeypatch.setattr(hot, "HOT_SHARE", share)
+    monkeypatch.setattr(hot, "FEW_ROWS", 3)
     rows = spark.createDataFrame([("a", k) for k in range(50)] + [("b", 50), ("c", 51), (None, 52)], "k string, v int")
     keyed = spark.createDataFrame([("a", 1, 50), ("b", 2, 1), ("d", 3, 0)], "k string, w int, many long")
     inner = sorted([(k, v, {"a": 1, "b": 2}[k]) for k, v in [*(("a", v) for v in range(50)), ("b", 50)]])
