@@ -6,6 +6,8 @@ import warnings
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import Column
+
 #: The fact row: one scored answer.
 RESULT = "task_id string, success boolean, score double, metrics map<string,double>, details string, error string, execution_time double, cost double, latency double"
 #: What is persisted of a result: all but the latency.
@@ -40,11 +42,14 @@ class Criterion:
 
 @dataclass(frozen=True)
 class ScorerConfig:
-    """What a scorer needs: method, metrics, criteria, and method-specific settings."""
+    """What a scorer needs: method, metrics, criteria, and method-specific settings.
+
+    Metrics and criteria may be columns instead, arrays of structs in the row that is scored, and so may single settings: then rows of many tasks are scored as one table.
+    """
 
     method: str = "metric_based"
-    metrics: tuple[Metric, ...] = ()
-    criteria: tuple[Criterion, ...] = ()
+    metrics: tuple[Metric, ...] | Column = ()
+    criteria: tuple[Criterion, ...] | Column = ()
     settings: dict[str, Any] = field(default_factory=dict)
 
     @classmethod

@@ -28,6 +28,41 @@ def metric_summary(df: DataFrame, names: list[str], *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.array(*made).alias("m"), F.count("*").alias("n")).where("n > 0").select(*by, F.explode("m").alias("m")).select(*by, "m.*")
 
 
+def found_metrics(df: DataFrame, *by: str, first: str | None = None) -> DataFrame:
+    """``metric_summary`` of the metrics that a group's rows hold: ``by``, ``metric``, ``mean``, ``min``, ``max``, ``std``. A row without one, or with null, counts as 0.
+
+    Metrics become rows and are summed up once, with partial sums; what is absent is the group's size less the rows that have the metric, so no names are gathered. With ``first`` only
+    the metrics count that the group's first row in the order of that column has.
+    """
+    group = list(by) or ["_all"]
+    df = df if by else df.withColumn("_all", F.lit(1))
+    sizes = [F.count("*").alias("_n")] + ([F.min_by(F.map_keys("metrics"), first).alias("_names")] if first else [])
+    rows = df.groupBy(*group).agg(*sizes)
+    x = F.coalesce(F.col("x"), F.lit(0.0))
+    held = df.select(*group, F.explode("metrics").alias("metric", "x")).groupBy(*group, "metric").agg(F.count("*").alias("_c"), F.avg(x).alias("_m"), F.min(x).alias("_low"), F.max(x).alias("_high"), F.var_pop(x).alias("_v"))
+    h, r = held.alias("h"), rows.alias("r")
+    joined = h.join(r, [F.col(f"h.{c}").eqNullSafe(F.col(f"r.{c}")) for c in group])
+    if first:
+        joined = joined.where(F.array_contains("_names", F.col("metric")))
+    n, c, m, absent = F.col("_n"), F.col("_c"), F.col("_m"), F.col("_n") > F.col("_c")
+    edge = lambda pick, v: F.when(absent, pick(v, F.lit(0.0))).otherwise(F.col(v))
+    # deviations of the rows that have it, and of two means apart
+    spread = (c * F.col("_v") + m * m * c * (n - c) / n) / n
+    return joined.select(*[F.col(f"h.{g}").alias(g) for g in by], "metric", (m * c / n).alias("mean"), edge(F.least, "_low").alias("min"), edge(F.greatest, "_high").alias("max"), F.sqrt(spread).alias("std"))
+
+
+def leaderboards(df: DataFrame, within: str, by: str = "model") -> DataFrame:
+    """Models over all rows and within each value of ``within``, in one pass: ``level`` (``all`` or the name of ``within``), ``within``, the model and the columns of ``leaderboard``, ranked in each.
+
+    The rows are grouped once by value and model; the level above is summed up from the same partial sums. A window runs over the models of one value.
+    """
+    sets = df.select(within, by, "success", "score", "execution_time", "cost").rollup(by, within)
+    table = sets.agg(F.grouping(within).alias("_all"), F.grouping(by).alias("_none"), F.avg(F.col("success").cast("double")).alias("success_rate"), F.avg("score").alias("avg_score"), F.avg("execution_time").alias("avg_time"), F.avg("cost").alias("cost_per_task")).where("_none = 0")
+    order = Window.partitionBy("_all", within).orderBy(F.desc("success_rate"), F.desc("avg_score"), by)
+    level = F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.lit(within))
+    return table.select(level.alias("level"), within, by, "success_rate", "avg_score", "avg_time", "cost_per_task", F.rank().over(order).cast("long").alias("rank"))
+
+
 #: Cells of ``exact_percentiles`` a unit of log(1 + |x|).
 CELLS = 1024
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T, variant as V
-from ..model import Criterion, Metric, ScorerConfig
+from ..model import METRIC_TYPES, Criterion, Metric, ScorerConfig
 
 Scorer = Callable[[DataFrame, ScorerConfig], DataFrame]
 SCORERS: dict[str, Scorer] = {}
@@ -46,8 +46,31 @@ def condition(value: Column, criterion: Criterion) -> Column:
     return F.coalesce(met, F.lit(False))
 
 
-def judged(metrics: Column, criteria: tuple[Criterion, ...]) -> tuple[Column, Column, Column]:
-    """All met, share met, and a map of name to met (the last of equal names); without criteria true, 1 and empty."""
+def condition_of(value: Column, criterion: Column) -> Column:
+    """``condition`` for a criterion that is a value: a struct of ``operator``, ``value`` and ``flag``, the target as a truth value or null."""
+    t, sound = criterion["value"], ~F.isnan(value)
+    by_operator = F.when(criterion["operator"] == "!=", ~sound | (value != t))
+    for name, met in ((">=", value >= t), ("<=", value <= t), (">", value > t), ("<", value < t), ("==", value == t)):
+        by_operator = by_operator.when(criterion["operator"] == name, sound & met)
+    return F.coalesce(F.when(criterion["flag"].isNotNull(), (value != 0) == criterion["flag"]).otherwise(by_operator), F.lit(False))
+
+
+def last_of_names(pairs: Column, name: str) -> Column:
+    """An array of structs without those that a later one of the same name replaces."""
+    return F.filter(pairs, lambda x, k: ~F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda y: y[name] == x[name]))
+
+
+def _judged_by(metrics: Column, criteria: Column) -> tuple[Column, Column, Column]:
+    """``judged`` for criteria that are an array of structs in the row."""
+    met = F.transform(F.coalesce(criteria, F.array().cast("array<struct<metric:string,operator:string,value:double,flag:boolean>>")), lambda c: F.struct(c["metric"].alias("key"), condition_of(F.try_element_at(metrics, c["metric"]), c).alias("value")))
+    share = F.when(F.size(met) == 0, F.lit(1.0)).otherwise(F.size(F.filter(met, lambda m: m["value"])) / F.greatest(F.size(met), F.lit(1)))
+    return F.forall(met, lambda m: m["value"]), share, F.map_from_entries(last_of_names(met, "key"))
+
+
+def judged(metrics: Column, criteria: tuple[Criterion, ...] | Column) -> tuple[Column, Column, Column]:
+    """All met, share met, and a map of name to met (the last of equal names); without criteria true, 1 and empty. Criteria may be a column: an array of structs of ``metric``, ``operator``, ``value`` and ``flag``."""
+    if isinstance(criteria, Column):
+        return _judged_by(metrics, criteria)
     if not criteria:
         return F.lit(True), F.lit(1.0), F.create_map().cast("map<string,boolean>")
     met = [condition(F.try_element_at(metrics, F.lit(c.metric)), c) for c in criteria]
@@ -67,6 +90,32 @@ def _metric(root: Column, m: Metric) -> tuple[Column, Column]:
     return F.when(found.isNull(), F.lit(0.5)).otherwise(V.number(found)), F.lit(False)
 
 
+def _read_metrics(root: Column, metrics: tuple[Metric, ...] | Column) -> tuple[Column, Column]:
+    """Metrics by name, the last of equal names, and whether any cannot be read."""
+    if isinstance(metrics, Column):
+        members = F.when(V.is_object(root), root.cast("map<string,variant>"))
+        asked = F.filter(F.coalesce(metrics, F.array().cast("array<struct<name:string,type:string>>")), lambda m: m["type"].isin(*METRIC_TYPES))
+
+        def read(m: Column) -> Column:
+            found = F.try_element_at(members, m["name"])
+            value = F.when(m["type"] == "binary", V.truthy(found).cast("double")).when(found.isNull(), F.when(m["type"] == "numeric", F.lit(0.0)).otherwise(F.lit(0.5))).otherwise(V.number(found))
+            return F.struct(m["name"].alias("key"), value.alias("value"), ((m["type"] == "numeric") & value.isNull()).alias("bad"))
+
+        # transform over one element binds the metrics, so each is read once
+        bound = F.element_at(F.transform(F.array(F.transform(asked, read)), lambda x: F.struct(F.map_from_entries(F.transform(last_of_names(x, "key"), lambda y: F.struct(y["key"], y["value"]))).alias("by_name"), F.exists(x, lambda y: y["bad"]).alias("bad"))), 1)
+        return bound["by_name"], bound["bad"]
+    pairs = [(m, *_metric(root, m)) for m in metrics if m.type in METRIC_TYPES]
+    named = {m.name: value for m, value, _ in pairs}
+    by_name = F.create_map(*[x for name, value in named.items() for x in (F.lit(name), value)]) if named else F.create_map()
+    return by_name.cast("map<string,double>"), reduce(lambda a, b: a | b, [bad for _, _, bad in pairs], F.lit(False))
+
+
+def setting(config: ScorerConfig, name: str, default: float) -> Column:
+    """A number of the settings, which may be columns that are null where the default holds."""
+    value = config.settings.get(name, default)
+    return F.coalesce(value, F.lit(float(default))) if isinstance(value, Column) else F.lit(float(value))
+
+
 @scorer("metric_based")
 def metric_based(df: DataFrame, config: ScorerConfig) -> DataFrame:
     """Read metrics from a JSON object and hold them against the criteria.
@@ -76,16 +125,11 @@ def metric_based(df: DataFrame, config: ScorerConfig) -> DataFrame:
     the answer or in what was expected makes the row an error, an absent expectation does not. Error rows have score 0 and no metrics.
     """
     read = df.withColumns({"_root": V.parse(F.col("predicted_output")), "_want": V.parse(F.col("expected_output"))})
-    pairs = [(m, *_metric(F.col("_root"), m)) for m in config.metrics if m.type in ("numeric", "binary", "llm_judge")]
-    broken = F.when(F.col("_root").isNull() | (F.col("expected_output").isNotNull() & F.col("_want").isNull()), F.lit("invalid JSON")).when(~V.is_object(F.col("_root")), F.lit("invalid answer: no JSON object"))
-    if pairs:
-        unreadable = reduce(lambda a, b: a | b, [bad for _, _, bad in pairs])
-        broken = broken.when(unreadable, F.lit("invalid number in a metric"))
+    by_name, unreadable = _read_metrics(F.col("_root"), config.metrics)
+    read = read.withColumns({"_by_name": by_name, "_unreadable": unreadable})
+    broken = F.when(F.col("_root").isNull() | (F.col("expected_output").isNotNull() & F.col("_want").isNull()), F.lit("invalid JSON")).when(~V.is_object(F.col("_root")), F.lit("invalid answer: no JSON object")).when(F.col("_unreadable"), F.lit("invalid number in a metric"))
     read = read.withColumn("error", broken.otherwise(F.lit(None)))
-    none = F.create_map().cast("map<string,double>")
-    named = {m.name: value for m, value, _ in pairs}
-    metrics = F.create_map(*[x for name, value in named.items() for x in (F.lit(name), value)]).cast("map<string,double>") if named else none
-    read = read.withColumn("metrics", F.when(F.col("error").isNull(), metrics).otherwise(none))
+    read = read.withColumn("metrics", F.when(F.col("error").isNull(), F.col("_by_name")).otherwise(F.create_map().cast("map<string,double>")))
     ok = F.col("error").isNull()
     success, share, status = judged(F.col("metrics"), config.criteria)
     details = F.to_json(F.struct(F.col("_root").alias("predicted"), F.col("_want").alias("expected"), status.alias("criteria_met")))
@@ -144,8 +188,8 @@ def partial_match(df: DataFrame, config: ScorerConfig) -> DataFrame:
     read = read.withColumns({"_kind": F.when(objects, "objects").when(texts, "texts").otherwise("other"), "_l": V.members(va), "_r": V.members(vb)})
     similarity = F.when(F.col("_kind") == "objects", dict_similarity(F.col("_l"), F.col("_r"))).when(F.col("_kind") == "texts", text_similarity(a, b)).otherwise(same(a, b, va, vb).cast("double"))
     read = read.select(*df.columns, similarity.alias("_similarity"))
-    threshold = float(config.settings.get("threshold", 0.8))
-    details = F.to_json(F.struct(F.lit(threshold).alias("threshold"), F.col("_similarity").alias("similarity")))
+    threshold = setting(config, "threshold", 0.8)
+    details = F.to_json(F.struct(threshold.alias("threshold"), F.col("_similarity").alias("similarity")))
     return _scored(read, F.col("_similarity") >= threshold, F.col("_similarity"), details).drop("_similarity")
 
 
@@ -176,10 +220,10 @@ def summarization(df: DataFrame, config: ScorerConfig) -> DataFrame:
 
     The details keep the texts' first 500 characters.
     """
-    weights = {k: float(config.settings.get(f"weight_{k}", w)) for k, w in (("rouge_1", 0.2), ("rouge_2", 0.3), ("rouge_l", 0.5))}
+    weights = {k: setting(config, f"weight_{k}", w) for k, w in (("rouge_1", 0.2), ("rouge_2", 0.3), ("rouge_l", 0.5))}
     read = rouge(df)
     made = [c for c in read.columns if c.startswith("rouge_")]
-    composite = reduce(lambda a, b: a + b, [F.lit(w) * F.col(f"{k}_f_score") for k, w in weights.items()])
+    composite = reduce(lambda a, b: a + b, [w * F.col(f"{k}_f_score") for k, w in weights.items()])
     read = read.withColumn("_composite", composite)
     parts = {"rouge_1": "rouge_1_f_score", "rouge_2": "rouge_2_f_score", "rouge_l": "rouge_l_f_score", "content_coverage": "content_coverage", "composite_score": "_composite"}
     metrics = F.create_map(*[x for k, c in parts.items() for x in (F.lit(k), F.col(c))])

@@ -52,6 +52,39 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWERS_SQL = "answers AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, event_id % 3 = 0 AS flag, event_id % 97 = 0 OR event_id % 89 = 0 AS broken FROM events)"
 
 
+#: Tasks of a suite as they are configured: by metrics, by equality and by similarity.
+SUITE = (
+    {"task": {"id": "t0"}, "evaluation": {"metrics": [{"name": "k"}], "success_criteria": [{"metric": "k", "operator": ">=", "value": 50}]}},
+    {"task": {"id": "t1"}, "evaluation": {"metrics": [{"name": "k"}, {"name": "flag", "type": "binary"}], "success_criteria": [{"metric": "k", "operator": ">", "value": 30}, {"metric": "flag", "operator": "==", "value": True}]}},
+    {"task": {"id": "t2"}, "evaluation": {"metrics": [{"name": "absent"}, {"name": "k"}], "success_criteria": [{"metric": "absent", "operator": "<=", "value": 1}, {"metric": "k", "operator": "<", "value": 80}, {"metric": "k", "operator": "!=", "value": 7}]}},
+    {"task": {"id": "t3"}, "evaluation": {"scoring_method": "exact_match"}},
+    {"task": {"id": "t4"}, "evaluation": {"scoring_method": "partial_match", "threshold": 0.5}},
+    {"task": {"id": "t5"}, "evaluation": {"scoring_method": "partial_match"}},
+    {"task": {"id": "t6"}, "evaluation": {"metrics": [{"name": "opinion", "type": "llm_judge"}]}},
+)
+
+
+def suite_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as tasks of seven kinds (some of a kind that is not configured) and as their answers; one in 31 has none."""
+    n = F.col("event_id")
+    task = F.when((n % 7 == 6) & (n % 5 == 0), F.lit("t9")).otherwise(F.concat(F.lit("t"), n % 7))
+    flag = F.when(n % 3 == 0, "true").otherwise("false")
+    k = F.get_json_object("props", "$.k").cast("int")
+    wanted = F.concat(F.lit('{"flag": '), flag, F.lit(', "k": '), (k + F.when(n % 4 < 2, 0).otherwise(1)).cast("string"), F.lit("}"))
+    tasks = table(spark, sf_dir, "events").select(task.alias("task"), n.cast("string").alias("task_id"), F.when((n % 7).isin(3, 4, 5), wanted).otherwise(F.lit("")).alias("expected_output"))
+    own = answers(spark, sf_dir).where(n % 31 != 0).select(task.alias("task"), "task_id", "predicted_output")
+    return tasks, own
+
+
+SUITE_SQL = (
+    "asked AS (SELECT event_id, event_id % 7 AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id % 3 = 0 AS flag, event_id % 31 = 0 AS none, event_id % 97 = 0 OR event_id % 89 = 0 AS broken, event_id % 4 < 2 AS same, event_id % 7 = 6 AND event_id % 5 = 0 AS unknown FROM events), "
+    "judged AS (SELECT *, CASE t WHEN 0 THEN CAST(k >= 50 AS INT) WHEN 1 THEN (CAST(k > 30 AS INT) + CAST(flag AS INT)) / 2.0 WHEN 2 THEN (1 + CAST(k < 80 AS INT) + CAST(k <> 7 AS INT)) / 3.0 WHEN 3 THEN CAST(same AS INT) WHEN 6 THEN 1 ELSE (1 + CAST(same AS INT)) / 2.0 END::DOUBLE AS share, "
+    "t IN (0, 1, 2, 6) AS by_metrics FROM asked), "
+    "suite AS (SELECT CASE WHEN unknown THEN 't9' ELSE 't' || t END AS task, CAST(event_id AS VARCHAR) AS task_id, k, unknown, NOT (unknown OR none OR broken) AS sound, by_metrics, CASE WHEN unknown OR none OR broken THEN 0.0 ELSE share END AS score, "
+    "NOT (unknown OR none OR broken) AND (share = 1 OR (t = 4 AND share >= 0.5)) AS success, CASE WHEN unknown THEN 'no such task' WHEN none THEN 'no answer' WHEN broken AND by_metrics THEN 'invalid JSON' END AS error FROM judged)"
+)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of files."""
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as a stream starts from folders

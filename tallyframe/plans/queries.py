@@ -16,7 +16,8 @@ from ..operators import aggregate, compare, cost, quality, retrieval, scorers, s
 from ..sources import jsonl, optics_text
 from ..sources.shared import shared_dir
 from ..streaming import results as streams
-from . import hosts
+from ..sources.config import TaskConfig
+from . import hosts, suite
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,6 +302,47 @@ def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.running_totals(turns, "conv_id", "turn", "tokens").select("conv_id", "turn", "running_total", "running_count")
 
 
+@query(
+    f"WITH {hosts.RESULTS_SQL}, r AS (SELECT model, k, execution_time, event_id % 3 = 0 AS has FROM results), long AS (SELECT model, 'k' AS metric, CAST(k AS DOUBLE) AS v FROM r UNION ALL SELECT model, 'value', execution_time FROM r UNION ALL SELECT model, 'rare', CASE WHEN has THEN execution_time - 20 ELSE 0 END FROM r) "
+    "SELECT model, metric, round(avg(v), 6) AS mean, round(min(v), 6) AS min, round(max(v), 6) AS max, round(stddev_pop(v), 6) AS std FROM long GROUP BY ALL"
+)
+def found_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of all metrics that rows hold; one of them only every third row has."""
+    rare = F.when(F.col("event_id") % 3 == 0, F.create_map(F.lit("rare"), F.col("execution_time") - 20)).otherwise(F.create_map().cast("map<string,double>"))
+    return rounded(aggregate.found_metrics(hosts.results(spark, sf_dir).withColumn("metrics", F.map_concat("metrics", rare)), "model"))
+
+
+@query(
+    f"WITH {hosts.RESULTS_SQL}, r AS (SELECT *, 'task ' || (k % 4) AS kind FROM results), m AS (SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE 'kind' END AS level, kind, model, avg(CAST(success AS INT)) AS s, avg(score) AS a, avg(execution_time) AS t, avg(cost) AS c FROM r GROUP BY GROUPING SETS ((model), (kind, model))) "
+    "SELECT level, kind, model, round(s, 6) AS success_rate, round(a, 6) AS avg_score, round(t, 6) AS avg_time, round(c, 6) AS cost_per_task, rank() OVER (PARTITION BY level, kind ORDER BY s DESC, a DESC, model) AS rank FROM m"
+)
+def leaderboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models over all tasks and within each kind of task, from one grouping."""
+    kinds = hosts.results(spark, sf_dir).withColumn("kind", F.concat(F.lit("task "), F.col("k") % 4))
+    return rounded(aggregate.leaderboards(kinds, "kind"))
+
+
+def _suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks, answers = hosts.suite_rows(spark, sf_dir)
+    return suite.run_suite(tasks, answers, suite.suite_of(spark, map(TaskConfig.of, hosts.SUITE)))
+
+
+@query(f"WITH {hosts.SUITE_SQL} SELECT task, task_id, success, round(score, 6) AS score, error FROM suite")
+def suite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven tasks scored by three methods as one plan; what they ask for is data."""
+    return rounded(_suite(spark, sf_dir).select("task", "task_id", "success", "score", "error"))
+
+
+@query(
+    f"WITH {hosts.SUITE_SQL}, v AS (SELECT *, CASE WHEN sound THEN k ELSE 0 END::DOUBLE AS kk FROM suite) SELECT task, count(*) AS total_tasks, count(*) FILTER (success) AS successful_tasks, round(avg(CAST(success AS INT)), 6) AS success_rate, round(avg(score), 6) AS avg_score, "
+    "round(CASE WHEN task IN ('t0', 't1', 't2') THEN avg(kk) END, 6) AS k_mean, round(CASE WHEN task IN ('t0', 't1', 't2') THEN stddev_pop(kk) END, 6) AS k_std FROM v GROUP BY task"
+)
+def suite_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the tasks of a suite and the summary of those metrics that each has."""
+    k = F.try_element_at("metrics_summary", F.lit("k"))
+    return rounded(suite.suite_totals(_suite(spark, sf_dir)).select("task", "total_tasks", "successful_tasks", "success_rate", "avg_score", k["mean"].alias("k_mean"), k["std"].alias("k_std")))
+
+
 # ---- quality
 
 

@@ -1,0 +1,110 @@
+"""Many tasks as one plan against each task by itself; summaries of found metrics and leaderboards of two levels against plain loops."""
+
+import json
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyframe.operators import aggregate
+from tallyframe.plans import cli, engine, suite
+from tallyframe.sources.config import TaskConfig
+
+CONFIGS = [
+    {"task": {"id": "lens"}, "evaluation": {"metrics": [{"name": "mtf"}, {"name": "spot"}, {"name": "valid", "type": "binary"}], "success_criteria": [{"metric": "mtf", "operator": ">=", "value": 0.7}, {"metric": "spot", "operator": "<=", "value": 0.05}, {"metric": "valid", "operator": "==", "value": True}]}},
+    {"task": {"id": "analysis"}, "evaluation": {"metrics": [{"name": "mtf"}, {"name": "quality", "type": "llm_judge"}, {"name": "other", "type": "unknown"}], "success_criteria": [{"metric": "mtf", "value": 0.5}, {"metric": "quality", "operator": "!=", "value": 1}, {"metric": "never", "operator": "<", "value": 9}]}},
+    {"task": {"id": "twice"}, "evaluation": {"metrics": [{"name": "mtf"}, {"name": "mtf", "type": "binary"}], "success_criteria": [{"metric": "mtf", "operator": ">", "value": 0}, {"metric": "mtf", "operator": "==", "value": False}]}},
+    {"task": {"id": "exact"}, "evaluation": {"scoring_method": "exact_match"}},
+    {"task": {"id": "near"}, "evaluation": {"scoring_method": "partial_match", "threshold": 0.3}},
+    {"task": {"id": "summary"}, "evaluation": {"scoring_method": "rouge", "weight_rouge_1": 1, "weight_rouge_l": 0, "success_criteria": [{"metric": "rouge_1", "operator": ">=", "value": 0.4}]}},
+    {"task": {"id": "papers"}, "evaluation": {"scoring_method": "citation", "success_criteria": [{"metric": "recall", "operator": ">=", "value": 0.5}]}},
+    {"task": {"id": "none"}, "evaluation": {}},
+]
+TEXTS = ['{"mtf": 0.9, "spot": 0.01, "valid": true}', '{"mtf": "0.6", "spot": null, "valid": 0}', '{"mtf": [1]}', '{"mtf": 0, "quality": 1}', '{"valid": "yes", "quality": "x", "mtf": true}', '{"mtf": 0.9', "{}", "[1, 2]", '["A b", {"doi": "x"}]', '{"papers": [{"title": "A b"}]}', "plain words here", "plain words there", "", "5", "null", None]
+
+
+def rows(seed, n):
+    r = random.Random(seed)
+    names = [c["task"]["id"] for c in CONFIGS]
+    tasks = [(t, f"{t}{k}", r.choice(TEXTS)) for t in names for k in range(n)]
+    answers = [(t, i, r.choice(TEXTS), r.choice([None, 1.5])) for t, i, _ in tasks if r.random() < 0.9]
+    return tasks, answers
+
+
+def test_suite_equals_each_task(spark):
+    tasks, answers = rows(4, 40)
+    t = spark.createDataFrame([*tasks, ("lost", "x", "")], "task string, task_id string, expected_output string")
+    a = spark.createDataFrame(answers, "task string, task_id string, predicted_output string, execution_time double")
+    configs = [TaskConfig.of(c) for c in CONFIGS]
+    got = {(x.task, x.task_id): x for x in suite.run_suite(t, a, suite.suite_of(spark, configs)).collect()}
+    assert len(got) == len(tasks) + 1 and (got["lost", "x"].error, got["lost", "x"].success) == ("no such task", False)
+    for c in configs:
+        for x in engine.run(t.where(F.col("task") == c.name).drop("task"), a.where(F.col("task") == c.name).drop("task"), c).collect():
+            y = got[c.name, x.task_id]
+            assert (x.success, x.metrics, x.error, x.execution_time) == (y.success, y.metrics, y.error, y.execution_time) and x.score == pytest.approx(y.score)
+            assert (x.details and json.loads(x.details)) == (y.details and json.loads(y.details))
+
+
+def test_one_plan_for_any_number_of_tasks(spark):
+    t = spark.createDataFrame([], "task string, task_id string, expected_output string")
+    a = spark.createDataFrame([], "task string, task_id string, predicted_output string")
+
+    def exchanges(n):
+        configs = [TaskConfig.of({"task": {"id": f"t{k}"}, "evaluation": {**CONFIGS[0]["evaluation"], "success_criteria": [{"metric": "mtf", "value": k}]}}) for k in range(n)]
+        done = suite.run_suite(t, a, suite.suite_of(spark, configs))
+        assert done.collect() == []
+        return done._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(2) == exchanges(40)
+    with pytest.raises(ValueError, match="named"):
+        suite.suite_of(spark, [TaskConfig("a"), TaskConfig("a")])
+    with pytest.raises(ValueError, match="method"):
+        suite.suite_of(spark, [TaskConfig("a", evaluation={"scoring_method": "guess"})])
+
+
+def test_command_line_together(spark, tmp_path):
+    for d in ("tasks", "data", "answers"):
+        (tmp_path / d).mkdir()
+    for name, mtf in (("one", 0.9), ("two", 0.1), ("three", 0.8)):
+        (tmp_path / "tasks" / f"{name}.json").write_text(json.dumps({"task": {"id": name}, "dataset": {}, "evaluation": {"metrics": [{"name": "mtf"}], "success_criteria": [{"metric": "mtf", "operator": ">=", "value": 0.8}]}}))
+        (tmp_path / "data" / f"{name}.jsonl").write_text("".join(f'{{"task_id": "{name}{k}", "instruction": "x"}}\n' for k in range(3)))
+        (tmp_path / "answers" / f"{name}.jsonl").write_text("".join(json.dumps({"task_id": f"{name}{k}", "predicted_output": json.dumps({"mtf": mtf}), "cost": 0.5}) + "\n" for k in range(2)))
+    common = ["evaluate", "--together", "--tasks-dir", f"{tmp_path}/tasks", "--data", f"{tmp_path}/data", "--answers", f"{tmp_path}/answers", "--output", f"{tmp_path}/all.jsonl"]
+    assert cli.main(common) == 1 and cli.main([*common, "--task", "three", "--run-id", "again"]) == 0
+    saved = json.loads((tmp_path / "all.json").read_text())
+    assert saved["run_id"] == "again" and [t["task_id"] for t in saved["tasks"]] == ["three"]
+    done = suite.scan_suite_results(spark, f"{tmp_path}/all.jsonl", "run")
+    assert {(x.task, x.total_tasks, x.successful_tasks, x.total_cost) for x in suite.suite_totals(done).collect()} == {("one", 3, 2, 1.0), ("two", 3, 0, 1.0), ("three", 3, 2, 1.0)}
+    assert suite.scan_suite_results(spark, f"{tmp_path}/all.jsonl").count() == 12 and len(list((tmp_path / "all.jsonl" / "run_id=run").glob("task=*"))) == 3
+
+
+def test_found_metrics(spark):
+    r = random.Random(6)
+    made = [(g, n, {m: r.choice([-1.5, 0.0, 2.0, 7.25, None]) for m in "abc" if r.random() < p}) for g, p in (("x", 0.7), ("y", 0.2), (None, 1.0), ("empty", 0.0)) for n in range(30)]
+    made.append(("x", 99, None))
+    want, first = {}, {}
+    for g in {g for g, _, _ in made}:
+        own = [(m or {}) for h, _, m in made if h == g]
+        for name in sorted({k for m in own for k in m}):
+            v = [m.get(name) or 0.0 for m in own]
+            want[g, name] = [statistics.fmean(v), min(v), max(v), statistics.pstdev(v)]
+            if name in own[0]:
+                first[g, name] = want[g, name]
+    table = spark.createDataFrame(made, "g string, n int, metrics map<string,double>")
+    for names, wanted in ((None, want), ("n", first)):
+        got = {(x.g, x.metric): [x["mean"], x["min"], x["max"], x["std"]] for x in aggregate.found_metrics(table, "g", first=names).collect()}
+        assert got.keys() == wanted.keys() and all(got[k] == pytest.approx(wanted[k]) for k in got)
+    assert {x.metric for x in aggregate.found_metrics(table).collect()} == set("abc") and aggregate.found_metrics(table.limit(0)).count() == 0
+
+
+def test_leaderboards(spark):
+    r = random.Random(2)
+    made = [(f"m{r.randrange(4)}", r.choice(["lens", "review", None]), r.random() < 0.5, r.choice([0.5, 1.0]), 1.0, 2.0) for _ in range(200)]
+    table = spark.createDataFrame(made, "model string, kind string, success boolean, score double, execution_time double, cost double")
+    got = aggregate.leaderboards(table, "kind").collect()
+    for level, kind in (("all", None), ("kind", "lens"), ("kind", "review"), ("kind", None)):
+        own = [x for x in made if level == "all" or x[1] == kind]
+        ranked = sorted((-statistics.fmean(x[2] for x in own if x[0] == m), -statistics.fmean(x[3] for x in own if x[0] == m), m) for m in {x[0] for x in own})
+        assert [(x.rank, x.model) for x in sorted(got, key=lambda x: x["rank"]) if (x.level, x.kind) == (level, kind)] == [(k + 1, m) for k, (_, _, m) in enumerate(ranked)]
+    assert len(got) == len({(x.level, x.kind, x.model) for x in got})
