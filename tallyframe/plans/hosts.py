@@ -80,7 +80,7 @@ SUITE_SQL = (
     "asked AS (SELECT event_id, event_id % 7 AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id % 3 = 0 AS flag, event_id % 31 = 0 AS none, event_id % 97 = 0 OR event_id % 89 = 0 AS broken, event_id % 4 < 2 AS same, event_id % 7 = 6 AND event_id % 5 = 0 AS unknown FROM events), "
     "judged AS (SELECT *, CASE t WHEN 0 THEN CAST(k >= 50 AS INT) WHEN 1 THEN (CAST(k > 30 AS INT) + CAST(flag AS INT)) / 2.0 WHEN 2 THEN (1 + CAST(k < 80 AS INT) + CAST(k <> 7 AS INT)) / 3.0 WHEN 3 THEN CAST(same AS INT) WHEN 6 THEN 1 ELSE (1 + CAST(same AS INT)) / 2.0 END::DOUBLE AS share, "
     "t IN (0, 1, 2, 6) AS by_metrics FROM asked), "
-    "suite AS (SELECT CASE WHEN unknown THEN 't9' ELSE 't' || t END AS task, CAST(event_id AS VARCHAR) AS task_id, k, unknown, NOT (unknown OR none OR broken) AS sound, by_metrics, CASE WHEN unknown OR none OR broken THEN 0.0 ELSE share END AS score, "
+    "suite AS (SELECT CASE WHEN unknown THEN 't9' ELSE 't' || t END AS task, CAST(event_id AS VARCHAR) AS task_id, k, unknown, none, NOT (unknown OR none OR broken) AS sound, by_metrics, CASE WHEN unknown OR none OR broken THEN 0.0 ELSE share END AS score, "
     "NOT (unknown OR none OR broken) AND (share = 1 OR (t = 4 AND share >= 0.5)) AS success, CASE WHEN unknown THEN 'no such task' WHEN none THEN 'no answer' WHEN broken AND by_metrics THEN 'invalid JSON' END AS error FROM judged)"
 )
 
@@ -90,6 +90,25 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")  # a pattern, as a stream starts from folders
 
 
+def late_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Results in four batches of about eight days; one in 50 comes with the last batch whatever its time, one in 50 with the next one."""
+    e = table(spark, sf_dir, "events")
+    n, own = F.col("event_id"), F.floor((F.dayofmonth("ts") - 1) / 8).cast("int")
+    batch = F.when(n % 50 == 0, F.lit(3)).when(n % 50 == 25, F.least(own + 1, F.lit(3))).otherwise(own)
+    # the table's times have no zone; they are read as UTC, whatever the session's is
+    at = F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp")
+    timed = results_of(e).join(e.select("event_id", at.alias("finished"), batch.alias("batch")), "event_id")
+    return [timed.where(F.col("batch") == b).select("task_id", "model", "success", "score", "cost", "finished") for b in range(4)]
+
+
+LATE_SQL = (
+    RESULTS_SQL + ", timed AS (SELECT r.*, ts, CASE WHEN r.event_id % 50 = 0 THEN 3 WHEN r.event_id % 50 = 25 THEN least((day(ts) - 1) // 8 + 1, 3) ELSE (day(ts) - 1) // 8 END AS batch FROM results r JOIN events e ON r.event_id = e.event_id), "
+    "ends AS (SELECT batch, max(ts) AS latest FROM timed GROUP BY batch), marks AS (SELECT batch, max(latest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 12 HOURS AS mark FROM ends), "
+    "placed AS (SELECT *, time_bucket(INTERVAL 6 HOURS, ts) AS start FROM timed JOIN marks USING (batch)), "
+    "kept AS (SELECT * FROM placed WHERE mark IS NULL OR start + INTERVAL 6 HOURS > mark), last AS (SELECT max(ts) - INTERVAL 12 HOURS AS mark FROM events)"
+)
+
+
 def task_lines(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a line of JSON for each event: blank ones, such that are cut off and such with text behind among them."""
     e = table(spark, sf_dir, "events")

@@ -15,7 +15,7 @@ from ..model import Criterion, Metric, ScorerConfig
 from ..operators import aggregate, compare, cost, quality, retrieval, scorers, similarity
 from ..sources import jsonl, optics_text
 from ..sources.shared import shared_dir
-from ..streaming import results as streams
+from ..streaming import results as streams, resume
 from ..sources.config import TaskConfig
 from . import hosts, suite
 
@@ -390,6 +390,34 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.table(name))
 
 
+@query(
+    f"WITH {hosts.LATE_SQL} SELECT strftime(start, '%Y-%m-%d %H') AS start, model, count(*) AS total_tasks, count(*) FILTER (success) AS successful_tasks, round(avg(score), 6) AS avg_score, round(sum(cost), 6) AS total_cost FROM kept, last WHERE start + INTERVAL 6 HOURS <= last.mark GROUP BY ALL"
+)
+def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final windows of a stream in four parts, started anew for each: rows behind the watermark are dropped, late ones before it count."""
+    mark = uuid.uuid4().hex
+    source, output, checkpoint = (f"{shared_dir(spark)}/{name}-{mark}" for name in ("late-in", "late-out", "late-check"))
+    for batch in hosts.late_batches(spark, sf_dir):
+        batch.write.mode("append").parquet(source)
+        streams.append_windows(spark.readStream.schema(batch.schema).parquet(source), output, checkpoint, "6 hours", "12 hours").awaitTermination()
+    found = spark.read.parquet(output)
+    start = F.to_utc_timestamp("start", F.current_timezone())
+    return rounded(found.select(F.date_format(start, "yyyy-MM-dd HH").alias("start"), "model", "total_tasks", "successful_tasks", "avg_score", "total_cost"))
+
+
+@query(f"WITH {hosts.SUITE_SQL} SELECT task, task_id, success, round(score, 6) AS score, error FROM suite WHERE NOT none")
+def resumed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose stream stops after half of the answers, goes on with all of them, and is started anew without its checkpoint: each task is scored once."""
+    mark = uuid.uuid4().hex
+    source, output, *checks = (f"{shared_dir(spark)}/{name}-{mark}" for name in ("resume-in", "resume-out.jsonl", "resume-check", "resume-again"))
+    tasks, answers = hosts.suite_rows(spark, sf_dir)
+    asked = suite.suite_of(spark, map(TaskConfig.of, hosts.SUITE))
+    for part, check in ((answers.where(F.col("task_id") % 2 == 0), checks[0]), (answers, checks[0]), (answers.limit(0), checks[1])):
+        part.write.mode("append").json(source)
+        resume.score_stream(spark.readStream.schema("task string, task_id string, predicted_output string").json(source), tasks, asked, output, "run", check).awaitTermination()
+    return rounded(suite.scan_suite_results(spark, output, "run").select("task", "task_id", "success", "score", "error"))
+
+
 # ---- cost, providers, conversations
 
 _NAMES = [p[0] for p in cost.PRICES]

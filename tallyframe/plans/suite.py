@@ -87,8 +87,8 @@ def suite_totals(results: DataFrame) -> DataFrame:
 
 
 def save_suite(results: DataFrame, path: str, run_id: str) -> None:
-    """Append the rows as JSON lines in a folder for each run and task: one job writes all tasks."""
-    results.withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id", "task").mode("append").option("ignoreNullFields", False).json(path)
+    """Append the rows as JSON lines in a folder for each run and task: one job writes all tasks. Rows are dealt by task, a large task over several writers."""
+    results.hint("rebalance", "task").withColumn("run_id", F.lit(run_id)).write.partitionBy("run_id", "task").mode("append").option("ignoreNullFields", False).json(path)
 
 
 def scan_suite_results(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:

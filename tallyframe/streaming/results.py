@@ -24,11 +24,21 @@ def append_results(results: DataFrame, output: str, checkpoint: str) -> Streamin
 
 
 def windowed_totals(results: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Totals for each model and window of finishing time; rows later than ``late`` are dropped with their state."""
+    """Totals for each model and window of finishing time.
+
+    The watermark is the latest time of all rows so far less ``late``. A window that ends at or before it is final: in append mode it is emitted then, once, its state goes, and rows for it that come after are dropped. A
+    late row whose window is still open counts.
+    """
     timed = results.withWatermark("finished", late)
     return timed.groupBy(F.window("finished", window), "model").agg(F.count("*").alias("total_tasks"), F.count_if("success").alias("successful_tasks"), F.avg("score").alias("avg_score"), F.sum("cost").alias("total_cost"))
 
 
+def append_windows(results: DataFrame, output: str, checkpoint: str, window: str = "5 minutes", late: str = "10 minutes") -> StreamingQuery:
+    """Final windows appended to ``output`` as Parquet: ``start``, ``end``, the model and totals. State, watermark and what has been written are in the checkpoint, so a restart goes on where the stream stopped."""
+    totals = windowed_totals(results, window, late).select("window.start", "window.end", "model", "total_tasks", "successful_tasks", "avg_score", "total_cost")
+    return totals.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", output).start()
+
+
 def running_totals(results: DataFrame) -> DataFrame:
     """Totals for each model over all rows so far, for update or complete mode."""
     return results.groupBy("model").agg(F.count("*").alias("total_tasks"), F.count_if("success").alias("successful_tasks"), F.sum("score").alias("sum_score"), F.sum("cost").alias("total_cost"))
