@@ -7,6 +7,10 @@ import json
 from pyspark.sql import Column, functions as F
 
 
+#: How a JSON value begins.
+BEGINS = r'^[ \t\n\r]*["{\[0-9tfn-]'
+
+
 def _path(name: str) -> str:
     return f"$[{json.dumps(name)}]" if "'" in name else f"$['{name}']"
 

@@ -163,6 +163,23 @@ def running_totals(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return df.withColumns({"running_total": F.sum(value).over(w), "running_count": F.count("*").over(w)})
 
 
+def running(df: DataFrame, by: list[str], order: str, sums: dict[str, Column], stretch: int = 4096) -> DataFrame:
+    """Add running sums of whole numbers within a group, up to and with each row, in the order of a column of whole numbers.
+
+    A group is summed up in stretches of ``stretch`` of that column; what lies before a stretch is a running sum over stretches, one row each. So rows of one group are many tasks' work however
+    many they are. Rows with equal places count together; null places come first.
+    """
+    df = df.withColumn("_stretch", F.floor(F.col(order) / stretch)).withColumns({f"_v_{n}": c for n, c in sums.items()})
+    totals = df.groupBy(*by, "_stretch").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "_stretch", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    within = Window.partitionBy(*by, "_stretch").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumns({f"_r_{n}": F.sum(f"_v_{n}").over(within) for n in sums})
+    joined = rows.alias("a").join(starts.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*by, "_stretch")])
+    kept = [c for c in df.columns if c != "_stretch" and not c.startswith("_v_")]
+    return joined.select(*[F.col(f"a.{c}").alias(c) for c in kept], *[(F.col(f"_r_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums])
+
+
 def weighted_score(scores: Column, weights: Column) -> Column:
     """Sum of weight times score over the sum of weights, of two arrays; 0 without weight."""
     add = lambda a, x: a + x

@@ -9,16 +9,42 @@ from ..model import ScorerConfig
 from .scorers import SCORED, _scored, judged, parsed, scorer
 
 
-def identifiers(root: Column) -> Column:
-    """Distinct identifiers in a JSON list, or in the ``papers`` of a JSON object.
+#: How deep a list of papers may lie in objects that have only it as ``papers``.
+DEPTH = 8
+
+
+def _papers(root: Column) -> Column:
+    """The list that is the value, or that lies in the ``papers`` of it, of these, and so on; null if there is none."""
+    at, listed = root, F.try_variant_get(root, "$", "array<variant>")
+    for _ in range(DEPTH):
+        at = V.field(at, "papers")
+        listed = F.coalesce(listed, F.try_variant_get(at, "$", "array<variant>"))
+    return listed
+
+
+def _named(e: Column) -> Column:
+    """Identifier of a list's element, and whether it has none because its title is no text."""
+    doi, title = V.field(e, "doi"), V.field(e, "title")
+    by_doi = V.truthy(doi)
+    name = F.when(V.is_object(e), F.when(by_doi, V.field(e, "doi", "string")).otherwise(F.lower(V.field(e, "title", "string")))).when(V.is_text(e), F.lower(F.try_variant_get(e, "$", "string")))
+    return F.struct(name.alias("name"), (V.is_object(e) & F.when(by_doi, F.coalesce(V.kind(doi).rlike("^(ARRAY|OBJECT)"), F.lit(False))).otherwise(title.isNotNull() & ~V.is_text(title))).alias("bad"))
 
-    An object counts by its ``doi`` as written, without one by its title in lower case; a text by itself in lower case. Anything else has none.
+
+def named_papers(root: Column) -> Column:
+    """A struct of ``ids``, the distinct identifiers in a JSON list or in the ``papers`` of a JSON object (nested up to DEPTH levels), and ``bad``, whether an object has no usable title.
+
+    An object counts by its ``doi`` as written, without one by its title in lower case; a text by itself in lower case. Anything else has none. An object without ``doi`` whose
+    title is null, a number or anything but a text is bad, as is a ``doi`` that is a list or an object; one without title has no identifier.
     """
-    papers = V.field(root, "papers")
-    listed = F.coalesce(F.try_variant_get(root, "$", "array<variant>"), F.try_variant_get(papers, "$", "array<variant>"))
-    named = lambda e: F.when(V.is_object(e), F.coalesce(F.nullif(V.field(e, "doi", "string"), F.lit("")), F.lower(V.field(e, "title", "string")))).when(V.is_text(e), F.lower(F.try_variant_get(e, "$", "string")))
-    found = F.filter(F.transform(listed, named), lambda x: x.isNotNull() & (x != ""))
-    return F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))
+    found = F.transform(F.coalesce(_papers(root), F.array().cast("array<variant>")), _named)
+    ids = lambda named: F.array_distinct(F.filter(F.transform(named, lambda x: x["name"]), lambda x: x.isNotNull() & (x != "")))
+    # transform over one element binds the names, so each element is read once
+    return F.element_at(F.transform(F.array(found), lambda named: F.struct(ids(named).alias("ids"), F.exists(named, lambda x: F.coalesce(x["bad"], F.lit(False))).alias("bad"))), 1)
+
+
+def identifiers(root: Column) -> Column:
+    """The ``ids`` of ``named_papers``."""
+    return named_papers(root)["ids"]
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -60,12 +86,14 @@ def retrieval_columns(df: DataFrame, predicted: str, expected: str) -> DataFrame
 def citation(df: DataFrame, config: ScorerConfig) -> DataFrame:
     """Recall, precision and citation accuracy weighted 0.3, 0.3 and 0.4, held against the criteria.
 
-    Malformed JSON on either side makes the row an error with score 0; an absent side has no papers.
+    Malformed JSON on either side, and a title that is no text, make the row an error with score 0; an absent side has no papers.
     """
     read = parsed(df)
     bad = lambda text, value: F.col(text).isNotNull() & F.col(value).isNull()
-    read = read.withColumns({"_p": identifiers(F.col("_a")), "_e": identifiers(F.col("_b")), "_error": F.when(bad("predicted_output", "_a") | bad("expected_output", "_b"), F.lit("invalid JSON"))})
-    read = retrieval_columns(read.drop("_a", "_b"), "_p", "_e")
+    read = read.withColumns({"_np": named_papers(F.col("_a")), "_ne": named_papers(F.col("_b"))})
+    error = F.when(bad("predicted_output", "_a") | bad("expected_output", "_b"), F.lit("invalid JSON")).when(F.col("_np.bad") | F.col("_ne.bad"), F.lit("invalid title"))
+    read = read.withColumns({"_p": F.col("_np.ids"), "_e": F.col("_ne.ids"), "_error": error})
+    read = retrieval_columns(read.drop("_a", "_b", "_np", "_ne"), "_p", "_e")
     names = ("precision", "recall", "f1", "citation_accuracy", "composite_score")
     read = read.withColumn("_metrics", F.create_map(*[x for k in names for x in (F.lit(k), F.col(k))]))
     success, _, status = judged(F.col("_metrics"), config.criteria)

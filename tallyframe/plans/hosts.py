@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.shared import shared_dir
@@ -149,6 +151,37 @@ def odd_pairs(spark: SparkSession) -> DataFrame:
 ODD_SQL = "odd AS (SELECT * FROM (VALUES " + ", ".join(f"(-1, {k}, {equal}, {a}, {b})" for k, (_, _, equal, a, b) in enumerate(ODD_PAIRS)) + ") t(conv_id, turn, equal, shared, every))"
 
 
+def half_the_length(predicted: pd.Series, expected: pd.Series) -> pd.DataFrame:
+    """A scorer over batches: the shorter length over the longer one. It fails for answers whose length is a multiple of seven."""
+    p, e = predicted.str.len(), expected.str.len()
+    if ((p % 7) == 0).any():
+        raise ValueError("seven")
+    ratio = np.minimum(p, e) / np.maximum(np.maximum(p, e), 1)
+    return pd.DataFrame({"success": ratio >= 0.5, "score": ratio, "longer": np.maximum(p, e)})
+
+
+#: A prompt with blocks of all kinds, for orders.
+PROMPT = """# Order {{o_orderkey}}
+{{#if urgent}}
+URGENT{{#if finished}} and finished{{/if}}
+{{else}}
+No hurry
+{{/if}}
+{{#each items}}
+{{add @index 1}}. part {{this.part}} x {{this.quantity}}{{#if this.back}} (back){{else}}{{#if urgent}} (soon){{/if}}{{/if}}
+{{/each}}
+{{absent}}End
+"""
+
+
+def orders_with_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("quantity"), (F.col("l_returnflag") == "R").alias("back"))
+    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return orders.select("o_orderkey", (F.col("o_orderpriority").startswith("1")).alias("urgent"), F.when(F.col("o_orderstatus") == "F", F.lit("yes")).alias("finished"), "items")
+
+
 def orders_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two JSON objects an order: its members against those of the order with the next key."""
     o = table(spark, sf_dir, "orders")
@@ -180,6 +213,21 @@ TITLES_SQL = (
 )
 
 
+#: Lists of papers in odd JSON: predicted, expected, and recall, precision and citation accuracy, none where a title is no text.
+ODD_PAPERS = (
+    ('{"papers": {"papers": ["A"]}}', '["a"]', 1, 1, 1), ('{"papers": {"papers": {"papers": ["A", "b"]}}}', '{"papers": ["b"]}', 1, 0.5, 1), ('[{"title": 5}]', '["5"]', None, None, None), ('["x"]', '[{"title": null}]', None, None, None),
+    ('[{"title": "A"}, {}]', '["a"]', 1, 1, 1), ('[{"doi": "D", "title": 5}]', '["D"]', 0, 0, 0.5), ('[{"doi": "", "title": "T"}]', '["t"]', 1, 1, 1), ('[{"doi": 0, "title": "T"}]', '["t"]', 1, 1, 1), ('[7, null, [1], "q"]', '["q"]', 1, 1, 1), ('[{"doi": ["D"]}]', '["D"]', None, None, None),
+    ('{"papers": "x"}', "[]", 1, 1, 1), ('{"other": ["x"]}', '["x"]', 0, 0, 0),
+)
+
+
+def odd_papers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("odd", k, *p[:2]) for k, p in enumerate(ODD_PAPERS)], "p_brand string, p_size int, predicted_output string, expected_output string")
+
+
+ODD_PAPERS_SQL = "odd AS (SELECT * FROM (VALUES " + ", ".join(f"('odd', {k}, {', '.join('NULL' if x is None else f'{x}::DOUBLE' for x in n)})" for k, (_, _, *n) in enumerate(ODD_PAPERS)) + ") t(p_brand, p_size, r, p, a))"
+
+
 def title_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The same titles as rows of two tables: predicted and expected ones, some of them twice."""
     start = F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type", F.lit("size"), F.col("p_size").cast("string"), F.lit("no")))

@@ -8,11 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import optics, text as T
+from ..functions import optics, template, text as T
 from ..functions.errors import CATEGORIES, RULES
 from ..functions.stats import TERMS
 from ..model import Criterion, Metric, ScorerConfig
-from ..operators import aggregate, compare, cost, quality, retrieval, scorers, similarity
+from ..operators import aggregate, compare, cost, plugin, quality, retrieval, scorers, similarity
 from ..sources import jsonl, optics_text
 from ..sources.shared import shared_dir
 from ..streaming import results as streams, resume
@@ -189,7 +189,8 @@ def citation_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {_NEAR_TITLES}, v AS (SELECT p_brand, p_size, {_HIT} / len(expected) AS r, {_HIT} / len(predicted) AS p, (len(list_intersect(predicted, expected)) + 0.5::DOUBLE * coalesce(c, 0)) / len(expected) AS a FROM lists LEFT JOIN n USING (p_brand, p_size)) "
-    "SELECT p_brand, p_size, p_brand <> 'Brand#3' AND r >= 0.3 AS success, CASE WHEN p_brand = 'Brand#3' THEN 0 ELSE round(0.3::DOUBLE * r + 0.3::DOUBLE * p + 0.4::DOUBLE * a, 6) END AS score, CASE WHEN p_brand = 'Brand#3' THEN 'invalid JSON' END AS error FROM v"
+    "SELECT p_brand, p_size, p_brand <> 'Brand#3' AND r >= 0.3 AS success, CASE WHEN p_brand = 'Brand#3' THEN 0 ELSE round(0.3::DOUBLE * r + 0.3::DOUBLE * p + 0.4::DOUBLE * a, 6) END AS score, CASE WHEN p_brand = 'Brand#3' THEN 'invalid JSON' END AS error FROM v "
+    f"UNION ALL SELECT * FROM (WITH {hosts.ODD_PAPERS_SQL} SELECT p_brand, p_size, coalesce(r >= 0.3, FALSE), coalesce(round(0.3 * r + 0.3 * p + 0.4 * a, 6), 0), CASE WHEN p IS NULL THEN 'invalid title' END FROM odd)"
 )
 def citation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scorer over JSON texts: lists of objects with titles, wrapped for half of the groups; the answers of one brand have text behind the list."""
@@ -197,6 +198,7 @@ def citation_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = F.to_json(F.transform("expected", lambda t: F.struct(t.alias("title"))))
     tail = F.when(F.col("p_brand") == "Brand#3", F.lit(" and more")).otherwise(F.lit(""))
     texts = made.select("p_brand", "p_size", F.concat(F.to_json("predicted"), tail).alias("predicted_output"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('{"papers": '), papers, F.lit("}"))).otherwise(papers).alias("expected_output"))
+    texts = texts.unionByName(hosts.odd_papers(spark))
     done = scorers.score(texts, ScorerConfig("citation", criteria=(Criterion("recall", ">=", 0.3),)))
     return rounded(done.select("p_brand", "p_size", "success", "score", "error"))
 
@@ -296,7 +298,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregate.leaderboard(hosts.results(spark, sf_dir)))
 
 
-@query("SELECT conv_id, turn, sum(length(text) // 4) OVER w::BIGINT AS running_total, count(*) OVER w AS running_count FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)".replace("OVER w::BIGINT", "OVER w").replace("sum(length(text) // 4) OVER w", "CAST(sum(length(text) // 4) OVER w AS BIGINT)"))
+@query("SELECT conv_id, turn, CAST(sum(length(text) // 4) OVER w AS BIGINT) AS running_total, count(*) OVER w AS running_count FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = hosts.table(spark, sf_dir, "conversations").withColumn("tokens", F.floor(F.length("text") / 4))
     return aggregate.running_totals(turns, "conv_id", "turn", "tokens").select("conv_id", "turn", "running_total", "running_count")
@@ -453,6 +455,49 @@ def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("conv_id", "length", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.length(m["text"]).cast("string"))), ",").alias("shape"), "system")
 
 
+_RESET_SQL = "marked AS (SELECT *, turn % 4 = 3 AND conv_id % 3 = 0 AS reset, length(text) // 4 AS tokens FROM conversations), sessions AS (SELECT *, CAST(count(*) FILTER (reset) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS session FROM marked)"
+
+
+def _reset() -> Column:
+    return (F.col("turn") % 4 == 3) & (F.col("conv_id") % 3 == 0)
+
+
+@query(f"WITH {_RESET_SQL} SELECT conv_id, turn, session, CAST(sum(tokens) OVER w AS BIGINT) AS running_tokens, count(*) OVER w AS running_turns FROM sessions WINDOW w AS (PARTITION BY conv_id, session ORDER BY turn)")
+def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of conversations that are reset on the way."""
+    turns = hosts.table(spark, sf_dir, "conversations")
+    return cost.session_totals(turns, _reset(), F.floor(F.length("text") / 4)).select("conv_id", "turn", "session", "running_tokens", "running_turns")
+
+
+@query(f"WITH {_RESET_SQL} SELECT conv_id, session, count(*) AS length, array_to_string(list(role || ':' || length(text) ORDER BY turn), ',') AS shape, arg_max(text, turn) FILTER (role = 'system') AS system FROM sessions GROUP BY ALL")
+def session_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a conversation's messages between resets."""
+    listed = cost.session_history(hosts.table(spark, sf_dir, "conversations"), _reset())
+    return listed.select("conv_id", "session", "length", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.length(m["text"]).cast("string"))), ",").alias("shape"), "system")
+
+
+@query(
+    "WITH items AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS INT), l_returnflag = 'R') AS n, l_partkey AS part, CAST(l_quantity AS INT) AS q, l_returnflag = 'R' AS back FROM lineitem), "
+    "lines AS (SELECT o_orderkey, string_agg(n || '. part ' || part || ' x ' || q || CASE WHEN back THEN ' (back)' WHEN o_orderpriority LIKE '1%' THEN ' (soon)' ELSE '' END || chr(10), '' ORDER BY n) AS t FROM orders JOIN items ON o_orderkey = l_orderkey GROUP BY o_orderkey) "
+    "SELECT o_orderkey, '# Order ' || o_orderkey || chr(10) || CASE WHEN o_orderpriority LIKE '1%' THEN 'URGENT' || CASE WHEN o_orderstatus = 'F' THEN ' and finished' ELSE '' END || chr(10) ELSE 'No hurry' || chr(10) END || coalesce(t, '') || 'End' || chr(10) AS prompt FROM orders LEFT JOIN lines USING (o_orderkey)"
+)
+def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt of each order from a template with nested blocks."""
+    orders = hosts.orders_with_items(spark, sf_dir)
+    return orders.select("o_orderkey", template.render(orders, hosts.PROMPT).alias("prompt"))
+
+
+@query(
+    f"WITH {hosts.PAIRS_SQL}, l AS (SELECT conv_id, turn, length(predicted_output) AS p, length(expected_output) AS e FROM pairs), v AS (SELECT *, p % 7 = 0 AS bad, least(p, e)::DOUBLE / greatest(p, e, 1) AS r FROM l) "
+    "SELECT conv_id, turn, NOT bad AND greatest(p, e) >= 100 AS success, CASE WHEN bad THEN 0.0 ELSE round(r, 6) END AS score, CASE WHEN NOT bad THEN greatest(p, e)::DOUBLE END AS longer, CASE WHEN bad THEN 'ValueError: seven' END AS error FROM v"
+)
+def plugin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An own scorer over batches; rows that it fails on are errors, the others of their batch are not."""
+    plugin.batch_scorer("half_the_length", ("longer",))(hosts.half_the_length)
+    done = scorers.score(hosts.pairs(spark, sf_dir), ScorerConfig("half_the_length", criteria=(Criterion("longer", ">=", 100),)))
+    return rounded(done.select("conv_id", "turn", "success", "score", F.try_element_at("metrics", F.lit("longer")).alias("longer"), "error"))
+
+
 @query("SELECT doc_id, substr(coalesce(text, ''), 1, 500) AS clip FROM documents")
 def clip_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A preview column of 500 characters: the clipping is the feature."""
@@ -525,6 +570,19 @@ def lens_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "WITH v AS (SELECT p_partkey, p_size / 40.0::DOUBLE - 0.613 AS a, p_retailprice / 37 AS b FROM part), x AS (SELECT *, greatest(-1.0, least(1.0, a + 0.1)) AS c, greatest(0.5, least(50.0, b)) AS t FROM v) "
+    "SELECT p_partkey, round(c, 2) AS curvature, round(t, 2) AS thickness, round(greatest(0, 0.1 - (c - a)) + 0.3 * pow(t - b, 2) + 0.01 * (c + 1), 4) AS merit FROM x"
+)
+def merit_minimized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curvature and thickness within bounds that make a merit least: what is missing to a target, a distance squared and a small price of curvature."""
+    a, b = F.col("p_size") / 40.0 - 0.613, F.col("p_retailprice") / 37
+    merit = lambda x: F.greatest(F.lit(0.0), 0.1 - (F.get(x, 0) - a)) + 0.3 * F.pow(F.get(x, 1) - b, 2) + 0.01 * (F.get(x, 0) + 1)
+    low, high = F.array(F.lit(-1.0), F.lit(0.5)), F.array(F.lit(1.0), F.lit(50.0))
+    found = hosts.table(spark, sf_dir, "part").select("p_partkey", optics.minimized(merit, F.array(F.lit(0.0), F.lit(5.0)), low, high, rounds=2, sections=44).alias("m"))
+    return found.select("p_partkey", F.round(F.col("m.x")[0], 2).alias("curvature"), F.round(F.col("m.x")[1], 2).alias("thickness"), F.round("m.value", 4).alias("merit"))
+
+
 @query(f"WITH {hosts.RESULTS_SQL} SELECT model, round(quantile_cont(score, 0.75) - quantile_cont(score, 0.25), 6) AS iqr, round(avg(score) - 1.96 * stddev_pop(score) / sqrt(count(*)), 6) AS ci_low, round(avg(score) + 1.96 * stddev_pop(score) / sqrt(count(*)), 6) AS ci_high FROM results GROUP BY model")
 def score_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interquartile range, and the interval of 95 per cent around the mean."""
