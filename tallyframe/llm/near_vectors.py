@@ -45,31 +45,39 @@ def spread(v: np.ndarray, k: int, limit: float) -> np.ndarray:
     return np.array(chosen)
 
 
+def shared_pivots(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many pivots each row of ``left`` shares with each of ``right``: for each pivot, one more for all pairs of its holders."""
+    counts = np.zeros((len(left), len(right)), dtype=np.uint8 if near.shape[1] < 256 else np.int32)
+    holders = []
+    for rows in (left, right):
+        owner, pivot = np.repeat(np.arange(len(rows)), near.shape[1]), near[rows].ravel()
+        order = np.argsort(pivot, kind="stable")
+        numbers, starts = np.unique(pivot[order], return_index=True)
+        holders.append(dict(zip(numbers.tolist(), np.split(owner[order], starts[1:]), strict=True)))
+    for pivot, a in holders[0].items():
+        b = holders[1].get(pivot)
+        if b is not None:
+            counts[a[:, None], b] += 1
+    return counts
+
+
 def linked_in_list(v: np.ndarray, near: np.ndarray, prefix: int, pivot: int, left: np.ndarray, right: np.ndarray, shared: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of linked pairs of rows (left, right) among those of one pivot's list.
 
-    Pairs that share fewer than ``shared`` pivots are passed over; the others are verified by
-    cosine. A pair that meets in several lists, of pivots among the first ``prefix`` of both, is reported in that of the smallest only.
+    Shared pivots are counted first; only pairs that share ``shared`` of them are verified by
+    cosine. A pair that meets in several lists, of pivots among the first ``prefix`` of both, is verified in that of the smallest only.
     """
-    numbers, at = np.unique(near, return_inverse=True)
-    at = at.reshape(near.shape)
-    owned, first = (np.zeros((len(v), len(numbers)), dtype=np.float32) for _ in range(2))
-    np.put_along_axis(owned, at, 1, axis=1)
-    np.put_along_axis(first, at[:, :prefix], 1, axis=1)
-    first = first[:, : int(np.searchsorted(numbers, pivot))]  # lists before this one
     found_i, found_j = [], []
-    for at in range(0, len(left), 256):
-        rows = left[at : at + 256]
-        # the product of the matrices may be off in the last digits
-        close = v[rows] @ v[right].T >= threshold - 1e-9
-        close &= rows[:, None] < right
-        if close.any():
-            close &= owned[rows] @ owned[right].T >= shared
-            close &= first[rows] @ first[right].T == 0
-        i, j = np.nonzero(close)
+    for at in range(0, len(left), 1024):
+        rows = left[at : at + 1024]
+        i, j = np.nonzero(shared_pivots(near, rows, right) >= shared)
         i, j = rows[i], right[j]
+        i, j = i[i < j], j[i < j]
         for part in range(0, len(i), 20_000):
             a, b = i[part : part + 20_000], j[part : part + 20_000]
+            one, two = near[a, :prefix], near[b, :prefix]
+            earlier = ((one[:, :, None] == two[:, None, :]) & (one[:, :, None] < pivot)).any(axis=(1, 2))  # met in a list before this one
+            a, b = a[~earlier], b[~earlier]
             linked = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
             found_i.append(a[linked])
             found_j.append(b[linked])
