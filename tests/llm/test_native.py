@@ -48,7 +48,7 @@ def test_merges_use_the_order_of_the_runs(spark):
     from tallyframe.llm.scratch import discard, ordered_scans
 
     index = LineRuns(8)
-    rows = lambda a, b: spark.range(a, b).selectExpr("xxhash64(id) as h1", "xxhash64(1, id) as h2", "1L as docs", "id as last_doc")
+    rows = lambda a, b: spark.range(a, b).selectExpr("xxhash64(id) as h1", "xxhash64(1, id) as h2", "1L as docs", "2L as lines", "id as last_doc")
     runs = [index.run(rows(0, 3000)), index.run(rows(3000, 4000))]
     batch = index.run(rows(2000, 5000))
     with ordered_scans(spark):
@@ -75,6 +75,17 @@ def test_hot_lines(spark, monkeypatch):
         assert r.n_dropped == (0 if r.doc_id == 29 else 1 if r.doc_id >= 25 else 2) and r.text.endswith(f"own line of document number {r.doc_id}")
 
 
+def test_a_line_repeated_often_in_few_documents_is_hot(spark, monkeypatch):
+    from tallyframe.llm import line_dedup as module
+
+    monkeypatch.setattr(module, "HOT_SHARE", 3)
+    hot = "the same line of twenty characters"
+    texts = {i: "\n".join([hot] * (200 if i < 3 else 0) + [f"another line, number {i % 2} of two", f"own line of document number {i}"]) for i in range(12)}
+    got = line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    for r in got.collect():
+        assert r.n_dropped == (200 * (r.doc_id < 2) + (r.doc_id < 10)) and r.text.endswith(f"own line of document number {r.doc_id}")
+
+
 def test_mixing(spark, odd):
     got = mix_sources(odd).collect()
     size = {s: sum(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, x in ODD if x == s) for s in ("a", "b", "c", None)}
