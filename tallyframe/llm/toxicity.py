@@ -103,36 +103,33 @@ class NonNegativePU:
         return self
 
 
-#: Buckets of one sample document that reach the driver; of a longer one's as many, drawn at random.
-MAX_SET = 8192
-
-
-def _at_most(buckets: set[int], text: str) -> np.ndarray:
+def _at_most(buckets: set[int], text: str, most: int) -> np.ndarray:
     found = np.sort(np.fromiter(buckets, "<i4"))
-    if len(found) > MAX_SET:
-        found = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))).choice(found, MAX_SET, replace=False)
+    if len(found) > most:
+        found = np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))).choice(found, most, replace=False)
     return found
 
 
-def _bucket_sets(docs: DataFrame) -> list[tuple[bool, bool, np.ndarray]]:
-    """For each text of a bounded sample, on the driver: whether it counts as positive, as unlabelled, and its buckets (MAX_SET at most, so 32 kB a document)."""
+def _bucket_sets(docs: DataFrame, most: int) -> list[tuple[bool, bool, np.ndarray]]:
+    """For each text of a bounded sample, on the driver: whether it counts as positive, as unlabelled, and its buckets, ``most`` at most."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordBuckets()
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(0)]
-            found = pa.array([_at_most(cache.of(t), t).tobytes() for t in texts], pa.binary())
+            found = pa.array([_at_most(cache.of(t), t, most).tobytes() for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), found], names=["p", "u", "b"])
 
     rows = docs.select("text", "p", "u").mapInArrow(sets, "p boolean, u boolean, b binary").collect()
     return [(r["p"], r["u"], np.frombuffer(r["b"], "<i4")) for r in rows]
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 3000, max_unlabelled: int = 6000, folds: int = 5, priors: tuple[float, float] = (0.01, 0.5)) -> NonNegativePU | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 3000, max_unlabelled: int = 6000, folds: int = 5, priors: tuple[float, float] = (0.01, 0.5), max_buckets: int = 8192) -> NonNegativePU | None:
     """Fit the classifier; None if no toxic row can be learned from.
 
     Uses rows whose crc32(id as text) mod ``folds`` is not 0: up to ``max_positive`` documents marked toxic and up to
-    ``max_unlabelled`` of all documents, both by smallest hash of the id. The class
+    ``max_unlabelled`` of all documents, both by smallest hash of the id. That sample goes to the driver, of a document with more than
+    ``max_buckets`` different features as many, drawn at random: 32 kB each, so the sample has a proven size; scores are of all features. The class
     prior is the share of toxic rows among labelled ones, kept within ``priors``: beyond them the correction has no use.
     Null ids and labels of null ids are not learned from; of rows with equal id each counts.
     """
@@ -146,7 +143,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     sample_p = marks.where("toxic = 1").select("id").orderBy(*order).limit(max_positive).withColumns({"p": F.lit(True), "u": F.lit(False)})
     sample_u = docs.where(learn).select(F.col(id_col).alias("id")).orderBy(*order).limit(max_unlabelled).withColumns({"p": F.lit(False), "u": F.lit(True)})
     sample = sample_p.unionByName(sample_u).groupBy("id").agg(F.bool_or("p").alias("p"), F.bool_or("u").alias("u"))
-    sets = _bucket_sets(texts.join(F.broadcast(sample), "id"))  # at most max_positive + max_unlabelled ids
+    sets = _bucket_sets(texts.join(F.broadcast(sample), "id"), max_buckets)  # at most max_positive + max_unlabelled ids
     positive, unlabelled = [b for p, _, b in sets if p], [b for _, u, b in sets if u]
     if not positive or not unlabelled:
         return None
