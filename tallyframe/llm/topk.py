@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -12,6 +10,8 @@ from .scratch import written
 
 #: Rows of a block of queries and of a block of candidates: 512 x 4096 scores of 8 bytes are 16 MB.
 QUERY_ROWS, CANDIDATE_ROWS = 512, 4096
+#: Blocks of queries and of candidates that meet in one cell of the grid, at most: all pairs of them are one task's work.
+QUERY_BLOCKS, CANDIDATE_BLOCKS = 64, 32
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -77,25 +77,36 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """The k best rows of ``vectors`` for each row of ``queries`` by inner product of floor(scale * x).
 
-    Every block of queries meets every block of rows (an equi-join on the block's number, so no cross
-    join); a task keeps k rows a query, and the blocks' results are merged by rank.
+    Blocks of queries and of rows are dealt over a grid: a cell gets up to QUERY_BLOCKS of the one and CANDIDATE_BLOCKS of the other by an equi-join on its number, so no cross join, and a block
+    of rows is sent once for each QUERY_BLOCKS blocks of queries, not for each of them. A cell keeps k rows a query; the cells' results are merged by rank.
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``. Ties go to the smaller id; a query never finds rows of its own id.
     Null vectors and those with null or non-finite components take no part, neither do null ids; where lengths differ, missing components
     count as zero. Products must fit 64 bits. Of queries of one id the smallest vector is asked, component by component;
     candidates of one id stand each for itself.
     """
-    rows, blocks = _blocks(integer_vectors(vectors, id_col, vec_col, scale).where("id is not null"), CANDIDATE_ROWS)
-    asked, _ = _blocks(integer_vectors(queries, id_col, vec_col, scale).where("id is not null").groupBy("id").agg(F.min("v").alias("v")), QUERY_ROWS)
-    sent = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "width")], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = sent.join(rows, "block").select("q_ids", "q_m", "q_width", "ids", "m", "width")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, x = (np.frombuffer(r[a], "<i8").reshape(-1, r[b]) if r[b] else np.zeros((len(r[c]) // 8, 0), "<i8") for a, b, c in (("q_m", "q_width", "q_ids"), ("m", "width", "ids")))
-                found = best_of_block(q, np.frombuffer(r["q_ids"], "<i8"), x, np.frombuffer(r["ids"], "<i8"), k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
+    rows, n_rows = _blocks(integer_vectors(vectors, id_col, vec_col, scale).where("id is not null"), CANDIDATE_ROWS)
+    asked, n_asked = _blocks(integer_vectors(queries, id_col, vec_col, scale).where("id is not null").groupBy("id").agg(F.min("v").alias("v")), QUERY_ROWS)
+    down = -(-n_asked // QUERY_BLOCKS)
+    # small tables are dealt over all cores
+    across = min(n_rows, max(-(-n_rows // CANDIDATE_BLOCKS), vectors.sparkSession.sparkContext.defaultParallelism))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sent = asked.select("ids", "m", "width", (F.col("block") % down).alias("i"), every(across).alias("j"))
+    met = rows.select("ids", "m", "width", every(down).alias("i"), (F.col("block") % across).alias("j"))
+
+    def search(asked_blocks: pa.Table, row_blocks: pa.Table) -> pa.Table:
+        read = lambda r: (np.frombuffer(r["m"], "<i8").reshape(-1, r["width"]) if r["width"] else np.zeros((len(r["ids"]) // 8, 0), "<i8"), np.frombuffer(r["ids"], "<i8"))
+        found, held = [], [read(r) for r in row_blocks.to_pylist()]
+        for q, ids in map(read, asked_blocks.to_pylist()):
+            parts = [best_of_block(q, ids, *r, k) for r in held]
+            if parts:
+                query, vec, score = (np.concatenate(c) for c in zip(*parts, strict=True))
+                order = np.lexsort((vec, -score, query))
+                query, vec, score = query[order], vec[order], score[order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                found.append((query[place < k], vec[place < k], score[place < k]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    merged = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    merged = sent.groupBy("i", "j").cogroup(met.groupBy("i", "j")).applyInArrow(search, "query_id long, vec_id long, score long")
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -234,9 +234,12 @@ def test_near_vectors_of_a_tiny_table(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0)]
 
 
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize(("down", "across"), [(64, 32), (1, 1), (2, 3)])
+def test_top_k(spark, monkeypatch, down, across):
     from tallyframe.llm import topk
 
+    monkeypatch.setattr(topk, "QUERY_BLOCKS", down)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCKS", across)
     monkeypatch.setattr(topk, "CANDIDATE_ROWS", 50)
     monkeypatch.setattr(topk, "QUERY_ROWS", 3)
     rng = np.random.default_rng(4)
