@@ -45,6 +45,13 @@ def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
+def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(keys), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
+
+
 def half_incidence(docs: DataFrame, id_col: str, text_col: str, words: int, parts: int) -> DataFrame:
     """Per block of documents and part of the hash space: keys of the lower half of all n-grams and their holders.
 
@@ -115,12 +122,16 @@ def shared_counts(incidence: DataFrame) -> DataFrame:
 
         plain = table.filter(pa.compute.is_valid(table["keys"]))
         if len(plain):
-            keys = [np.frombuffer(k, "<u4") for k in plain["keys"].to_pylist()]
-            holders = [np.frombuffer(k, "<u2") for k in plain["holders"].to_pylist()]
-            _, where, counts = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-            shared, at = counts[where] > 1, np.cumsum([0, *map(len, keys)])
+            keys, holders = ([np.frombuffer(k.as_buffer(), t) for k in plain[c]] for c, t in (("keys", "<u4"), ("holders", "<u2")))
+            # sorting the keys alone takes a fraction of the memory of telling where each stands
+            every = np.concatenate(keys)
+            every.sort()
+            shared = every[1:][every[1:] == every[:-1]]
+            shared = shared[np.flatnonzero(np.r_[True, shared[1:] != shared[:-1]])] if len(shared) else shared
+            del every
             for k, block in enumerate(plain["block"].to_pylist()):
-                own = holders[k][shared[at[k] : at[k + 1]] & (holders[k] != 0xFFFF)]
+                single = np.flatnonzero(holders[k] != 0xFFFF)
+                own = holders[k][single[_among(keys[k][single], shared)]]
                 if len(own):
                     places, n = np.unique(own, return_counts=True)
                     row(block, places.astype("<u2").tobytes(), n.astype("<u4").tobytes(), None, None)
