@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..sources.shared import stored
 from .skew import hot_join
 
 
@@ -64,7 +65,9 @@ def similar_texts(left: DataFrame, right: DataFrame, text: str, *by: str, thresh
     """
     group = list(by)
     one, two = (_worded(s, text, group) for s in (left, right))
-    pairs = similar_sets(word_sets(one, group), word_sets(two, group), threshold, group)
+    # read for counts, prefixes and comparisons
+    sets = [stored(word_sets(side, group), "word-sets") for side in (one, two)]
+    pairs = similar_sets(*sets, threshold, group)
     texts = two.groupBy(F.col("set").alias("right_set")).agg(F.count("*").alias("texts"))
     best = pairs.join(texts, "right_set").groupBy(F.col("left_set").alias("set")).agg(F.sum("texts").alias("matches"), F.max("similarity").alias("best"))
     return one.join(best, "set").select(*group, text, "matches", "best")

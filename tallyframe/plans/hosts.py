@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import new_folder
 
 MESSAGES = ("Request timed out", "API rate limit reached", "Invalid JSON in answer", "Quality threshold missed", "Unknown failure")
 
@@ -111,14 +109,14 @@ LATE_SQL = (
 )
 
 
-def task_lines(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a line of JSON for each event: blank ones, such that are cut off and such with text behind among them."""
+def task_lines(spark: SparkSession, sf_dir: str, ordered: bool = False) -> str:
+    """A folder with a line of JSON for each event: blank ones, such that are cut off and such with text behind among them. Ordered, the files in the order of their names hold the events in the order of their ids."""
     e = table(spark, sf_dir, "events")
     n = F.col("event_id")
     body = F.concat(F.lit('{"task_id": "e'), n.cast("string"), F.lit('", "question": "'), F.col("event_type"), F.lit('?", "want": {"k": '), F.get_json_object("props", "$.k"), F.lit('}, "level": '), (n % 4).cast("string"))
     line = F.when(n % 11 == 0, F.lit("  ")).when(n % 13 == 0, body).when(n % 17 == 0, F.concat(body, F.lit("} trailing"))).when(n % 19 == 0, F.concat(body, F.lit(', "more": [1, 2]}'))).otherwise(F.concat(body, F.lit("}")))
-    path = f"{shared_dir(spark)}/task-lines-{uuid.uuid4().hex}"
-    e.select(line.alias("value")).write.text(path)
+    path = new_folder(spark, "task-lines")
+    (e.orderBy("event_id") if ordered else e).select(line.alias("value")).write.text(path)
     return path
 
 

@@ -14,10 +14,10 @@ from ..functions.stats import TERMS
 from ..model import Criterion, Metric, ScorerConfig
 from ..operators import aggregate, compare, cost, plugin, quality, retrieval, scorers, similarity
 from ..sources import jsonl, optics_text
-from ..sources.shared import shared_dir
+from ..sources.shared import new_folder
 from ..streaming import results as streams, resume
 from ..sources.config import TaskConfig
-from . import hosts, suite
+from . import engine, hosts, suite
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,6 +57,14 @@ def metric_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(done.select("event_id", "success", "score", *[F.try_element_at("metrics", F.lit(n)).alias(n) for n in ("k", "flag", "absent", "opinion")], "error"))
 
 
+@query(f"WITH {hosts.ANSWERS_SQL} SELECT event_id, k >= 50 AS met_k, TRUE AS met_absent, flag AS met_flag, CAST(k AS BIGINT) AS predicted_k FROM answers WHERE NOT broken")
+def criteria_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the details of scored rows say of each criterion, and the answer that they keep."""
+    done = scorers.score(hosts.answers(spark, sf_dir), METRICS).where("error is null")
+    told = F.from_json("details", "predicted struct<k:bigint>, criteria_met map<string,boolean>")
+    return done.select("event_id", told.alias("d")).select("event_id", *[F.col("d.criteria_met")[n].alias(f"met_{n}") for n in ("k", "absent", "flag")], F.col("d.predicted.k").alias("predicted_k"))
+
+
 @query(
     f"WITH {hosts.RESULTS_SQL} SELECT model, count(*) AS total_tasks, count(*) FILTER (k >= 50 AND execution_time <= 100) AS met_all, round(avg((CAST(k >= 50 AS INT) + CAST(execution_time <= 100 AS INT)) / 2.0::DOUBLE), 6) AS avg_share FROM results GROUP BY model"
 )
@@ -383,12 +391,52 @@ def task_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("task_id", "instruction", "expected_output", F.col("metadata")["level"].alias("level"))
 
 
+_TASK_FIELDS = {"input_field": "question", "output_field": "want", "metadata_fields": ["level", "absent"]}
+_TASK_LINES_SQL = "events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0"
+
+
+@query(f"SELECT 'e' || event_id AS task_id, event_type || '?' || chr(10) || chr(10) || '- level: ' || event_id % 4 AS prompt FROM {_TASK_LINES_SQL}")
+def task_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an agent is asked: the instruction, and a line for each member of the metadata."""
+    found = jsonl.scan_tasks(spark, hosts.task_lines(spark, sf_dir), _TASK_FIELDS)
+    return found.select("task_id", jsonl.prompt(found).alias("prompt"))
+
+
+@query(f"SELECT 'e' || event_id AS task_id, event_type || '?' AS instruction FROM {_TASK_LINES_SQL} ORDER BY event_id LIMIT 100")
+def first_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred tasks in the order of files and lines, then shuffled: how many a run takes is its setting."""
+    return jsonl.scan_tasks(spark, hosts.task_lines(spark, sf_dir, ordered=True), _TASK_FIELDS, limit=100, seed=4).select("task_id", "instruction")
+
+
+@query(
+    f"WITH {hosts.ANSWERS_SQL}, v AS (SELECT *, event_id % 31 = 0 AS none FROM answers) SELECT CAST(event_id AS VARCHAR) AS task_id, NOT none AND NOT broken AND k >= 50 AND flag AS success, CASE WHEN none OR broken THEN 0.0 ELSE round((CAST(k >= 50 AS INT) + 1 + CAST(flag AS INT)) / 3.0::DOUBLE, 6) END AS score, "
+    "CASE WHEN none THEN 'no answer' WHEN broken THEN 'invalid JSON' END AS error FROM v"
+)
+def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of one task: each instance with its answer, if it has one, and faults as values of rows."""
+    own = hosts.answers(spark, sf_dir)
+    evaluation = {"metrics": [{"name": "k"}, {"name": "flag", "type": "binary"}, {"name": "absent"}], "success_criteria": [{"metric": "k", "value": 50}, {"metric": "absent", "operator": "<=", "value": 1}, {"metric": "flag", "value": True}]}
+    done = engine.run(own.select("task_id", "expected_output"), own.where("event_id % 31 <> 0").select("task_id", "predicted_output"), TaskConfig("events", evaluation=evaluation))
+    return rounded(done.select("task_id", "success", "score", "error"))
+
+
+@query(f"WITH {hosts.RESULTS_SQL} SELECT CASE event_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS run_id, count(*) AS total_tasks, count(*) FILTER (success) AS successful_tasks, round(avg(score), 6) AS avg_score, round(sum(cost), 6) AS total_cost, count(error) AS failed, round(sum(k), 6)::DOUBLE AS sum_k FROM results GROUP BY ALL")
+def saved_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs appended to one folder of JSON lines, read again and told apart by their ids."""
+    path = new_folder(spark, "runs")
+    rows = hosts.results(spark, sf_dir).withColumn("details", F.lit(None).cast("string"))
+    for n, run_id in enumerate(("even", "odd")):
+        jsonl.save_results(rows.where(F.col("event_id") % 2 == n), path, run_id)
+    found = jsonl.scan_runs(spark, [path])
+    return rounded(found.groupBy("run_id").agg(F.count("*").alias("total_tasks"), F.count_if("success").alias("successful_tasks"), F.avg("score").alias("avg_score"), F.sum("cost").alias("total_cost"), F.count("error").alias("failed"), F.sum(F.col("metrics")["k"]).alias("sum_k")))
+
+
 @query(f"WITH {hosts.RESULTS_SQL} SELECT model, count(*) AS total_tasks, count(*) FILTER (success) AS successful_tasks, round(sum(score), 6) AS sum_score, round(sum(cost), 6) AS total_cost FROM results GROUP BY model")
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals of a stream of results once it has caught up: one row a model reaches the driver."""
     name = f"totals_{uuid.uuid4().hex}"
     totals = streams.running_totals(hosts.results_of(hosts.event_stream(spark, sf_dir)))
-    totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start().awaitTermination()
+    totals.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_folder(spark, "totals")).trigger(availableNow=True).start().awaitTermination()
     return rounded(spark.table(name))
 
 
@@ -397,8 +445,7 @@ def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Final windows of a stream in four parts, started anew for each: rows behind the watermark are dropped, late ones before it count."""
-    mark = uuid.uuid4().hex
-    source, output, checkpoint = (f"{shared_dir(spark)}/{name}-{mark}" for name in ("late-in", "late-out", "late-check"))
+    source, output, checkpoint = (new_folder(spark, name) for name in ("late-in", "late-out", "late-check"))
     for batch in hosts.late_batches(spark, sf_dir):
         batch.write.mode("append").parquet(source)
         streams.append_windows(spark.readStream.schema(batch.schema).parquet(source), output, checkpoint, "6 hours", "12 hours").awaitTermination()
@@ -410,8 +457,7 @@ def late_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {hosts.SUITE_SQL} SELECT task, task_id, success, round(score, 6) AS score, error FROM suite WHERE NOT none")
 def resumed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run whose stream stops after half of the answers, goes on with all of them, and is started anew without its checkpoint: each task is scored once."""
-    mark = uuid.uuid4().hex
-    source, output, *checks = (f"{shared_dir(spark)}/{name}-{mark}" for name in ("resume-in", "resume-out.jsonl", "resume-check", "resume-again"))
+    source, output, *checks = (new_folder(spark, name) for name in ("resume-in", "resume-out", "resume-check", "resume-again"))
     tasks, answers = hosts.suite_rows(spark, sf_dir)
     asked = suite.suite_of(spark, map(TaskConfig.of, hosts.SUITE))
     for part, check in ((answers.where(F.col("task_id") % 2 == 0), checks[0]), (answers, checks[0]), (answers.limit(0), checks[1])):

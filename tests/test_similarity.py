@@ -2,12 +2,15 @@
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.operators import skew
 from tallyframe.operators.similarity import cited, similar_texts
 from tallyframe.plans import queries as plans
+from tallyframe.sources import shared
 
 
 def words(text):
@@ -78,3 +81,11 @@ def test_cited(spark):
 def test_plan_has_no_cross_join(spark):
     plan = plans.QUERIES["fuzzy_turns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan and "Python" not in plan and Counter(plan.split())["Exchange"] > 0
+
+
+def test_stored_tables_are_released(spark):
+    table = shared.stored(spark.range(3).withColumn("t", F.lit("x")), "kept")
+    path = Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert table.count() == 3 and path.is_dir() and path.parent == Path(shared.shared_dir(spark).removeprefix("file:"))
+    shared.release(spark)
+    assert not path.exists()
