@@ -14,7 +14,7 @@ from ..functions.stats import TERMS
 from ..model import Criterion, Metric, ScorerConfig
 from ..operators import aggregate, compare, cost, plugin, quality, retrieval, scorers, similarity
 from ..sources import jsonl, optics_text
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, stored
 from ..streaming import results as streams, resume
 from ..sources.config import TaskConfig
 from . import engine, hosts, suite
@@ -348,9 +348,9 @@ def suite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     "round(CASE WHEN task IN ('t0', 't1', 't2') THEN avg(kk) END, 6) AS k_mean, round(CASE WHEN task IN ('t0', 't1', 't2') THEN stddev_pop(kk) END, 6) AS k_std FROM v GROUP BY task"
 )
 def suite_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the tasks of a suite and the summary of those metrics that each has."""
+    """Totals of the tasks of a suite and the summary of those metrics that each has, from its saved rows."""
     k = F.try_element_at("metrics_summary", F.lit("k"))
-    return rounded(suite.suite_totals(_suite(spark, sf_dir)).select("task", "total_tasks", "successful_tasks", "success_rate", "avg_score", k["mean"].alias("k_mean"), k["std"].alias("k_std")))
+    return rounded(suite.suite_totals(stored(_suite(spark, sf_dir), "suite-rows")).select("task", "total_tasks", "successful_tasks", "success_rate", "avg_score", k["mean"].alias("k_mean"), k["std"].alias("k_std")))
 
 
 # ---- quality

@@ -80,7 +80,7 @@ def _scored(rows: DataFrame, method: str) -> DataFrame:
 
 
 def suite_totals(results: DataFrame) -> DataFrame:
-    """Totals and the summary of metrics of each task, in one pass over the rows each: ``task``, the totals, and ``metrics_summary`` by metric."""
+    """Totals and the summary of metrics of each task: ``task``, the totals, and ``metrics_summary`` by metric. ``results`` is read three times, so it should be a saved table."""
     totals = aggregate.totals(results, "task")
     found = aggregate.found_metrics(results, "task").groupBy("task").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("metric"), F.struct("mean", "min", "max", "std"))))).alias("metrics_summary"))
     return totals.join(found, "task", "left")
