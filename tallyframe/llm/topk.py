@@ -32,10 +32,12 @@ def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
         m = np.zeros((len(vectors), width), dtype="<i8")  # missing components count as zero
         for k, row in enumerate(vectors):
             m[k, : len(row)] = row
-        return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()]), "m": pa.array([m.tobytes()]), "width": pa.array([width], pa.int32())})
+        # components are sent in as few bytes as hold all of the block
+        size = next(b for b in (2, 4, 8) if not m.size or -(1 << 8 * b - 1) <= m.min() and m.max() < 1 << 8 * b - 1)
+        return pa.table({"block": table["block"][:1], "ids": pa.array([table["id"].to_numpy().astype("<i8").tobytes()]), "m": pa.array([m.astype(f"<i{size}").tobytes()]), "width": pa.array([width], pa.int32()), "bytes": pa.array([size], pa.int32())})
 
     numbered = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
-    return numbered.groupBy("block").applyInArrow(pack, "block int, ids binary, m binary, width int"), blocks
+    return numbered.groupBy("block").applyInArrow(pack, "block int, ids binary, m binary, width int, bytes int"), blocks
 
 
 def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +92,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     # small tables are dealt over all cores
     across = min(n_rows, max(-(-n_rows // CANDIDATE_BLOCKS), vectors.sparkSession.sparkContext.defaultParallelism))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    sent = asked.select("ids", "m", "width", (F.col("block") % down).alias("i"), every(across).alias("j"))
-    met = rows.select("ids", "m", "width", every(down).alias("i"), (F.col("block") % across).alias("j"))
+    sent = asked.select("ids", "m", "width", "bytes", (F.col("block") % down).alias("i"), every(across).alias("j"))
+    met = rows.select("ids", "m", "width", "bytes", every(down).alias("i"), (F.col("block") % across).alias("j"))
 
     def search(asked_blocks: pa.Table, row_blocks: pa.Table) -> pa.Table:
-        read = lambda r: (np.frombuffer(r["m"], "<i8").reshape(-1, r["width"]) if r["width"] else np.zeros((len(r["ids"]) // 8, 0), "<i8"), np.frombuffer(r["ids"], "<i8"))
+        read = lambda r: (np.frombuffer(r["m"], f"<i{r['bytes']}").astype(np.int64).reshape(-1, r["width"]) if r["width"] else np.zeros((len(r["ids"]) // 8, 0), "<i8"), np.frombuffer(r["ids"], "<i8"))
         found, held = [], [read(r) for r in row_blocks.to_pylist()]
         for q, ids in map(read, asked_blocks.to_pylist()):
             parts = [best_of_block(q, ids, *r, k) for r in held]
