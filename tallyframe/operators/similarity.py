@@ -83,6 +83,7 @@ def cited(predicted: DataFrame, expected: DataFrame, text: str, *by: str, thresh
     sides = [s.where(F.col(text).isNotNull()).select(*group, text).distinct().withColumn(side, F.lit(1)) for s, side in ((predicted, "_p"), (expected, "_e"))]
     p, e = (s.alias(a) for s, a in zip(sides, "pe", strict=True))
     both = p.join(e, _null_safe("p", "e", [*group, text]), "full").select(*[F.coalesce(F.col(f"p.{c}"), F.col(f"e.{c}")).alias(c) for c in (*group, text)], "_p", "_e")
+    both = stored(both, "cited-texts")  # read three times
     extra, missed = both.where("_e is null").select(*group, text), both.where("_p is null").select(*group, text)
     near = similar_texts(extra, missed, text, *group, threshold=threshold).groupBy(*group).agg(F.count("*").alias("partial"))
     counted = both.groupBy(*group).agg(F.count("_p").alias("num_predicted"), F.count("_e").alias("num_expected"), F.count_if(F.col("_p").isNotNull() & F.col("_e").isNotNull()).alias("exact"))
