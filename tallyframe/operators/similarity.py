@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..sources.shared import stored
@@ -13,64 +13,91 @@ def _null_safe(left: str, right: str, columns: list[str]) -> list[Column]:
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
 
 
-def _worded(df: DataFrame, text: str, group: list[str]) -> DataFrame:
-    """The different texts of a group with their sorted different words and ``set``, a digest of group and words. Texts without words have none."""
-    words = F.array_sort(F.array_distinct(T.tokens(F.col(text))))
-    return df.select(*group, text).distinct().withColumn("words", words).where(F.size("words") > 0).withColumn("set", F.md5(F.to_json(F.struct(*group, "words"))))
+def _numbered_texts(df: DataFrame, text: str, group: list[str]) -> DataFrame:
+    """The different texts of a group that have words, each with a number: stored, so that numbers stay."""
+    found = df.select(*group, text).distinct().where(F.size(T.tokens(F.col(text))) > 0)
+    return stored(found.withColumn("_id", F.monotonically_increasing_id()), "numbered-texts")
 
 
-def word_sets(worded: DataFrame, group: list[str]) -> DataFrame:
-    """The different sets of words of a group: ``set``, its group and its ``words``."""
-    return worded.groupBy("set").agg(*[F.first(c).alias(c) for c in (*group, "words")])
+def _listed(texts: DataFrame, text: str, group: list[str]) -> DataFrame:
+    """A row for each different word of a text: ``_id``, ``_n`` (how many it has) and ``_token``, a 64-bit hash of group and word."""
+    home = F.xxhash64(F.to_json(F.struct(*group))) if group else F.lit(0)
+    words = texts.select("_id", home.alias("_home"), F.array_distinct(T.tokens(F.col(text))).alias("_words"))
+    return words.select("_id", F.size("_words").alias("_n"), "_home", F.explode("_words").alias("_word")).select("_id", "_n", F.xxhash64("_home", "_word").alias("_token"))
 
 
-def _fits(n: Column, m: Column, threshold: float) -> Column:
-    """Whether sets of n and m words can be similar at all."""
-    return (n > threshold * m) & (m > threshold * n)
+def _least(n: Column, threshold: float) -> Column:
+    """Words that a similar set must share with one of n words at least."""
+    return F.floor(n * threshold).cast("int") + 1
 
 
-def _prefixes(sets: DataFrame, listed: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """The rarest words of each set that a similar one cannot all miss, with their place: ``by``, ``word``, ``set``, ``n``, ``place``."""
-    order = Window.partitionBy("set").orderBy("df", "word")
-    least = F.floor(F.col("n") * threshold) + 1  # words that a similar set must share at least
-    return listed.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") <= F.col("n") - F.least(least, F.col("n"))).select(*by, "word", "set", "n", "place")
+def _by_text(listed: DataFrame, threshold: float) -> DataFrame:
+    """Texts that can be similar to any: ``_id``, ``_n``, ``_tokens`` (those that both tables have, rarest first) and ``_class``, a digest of both.
+
+    A token becomes one number that sorts by rarity: a byte for the power of 2 ** (1 / 4) that its frequency reaches, then 56 bits of its hash.
+    """
+    rarity = F.floor(4 * F.log2(F.col("_df").cast("double"))).cast("long")
+    code = F.shiftleft(rarity, 56).bitwiseOR(F.shiftrightunsigned("_token", 8))
+    found = listed.groupBy("_id").agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list(code)).alias("_tokens")).where(F.size("_tokens") >= _least(F.col("_n"), threshold))
+    return found.withColumn("_class", F.unhex(F.md5(F.to_json(F.struct("_n", "_tokens")))))
+
+
+def _bits(tokens: Column) -> Column:
+    """A bitmap of tokens in 64 bits."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(bit(t)))
 
 
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float, group: list[str]) -> DataFrame:
-    """Pairs of ``word_sets`` of one group whose Jaccard similarity is over ``threshold`` (0 < threshold < 1): ``left_set``, ``right_set``, ``similarity``.
+def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
+    """The rarest tokens of each class that a similar one cannot all miss, with the number of tokens from there on (``left``), the number of all (``k``) and a bitmap of all."""
+    k = F.size("_tokens")
+    first = F.slice("_tokens", F.lit(1), k - _least(F.col("_n"), threshold) + 1)
+    about = classes.select("_rep", F.col("_n").alias("n"), k.alias("k"), _bits(F.col("_tokens")).alias("bits"), F.posexplode(first).alias("place", "token"))
+    return about.withColumn("left", F.col("k") - F.col("place")).drop("place")
 
-    Words are ordered by how many sets hold them, rarest first. Similar sets of n and m words share more than threshold times n words, so one of the first n - floor(threshold * n)
-    of each is common to both (prefix filter), and n and m differ by no more than that share (length filter). Only sets that meet under such a word, with enough words left behind it
-    in both, are compared. Frequent words meet their frequencies by broadcast, all else moves by keys; nothing is paired without a key.
+
+def similar_classes(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes whose Jaccard similarity is over ``threshold`` (0 < threshold < 1): ``left_rep``, ``right_rep``, ``similarity``.
+
+    Tokens are in one order, rarest first. Similar sets of n and m words share more than threshold times n words, so one of the first k - floor(threshold * n) of the k tokens that count is common to both
+    (prefix filter), and n and m differ by no more than that share (length filter). Only classes that meet under such a token are compared, if enough tokens are left from there on in both, and if the tokens whose bit the other's
+    bitmap lacks, which it cannot have, leave enough. Nothing is paired without a key.
     """
-    every = [s.select(*group, "set", F.size("words").alias("n"), F.explode("words").alias("word")) for s in (left, right)]
-    together = every[0].unionByName(every[1])
-    counted = together.groupBy("word").agg(F.count("*").alias("df")).withColumn("many", F.col("df"))
-    total = together.count()
-    one, two = (_prefixes(s, hot_join(e, counted, ["word"], "many", total), threshold, group) for s, e in zip((left, right), every, strict=True))
+    one, two = (_prefixes(side, threshold).alias(name) for side, name in ((left, "l"), (right, "r")))
     n, m = F.col("l.n"), F.col("r.n")
-    # more than threshold of the union: shared * (1 + threshold) > threshold * (n + m)
-    enough = F.least(n - F.col("l.place"), m - F.col("r.place")) * (1 + threshold) > threshold * (n + m)
-    met = one.alias("l").join(two.alias("r"), [*_null_safe("l", "r", group), F.col("l.word") == F.col("r.word"), _fits(n, m, threshold), enough]).select(F.col("l.set").alias("left_set"), F.col("r.set").alias("right_set")).distinct()
-    words = [s.select(F.col("set").alias(f"{side}_set"), F.col("words").alias(f"{side}_words")) for s, side in ((left, "left"), (right, "right"))]
-    compared = met.join(words[0], "left_set").join(words[1], "right_set")
-    return compared.select("left_set", "right_set", T.jaccard(F.col("left_words"), F.col("right_words")).alias("similarity")).where(F.col("similarity") > threshold)
+    lacking = lambda a, b: F.bit_count(F.col(f"{a}.bits").bitwiseAND(F.bitwise_not(F.col(f"{b}.bits"))))
+    most = F.least(F.col("l.left"), F.col("r.left"), F.col("l.k") - lacking("l", "r"), F.col("r.k") - lacking("r", "l"))
+    # more than threshold of the union: shared * (1 + threshold) > threshold * (n + m); rounding is left to the comparison
+    enough = (most + 1e-6) * (1 + threshold) > threshold * (n + m)
+    met = one.join(two, [F.col("l.token") == F.col("r.token"), (n > threshold * m) & (m > threshold * n), enough]).select(F.col("l._rep").alias("left_rep"), F.col("r._rep").alias("right_rep")).distinct()
+    sides = [s.select(F.col("_rep").alias(f"{side}_rep"), F.col("_n").alias(f"{side}_n"), F.col("_tokens").alias(f"{side}_tokens")) for s, side in ((left, "left"), (right, "right"))]
+    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
+    compared = met.join(sides[0], "left_rep").join(sides[1], "right_rep").withColumn("shared", shared)
+    return compared.select("left_rep", "right_rep", T.ratio(F.col("shared"), F.col("left_n") + F.col("right_n") - F.col("shared")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def similar_texts(left: DataFrame, right: DataFrame, text: str, *by: str, threshold: float = 0.8) -> DataFrame:
     """For each different text of ``left`` (within ``by``) that has similar ones in ``right``: ``by``, the text, ``matches`` (different similar texts), ``best`` (the greatest similarity).
 
-    Similar means a Jaccard similarity of the sets of lower-cased words of more than ``threshold``. Texts of equal sets are compared once, so copies cost no pairs. Null texts and texts without words are similar to none;
-    null groups match null groups.
+    Similar means a Jaccard similarity of the sets of lower-cased words of more than ``threshold``. Null texts and texts without words are similar to none; null groups match null groups.
+
+    Words are counted within their group, as the same word may be rare among all rows and in each text of a group. Words that only one table has in a group cannot be shared: they count in a set's size alone. So texts with
+    as many words and the same words of both tables are one class, compared once, whatever else they hold: copies, and titles that differ by a number, cost no pairs. Words are compared as 56 bits of a hash of group and word.
     """
     group = list(by)
-    one, two = (_worded(s, text, group) for s in (left, right))
-    # read for counts, prefixes and comparisons
-    sets = [stored(word_sets(side, group), "word-sets") for side in (one, two)]
-    pairs = similar_sets(*sets, threshold, group)
-    texts = two.groupBy(F.col("set").alias("right_set")).agg(F.count("*").alias("texts"))
-    best = pairs.join(texts, "right_set").groupBy(F.col("left_set").alias("set")).agg(F.sum("texts").alias("matches"), F.max("similarity").alias("best"))
-    return one.join(best, "set").select(*group, text, "matches", "best")
+    texts = [_numbered_texts(s, text, group) for s in (left, right)]
+    listed = [_listed(t, text, group) for t in texts]
+    side = [e.groupBy("_token").agg(F.count("*").alias(c)) for e, c in zip(listed, ("_l", "_r"), strict=True)]
+    counted = stored(side[0].join(side[1], "_token").select("_token", (F.col("_l") + F.col("_r")).alias("_df"), (F.col("_l") + F.col("_r")).alias("_many")), "token-counts")
+    total = counted.agg(F.sum("_df")).first()[0] or 0
+    ids = [_by_text(hot_join(e, counted, ["_token"], "_many", total), threshold) for e in listed]
+    ids[0] = stored(ids[0], "text-tokens")  # read for classes and for their texts
+    about = [F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_tokens").alias("_tokens"), F.count("*").alias("_texts")]
+    one, two = (stored(t.groupBy("_class").agg(*about), "token-classes") for t in ids)  # read for prefixes and comparisons
+    pairs = similar_classes(one, two, threshold)
+    best = pairs.join(two.select(F.col("_rep").alias("right_rep"), "_texts"), "right_rep").groupBy(F.col("left_rep").alias("_rep")).agg(F.sum("_texts").alias("matches"), F.max("similarity").alias("best"))
+    found = ids[0].select("_id", "_class").join(one.select("_class", "_rep").join(best, "_rep"), "_class")
+    return texts[0].join(found, "_id").select(*group, text, "matches", "best")
 
 
 def cited(predicted: DataFrame, expected: DataFrame, text: str, *by: str, threshold: float = 0.8) -> DataFrame:

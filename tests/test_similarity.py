@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import skew
+from tallyframe.operators import similarity, skew
 from tallyframe.operators.similarity import cited, similar_texts
 from tallyframe.plans import queries as plans
 from tallyframe.sources import shared
@@ -89,3 +89,16 @@ def test_stored_tables_are_released(spark):
     assert table.count() == 3 and path.is_dir() and path.parent == Path(shared.shared_dir(spark).removeprefix("file:"))
     shared.release(spark)
     assert not path.exists()
+
+
+def test_texts_that_differ_by_words_of_their_own_are_one_class(spark, monkeypatch):
+    """Titles of one group share their frequent words; those that end in a number each cost one comparison together, and other groups' titles none."""
+    seen = []
+    real = similarity.similar_classes
+    monkeypatch.setattr(similarity, "similar_classes", lambda one, two, t: seen.append((one.count(), two.count(), real(one, two, t).count())) or real(one, two, t))
+    start = "{} bolt brand economy size no"
+    left = [(g, start.format(k)) for g in (None, 1) for k in ("hot", "cold")]
+    right = [(g, f"{start.format(k)} {n}") for g in (None, 1) for k in ("hot", "cold") for n in range(100, 200)]
+    got = similar_texts(spark.createDataFrame(left, "g int, t string"), spark.createDataFrame(right, "g int, t string"), "t", "g").collect()
+    assert {(x.g, x.t): (x.matches, round(x.best, 9)) for x in got} == {k: (100, round(6 / 7, 9)) for k in left}
+    assert seen == [(4, 4, 4)]
