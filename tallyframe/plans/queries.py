@@ -6,6 +6,7 @@ import math
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import optics, template, text as T
@@ -622,10 +623,11 @@ def lens_design(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merit_minimized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curvature and thickness within bounds that make a merit least: what is missing to a target, a distance squared and a small price of curvature."""
-    a, b = F.col("p_size") / 40.0 - 0.613, F.col("p_retailprice") / 37
-    merit = lambda x: F.greatest(F.lit(0.0), 0.1 - (F.get(x, 0) - a)) + 0.3 * F.pow(F.get(x, 1) - b, 2) + 0.01 * (F.get(x, 0) + 1)
-    low, high = F.array(F.lit(-1.0), F.lit(0.5)), F.array(F.lit(1.0), F.lit(50.0))
-    found = hosts.table(spark, sf_dir, "part").select("p_partkey", optics.minimized(merit, F.array(F.lit(0.0), F.lit(5.0)), low, high, rounds=2, sections=44).alias("m"))
+    parts = hosts.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / 40.0 - 0.613).alias("a"), (F.col("p_retailprice") / 37).alias("b"))
+    merit = lambda x, a, b: np.maximum(0.0, 0.1 - (x[0] - a)) + 0.3 * (x[1] - b) ** 2 + 0.01 * (x[0] + 1)
+    numbers = lambda *values: [F.lit(v) for v in values]
+    least = optics.minimized_batches(merit, numbers(0.0, 5.0), numbers(-1.0, 0.5), numbers(1.0, 50.0), [F.col("a"), F.col("b")], rounds=2, sections=44)
+    found = optics.spread(parts).select("p_partkey", least.alias("m"))
     return found.select("p_partkey", F.round(F.col("m.x")[0], 2).alias("curvature"), F.round(F.col("m.x")[1], 2).alias("thickness"), F.round("m.value", 4).alias("merit"))
 
 

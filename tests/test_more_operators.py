@@ -147,6 +147,35 @@ def test_minimized(spark):
     assert none.x == [] and none.value == 4.0
 
 
+@pytest.mark.parametrize("rounds", [1, 25])
+def test_minimized_batches(spark, rounds):
+    """Over numpy arrays the same points are found as by columns; a row that has no value keeps its start."""
+    rows = [(0.3, 2.0, 0.0, 0.0), (-5.0, 9.0, 9.0, -9.0), (1.0, 1.0, 0.5, 0.5), (None, 1.0, 0.5, 0.25)]
+    df = spark.createDataFrame(rows, "a double, b double, s double, t double").coalesce(1)
+    bowl = lambda x: F.pow(F.get(x, 0) - F.col("a"), 2) + F.pow(F.get(x, 1) - F.col("b"), 2) + 0.8 * (F.get(x, 0) - F.col("a")) * (F.get(x, 1) - F.col("b"))
+    array = lambda x, a, b: (x[0] - a) ** 2 + (x[1] - b) ** 2 + 0.8 * (x[0] - a) * (x[1] - b)
+    low, high = [F.lit(-1.0), F.lit(0.0)], [F.lit(1.0), F.lit(3.0)]
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(x, a, b):
+        calls.add(1)
+        return array(x, a, b)
+
+    got = df.select(optics.minimized(bowl, F.array("s", "t"), F.array(*low), F.array(*high), rounds=rounds).alias("m"), optics.minimized_batches(counted, [F.col("s"), F.col("t")], low, high, [F.col("a"), F.col("b")], rounds=rounds).alias("n")).collect()
+    for r in got[:3]:
+        assert r.n.x == pytest.approx(r.m.x, abs=1e-6) and r.n.value == pytest.approx(r.m.value, abs=1e-9)
+    assert got[3].n.value is None and got[3].n.x == [0.5, 0.25]
+    assert calls.value == 1 + rounds * 2 * (2 + 48 + 4)  # for all rows together
+    flat = df.select(optics.minimized_batches(lambda x: 0 * x[0], [F.lit(0.2)], [F.lit(0.0)], [F.lit(1.0)], []).alias("m")).first().m
+    assert flat.x == [0.0] and flat.value == 0.0
+
+
+def test_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(optics, "ROWS_EACH", 100)
+    rows = optics.spread(spark.range(950).coalesce(1))
+    assert rows.rdd.getNumPartitions() == 10 and sorted(r.id for r in rows.collect()) == list(range(950)) and optics.spread(spark.range(0)).count() == 0
+
+
 # ---- own scorers
 
 
