@@ -59,11 +59,20 @@ def run_suite(tasks: DataFrame, answers: DataFrame, suite: DataFrame) -> DataFra
     (at most MOST_TASKS rows, broadcast), and rows of one method are scored together, whichever tasks they are of: how many tasks there are does not change
     the plan, and a large task is as many splits as it has. Rows of a task that is not in the suite fail with an error, as do tasks without an answer.
     """
+    return score_pairs(paired(tasks, answers), suite)
+
+
+def paired(tasks: DataFrame, answers: DataFrame, how: str = "left") -> DataFrame:
+    """Tasks with their answers and measures."""
     have = answers.columns
     measures = {c: (F.coalesce(F.col(c), F.lit(0.0)) if c in have else F.lit(0.0)).cast("double") for c in MEASURES}
     own = answers.select("task", "task_id", "predicted_output", *[c for c in MEASURES if c in have])
-    paired = tasks.select("task", "task_id", F.nullif("expected_output", F.lit("")).alias("expected_output")).join(own, ["task", "task_id"], "left").withColumns(measures)
-    configured = paired.join(F.broadcast(suite.select("task", *[F.col(c.removeprefix("__")).alias(c) for c in _SUITE_COLUMNS])), "task", "left")
+    return tasks.select("task", "task_id", F.nullif("expected_output", F.lit("")).alias("expected_output")).join(own, ["task", "task_id"], how).withColumns(measures)
+
+
+def score_pairs(pairs: DataFrame, suite: DataFrame) -> DataFrame:
+    """Result rows of ``paired`` tasks. They are read once for each method, so they should be a stored table if they are many."""
+    configured = pairs.join(F.broadcast(suite.select("task", *[F.col(c.removeprefix("__")).alias(c) for c in _SUITE_COLUMNS])), "task", "left")
     methods = [r[0] for r in suite.select("method").distinct().orderBy("method").collect()]  # as many as there are scorers, at most
     parts = [_scored(configured.where(F.col("__method") == m), m) for m in methods]
     none = {"success": F.lit(False), "score": F.lit(0.0), "metrics": F.create_map().cast("map<string,double>"), "details": F.lit(None).cast("string"), "error": F.lit("no such task")}

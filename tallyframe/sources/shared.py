@@ -34,11 +34,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to a new folder and read again: made once, however often it is read, and not made again if an executor is lost."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._tf_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table from ``stored`` that nothing reads any more."""
+    _WRITTEN[df.sparkSession.sparkContext.applicationId].remove(df._tf_path)
+    _delete(df.sparkSession, df._tf_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete these folders; call it when no result that was made from them is read any more."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)

@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.suite import MEASURES, run_suite, save_suite, scan_suite_results
+from ..plans.suite import MEASURES, paired, save_suite, scan_suite_results, score_pairs
+from ..sources.shared import discard, stored
 
 KEYS = ["task", "task_id"]
 ANSWER = "task string, task_id string, predicted_output string, execution_time double, cost double, latency double"
@@ -29,9 +30,16 @@ def unfinished(rows: DataFrame, output: str, run_id: str) -> DataFrame:
     return rows.join(done, KEYS, "left_anti")
 
 
+def _score(pairs: DataFrame, suite: DataFrame, output: str, run_id: str) -> None:
+    """Score and append pairs: they are made once and stored, as each method reads them."""
+    pairs = stored(pairs, "resume-pairs")
+    save_suite(score_pairs(pairs, suite), output, run_id)
+    discard(pairs)
+
+
 def resume_suite(tasks: DataFrame, answers: DataFrame, suite: DataFrame, output: str, run_id: str) -> None:
     """Score the tasks that the run has no result of, and append them. A run that was stopped goes on; one that is complete writes nothing."""
-    save_suite(run_suite(unfinished(tasks, output, run_id), one_answer(answers), suite), output, run_id)
+    _score(paired(unfinished(tasks, output, run_id), one_answer(answers)), suite, output, run_id)
 
 
 def score_stream(answers: DataFrame, tasks: DataFrame, suite: DataFrame, output: str, run_id: str, checkpoint: str) -> StreamingQuery:
@@ -43,7 +51,6 @@ def score_stream(answers: DataFrame, tasks: DataFrame, suite: DataFrame, output:
 
     def step(batch: DataFrame, _: int) -> None:
         new = unfinished(one_answer(batch), output, run_id)
-        asked = tasks.join(new.select(*KEYS), KEYS, "left_semi")
-        save_suite(run_suite(asked, new, suite), output, run_id)
+        _score(paired(tasks, new, "inner"), suite, output, run_id)
 
     return answers.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 import json
 from collections import Counter
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -109,3 +110,18 @@ def test_a_batch_run_is_resumed(spark, run, tmp_path):
     assert {x.task_id for x in rows if x.error == "no answer"} == {"5"}
     resume.resume_suite(tasks, answers, asked, out, "another")
     assert suite.scan_suite_results(spark, out).count() == 24
+
+
+def test_pairs_are_made_once_and_nothing_is_scored_twice(run, monkeypatch):
+    """Each method reads stored pairs, not the joins behind them; a step without new answers has none; no pairs are left behind."""
+    _, put, go, saved = run
+    steps = []
+    real = resume.score_pairs
+    monkeypatch.setattr(resume, "score_pairs", lambda pairs, suite: steps.append((pairs.inputFiles(), pairs.count())) or real(pairs, suite))
+    put("1", [("a", "0", 3), ("b", "0", 2)])
+    go()
+    go("other")
+    assert [n for _, n in steps] == [2, 0]
+    for files, _ in steps:
+        assert files and all("resume-pairs" in f and not Path(f.removeprefix("file://")).exists() for f in files)
+    assert saved() == [("a", "0", True, 3.0), ("b", "0", False, 2.0)]
