@@ -84,7 +84,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all documents except in that with the largest id. Returns all columns of
     ``docs`` with the text that stays, and ``n_lines`` (before) and ``n_dropped``.
 
-    Keys are compared by two 64-bit hashes. There are at least three batches, more so that none has over BATCH_LINES lines; they are dealt by a hash of the id, so
+    Keys are compared by two 64-bit hashes. There is at least one batch more than ``fanout``, so that the last one merges with a compacted run instead of ``fanout`` small ones, and more so that none has over BATCH_LINES lines; they are dealt by a hash of the id, so
     all rows of a document fall into one batch. Lines with a hot key, in more than one of HOT_SHARE lines, meet a broadcast table of these at most HOT_SHARE keys; all others
     meet theirs in a join in which no key has more lines than that. Null or empty text is one empty line and
     stays as it is, null as empty; rows with equal id count as one document and
@@ -101,7 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "line-hashes",
     )
     lines_ = light.count()  # from the footers
-    batches = batches or max(3, -(-lines_ // BATCH_LINES))
+    batches = batches or max(fanout + 1, -(-lines_ // BATCH_LINES))
     index = LineRuns(min(MAX_BUCKETS, max(8, -(-lines_ // BUCKET_LINES))), fanout)
     for b in range(batches):
         batch = light.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)

@@ -43,6 +43,17 @@ def test_line_dedup(spark, odd):
         assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect()) == want
 
 
+def test_levels_serve_the_last_batch(spark, odd, monkeypatch):
+    """Of as many batches as a call makes by itself, the last one merges with one compacted run, not with a run for each batch."""
+    from tallyframe.llm.line_dedup import LineRuns
+
+    met = []
+    real = LineRuns.add
+    monkeypatch.setattr(LineRuns, "add", lambda self, counted, last=False: met.append([len(level) for level in self.levels]) or real(self, counted, last))
+    line_dedup(odd)
+    assert met == [[0], [1], [2], [0, 1]]
+
+
 def test_merges_use_the_order_of_the_runs(spark):
     from tallyframe.llm.line_dedup import KEY, LineRuns
     from tallyframe.llm.scratch import discard, ordered_scans
