@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import roots
+from .blocks import give_back, roots
 from .components import components
 from .hot import hot_join
 from .scratch import discard, sized_shuffles, written
@@ -257,16 +257,21 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     N-grams in few sets add to the pairs of their holders; those in many are columns of a dense matrix, multiplied some at a time.
     """
     n = len(sets)
-    holder = np.repeat(np.arange(n), [len(h) for h in sets])
-    _, where, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(where, kind="stable")
-    holder, starts = holder[order], np.concatenate([[0], np.cumsum(counts)])
-    total = np.zeros((n, n), dtype=np.int64)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    holder = np.repeat(np.arange(n, dtype=np.int32), [len(h) for h in sets])[order]
+    every = every[order]
+    del order
+    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1], True]) if len(every) else np.zeros(1, dtype=np.int64)
+    del every
+    counts = np.diff(starts)
+    total = np.zeros((n, n), dtype=np.int32)  # the smaller of two sets has no more n-grams than that
     for size in range(2, min(16, n) + 1):
-        rows = holder[starts[np.flatnonzero(counts == size)][:, None] + np.arange(size)]
+        rows = holder[starts[np.flatnonzero(counts == size)][:, None] + np.arange(size)].astype(np.int64)
         for a in range(size):
             for b in range(a + 1, size):
-                total += np.bincount(rows[:, a] * n + rows[:, b], minlength=n * n).reshape(n, n) if len(rows) > n * n // 64 else 0
+                if len(rows) > n * n // 64:
+                    total += np.bincount(rows[:, a] * n + rows[:, b], minlength=n * n).reshape(n, n).astype(np.int32)
         if 0 < len(rows) <= n * n // 64:
             a, b = np.triu_indices(size, 1)
             np.add.at(total, (rows[:, a].ravel(), rows[:, b].ravel()), 1)
@@ -277,7 +282,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         dense = np.zeros((n, len(columns)), dtype=np.float32)
         for k, c in enumerate(columns):
             dense[holder[starts[c] : starts[c + 1]], k] = 1
-        total += (dense @ dense.T).astype(np.int64)  # at most 2048 each: exact
+        total += (dense @ dense.T).astype(np.int32)  # at most 2048 each: exact
     return total
 
 
@@ -357,8 +362,16 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
         rep, n = table["rep"].to_numpy()[order], table["n"].to_numpy()[order].astype(np.int64)
         grams = table["grams"].to_pylist()
         common = overlaps([np.frombuffer(grams[k], "<u8") for k in order])
-        i, j = np.nonzero(np.triu(common * (100 + percent) >= percent * (n[:, None] + n[None, :]), 1) & (common > 0))
-        low = roots(len(rep), i, j)
+        del grams
+        found = []
+        for at in range(0, len(rep), 64):  # some rows of the matrix at a time: a block's task holds no second one
+            some = common[at : at + 64].astype(np.int64)
+            i, j = np.nonzero((some * (100 + percent) >= percent * (n[at : at + 64, None] + n[None, :])) & (some > 0))
+            i += at
+            found.append((i[i < j].astype(np.int32), j[i < j].astype(np.int32)))
+        del common
+        low = roots(len(rep), *(np.concatenate(x) for x in zip(*found, strict=True)))
+        give_back()
         some = np.flatnonzero(low < np.arange(len(rep)))
         return pa.table({"a": pa.array(rep[some], pa.int64()), "b": pa.array(rep[low[some]], pa.int64())})
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -79,6 +80,20 @@ def test_overlaps():
     assert (got == np.array(want)).all()
 
 
+def test_overlaps_take_little_memory():
+    """A block of many documents and n-grams holds a few arrays of the n-grams and of its matrix, not a dozen."""
+    r = np.random.default_rng(3)
+    common = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, r.integers(0, 1 << 63, 300, dtype=np.uint64)])) for _ in range(1500)]
+    tracemalloc.start()
+    got = overlaps(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[3, 4] == got[4, 3] == len(np.intersect1d(sets[3], sets[4])) == 1000
+    assert peak < 8 * sum(map(len, sets)) * 5  # bytes of the n-grams, five times
+
+
+
 def test_ngram_join(spark, monkeypatch):
     from tallyframe.llm import ngram_join
 
