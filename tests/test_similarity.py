@@ -102,3 +102,13 @@ def test_texts_that_differ_by_words_of_their_own_are_one_class(spark, monkeypatc
     got = similar_texts(spark.createDataFrame(left, "g int, t string"), spark.createDataFrame(right, "g int, t string"), "t", "g").collect()
     assert {(x.g, x.t): (x.matches, round(x.best, 9)) for x in got} == {k: (100, round(6 / 7, 9)) for k in left}
     assert seen == [(4, 4, 4)]
+
+
+def test_only_numbers_of_words_move(spark):
+    """A text's words go as one 64-bit number each, rarest first; words that one table alone has do not go at all."""
+    rows = [(7, 4, t, df) for t, df in ((-1, 900), (5, 2), (1 << 40, 30))]
+    got = similarity._by_text(spark.createDataFrame(rows, "_id long, _n int, _token long, _df long"), 0.7)
+    assert dict(got.dtypes)["_tokens"] == "array<bigint>"
+    tokens = got.first()["_tokens"]
+    assert tokens == sorted(tokens) and [t >> 56 for t in tokens] == [4, 19, 39] and [t & ((1 << 56) - 1) for t in tokens] == [0, (1 << 40) >> 8, (1 << 56) - 1]
+    assert similarity._by_text(spark.createDataFrame(rows[:2], "_id long, _n int, _token long, _df long"), 0.7).count() == 0
