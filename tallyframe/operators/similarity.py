@@ -8,6 +8,9 @@ from ..functions import text as T
 from ..sources.shared import stored
 from .skew import hot_join
 
+#: 64-bit columns of a class's bitmap, a power of two. Sets of some 200 words fill most of 64 or 128 bits, so that any two pass; four columns tell them apart.
+BITMAP_LONGS = 4
+
 
 def _null_safe(left: str, right: str, columns: list[str]) -> list[Column]:
     return [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
@@ -31,45 +34,55 @@ def _least(n: Column, threshold: float) -> Column:
     return F.floor(n * threshold).cast("int") + 1
 
 
+def _bits(token: Column) -> list[Column]:
+    """Aggregates that make a bitmap of tokens: BITMAP_LONGS columns of 64 bits."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(63).cast("int"))
+    home = F.shiftright(token, 6).bitwiseAND(BITMAP_LONGS - 1)
+    return [F.bit_or(F.when(home == i, bit).otherwise(0)).alias(c) for i, c in enumerate(_bitmap())]
+
+
+def _bitmap() -> list[str]:
+    return [f"_bits{i}" for i in range(BITMAP_LONGS)]
+
+
 def _by_text(listed: DataFrame, threshold: float) -> DataFrame:
-    """Texts that can be similar to any: ``_id``, ``_n``, ``_tokens`` (those that both tables have, rarest first) and ``_class``, a digest of both.
+    """Texts that can be similar to any: ``_id``, ``_n``, ``_tokens`` (those that both tables have, rarest first), ``_class``, a digest of both, and a bitmap of the tokens.
 
     A token becomes one number that sorts by rarity: a byte for the power of 2 ** (1 / 4) that its frequency reaches, then 56 bits of its hash.
     """
     rarity = F.floor(4 * F.log2(F.col("_df").cast("double"))).cast("long")
     code = F.shiftleft(rarity, 56).bitwiseOR(F.shiftrightunsigned("_token", 8))
-    found = listed.groupBy("_id").agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list(code)).alias("_tokens")).where(F.size("_tokens") >= _least(F.col("_n"), threshold))
+    found = listed.groupBy("_id").agg(F.first("_n").alias("_n"), F.array_sort(F.collect_list(code)).alias("_tokens"), *_bits(code)).where(F.size("_tokens") >= _least(F.col("_n"), threshold))
     return found.withColumn("_class", F.unhex(F.md5(F.to_json(F.struct("_n", "_tokens")))))
 
 
-def _bits(tokens: Column) -> Column:
-    """A bitmap of tokens in 64 bits."""
-    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)).cast("int"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda s, t: s.bitwiseOR(bit(t)))
-
-
 def _prefixes(classes: DataFrame, threshold: float) -> DataFrame:
     """The rarest tokens of each class that a similar one cannot all miss, with the number of tokens from there on (``left``), the number of all (``k``) and a bitmap of all."""
     k = F.size("_tokens")
     first = F.slice("_tokens", F.lit(1), k - _least(F.col("_n"), threshold) + 1)
-    about = classes.select("_rep", F.col("_n").alias("n"), k.alias("k"), _bits(F.col("_tokens")).alias("bits"), F.posexplode(first).alias("place", "token"))
+    about = classes.select("_rep", F.col("_n").alias("n"), k.alias("k"), *_bitmap(), F.posexplode(first).alias("place", "token"))
     return about.withColumn("left", F.col("k") - F.col("place")).drop("place")
 
 
+def _met(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of classes that are worth a comparison, ``left_rep`` and ``right_rep``: all similar ones, and few others."""
+    one, two = (_prefixes(side, threshold).alias(name) for side, name in ((left, "l"), (right, "r")))
+    n, m = F.col("l.n"), F.col("r.n")
+    lacking = lambda a, b: sum(F.bit_count(F.col(f"{a}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}.{c}")))) for c in _bitmap())
+    most = F.least(F.col("l.left"), F.col("r.left"), F.col("l.k") - lacking("l", "r"), F.col("r.k") - lacking("r", "l"))
+    # more than threshold of the union: shared * (1 + threshold) > threshold * (n + m); rounding is left to the comparison
+    enough = (most + 1e-6) * (1 + threshold) > threshold * (n + m)
+    return one.join(two, [F.col("l.token") == F.col("r.token"), (n > threshold * m) & (m > threshold * n), enough]).select(F.col("l._rep").alias("left_rep"), F.col("r._rep").alias("right_rep")).distinct()
+
+
 def similar_classes(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Pairs of classes whose Jaccard similarity is over ``threshold`` (0 < threshold < 1): ``left_rep``, ``right_rep``, ``similarity``.
 
     Tokens are in one order, rarest first. Similar sets of n and m words share more than threshold times n words, so one of the first k - floor(threshold * n) of the k tokens that count is common to both
     (prefix filter), and n and m differ by no more than that share (length filter). Only classes that meet under such a token are compared, if enough tokens are left from there on in both, and if the tokens whose bit the other's
-    bitmap lacks, which it cannot have, leave enough. Nothing is paired without a key.
+    bitmap lacks, which it cannot have, leave enough. Nothing is paired without a key. A pair moves with the tokens of one side to be compared, so pairs that are not similar have to go before that.
     """
-    one, two = (_prefixes(side, threshold).alias(name) for side, name in ((left, "l"), (right, "r")))
-    n, m = F.col("l.n"), F.col("r.n")
-    lacking = lambda a, b: F.bit_count(F.col(f"{a}.bits").bitwiseAND(F.bitwise_not(F.col(f"{b}.bits"))))
-    most = F.least(F.col("l.left"), F.col("r.left"), F.col("l.k") - lacking("l", "r"), F.col("r.k") - lacking("r", "l"))
-    # more than threshold of the union: shared * (1 + threshold) > threshold * (n + m); rounding is left to the comparison
-    enough = (most + 1e-6) * (1 + threshold) > threshold * (n + m)
-    met = one.join(two, [F.col("l.token") == F.col("r.token"), (n > threshold * m) & (m > threshold * n), enough]).select(F.col("l._rep").alias("left_rep"), F.col("r._rep").alias("right_rep")).distinct()
+    met = _met(left, right, threshold)
     sides = [s.select(F.col("_rep").alias(f"{side}_rep"), F.col("_n").alias(f"{side}_n"), F.col("_tokens").alias(f"{side}_tokens")) for s, side in ((left, "left"), (right, "right"))]
     shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
     compared = met.join(sides[0], "left_rep").join(sides[1], "right_rep").withColumn("shared", shared)
@@ -92,7 +105,7 @@ def similar_texts(left: DataFrame, right: DataFrame, text: str, *by: str, thresh
     total = counted.agg(F.sum("_df")).first()[0] or 0
     ids = [_by_text(hot_join(e, counted, ["_token"], "_many", total), threshold) for e in listed]
     ids[0] = stored(ids[0], "text-tokens")  # read for classes and for their texts
-    about = [F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_tokens").alias("_tokens"), F.count("*").alias("_texts")]
+    about = [F.min("_id").alias("_rep"), F.first("_n").alias("_n"), F.first("_tokens").alias("_tokens"), *[F.first(c).alias(c) for c in _bitmap()], F.count("*").alias("_texts")]
     one, two = (stored(t.groupBy("_class").agg(*about), "token-classes") for t in ids)  # read for prefixes and comparisons
     pairs = similar_classes(one, two, threshold)
     best = pairs.join(two.select(F.col("_rep").alias("right_rep"), "_texts"), "right_rep").groupBy(F.col("left_rep").alias("_rep")).agg(F.sum("_texts").alias("matches"), F.max("similarity").alias("best"))

@@ -112,3 +112,20 @@ def test_only_numbers_of_words_move(spark):
     tokens = got.first()["_tokens"]
     assert tokens == sorted(tokens) and [t >> 56 for t in tokens] == [4, 19, 39] and [t & ((1 << 56) - 1) for t in tokens] == [0, (1 << 40) >> 8, (1 << 56) - 1]
     assert similarity._by_text(spark.createDataFrame(rows[:2], "_id long, _n int, _token long, _df long"), 0.7).count() == 0
+
+
+@pytest.mark.parametrize("longs", [1, None])
+def test_few_pairs_of_long_texts_are_compared_in_vain(spark, monkeypatch, longs):
+    """Long sets that share their frequent words meet under rare ones; a bitmap of 64 bits is full then, and all of them would move with their tokens."""
+    if longs:
+        monkeypatch.setattr(similarity, "BITMAP_LONGS", longs)
+    seen = []
+    real = similarity._met
+    monkeypatch.setattr(similarity, "_met", lambda one, two, t: seen.append(real(one, two, t).count()) or real(one, two, t))
+    r = random.Random(5)
+    frequent, rare = [f"f{k}" for k in range(150)], [f"r{k}" for k in range(4000)]
+    right = [(1, " ".join(r.sample(frequent, 110) + r.sample(rare, 80))) for _ in range(150)]
+    left = [(1, t.split(" ", 1)[1]) for _, t in right]
+    got = similar_texts(spark.createDataFrame(left, "g int, t string"), spark.createDataFrame(right, "g int, t string"), "t", "g").collect()
+    assert {(x.g, x.t): (x.matches, round(x.best, 9)) for x in got} == brute(left, right, 0.8) and len(got) == 150
+    assert seen[0] > 300 if longs else seen[0] < 160
